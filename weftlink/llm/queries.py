@@ -13,6 +13,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.language_id import held_out, identify_languages, train_language_model
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = held_out("doc_id", 3, 1)
+    model = train_language_model(docs, "doc_id", "text", "lang", ~held)
+    return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlink.llm.suffix_search import decontaminate
 
@@ -27,6 +36,21 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.cross_entropy import score_documents
+
+    target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), target)
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftlink.llm.shards import materialise
+
+    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), key=20240607)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
