@@ -22,6 +22,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.language_id import held_out
+    from weftlink.llm.toxicity import score_toxicity, train_toxicity_model
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    held = held_out("doc_id", 4, 2)
+    model = train_toxicity_model(docs, labels, ~held)
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlink.llm.suffix_search import decontaminate
 
@@ -43,6 +53,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), target)
 
 
+def op7_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.projected_knn import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
