@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import types as T
+from weftlink.llm.difference_cover import suffix_array, suffix_array_dedup
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("doc", T.StringType())])
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for n in [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30, 31, 32, 200]:
+        for top in (1, 2, 5, 300):
+            s = [rng.randint(1, top) for _ in range(n)]
+            assert suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n), key=lambda i: s[i:])
+
+
+def brute(rows, size):
+    seen = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + size] for i in range(len(b) - size + 1))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        cut = [False] * len(b)
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                cut[i : i + size] = [True] * size
+        kept = bytes(c for c, x in zip(b, cut) if not x)
+        spans = sum(1 for i, x in enumerate(cut) if x and (i == 0 or not cut[i - 1]))
+        out.append((d, len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def cases():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdé ", k=rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    texts = [None, "", "x", "a" * 199, "a" * 200, "b" * 201, "ab" * 400, passage, passage]
+    for k in range(40):
+        t = text(rng.randint(1, 80))
+        texts.append(t + passage[k : 150 + 5 * k] + text(10) if k % 2 else t)
+        if k % 5 == 0:
+            texts.append(t)
+    texts.append(text(20_000))
+    texts.append(texts[-1][3000:9000] + "é" * 500)
+    return [(2 * i + 1, t) for i, t in enumerate(texts)]
+
+
+def run(spark, rows, **options):
+    df = spark.createDataFrame([(d, t, "p", "q") for d, t in rows], SCHEMA).repartition(3)
+    return sorted(map(tuple, suffix_array_dedup(df, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+
+
+def test_against_brute_force(spark):
+    rows = cases()
+    assert run(spark, rows) == brute(rows, 200)
+
+
+def test_small_shards_and_windows(spark, monkeypatch):
+    import weftlink.llm.difference_cover as m
+
+    monkeypatch.setattr(m, "SHARD", 3000)
+    rows = [(d, t) for d, t in cases() if not t or len(t) < 5000]
+    assert run(spark, rows, window=40, gram=8) == brute(rows, 40)
+
+
+def test_empty_table(spark):
+    assert suffix_array_dedup(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -59,6 +59,18 @@ def op7_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.fm_index import fm_dedup
+
+    return fm_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.difference_cover import suffix_array_dedup
+
+    return suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
