@@ -8,6 +8,7 @@ difference cover of 3: the suffixes at places 1 and 2 mod 3 are named by their t
 orders them, the others follow from one byte and the rank behind it, and both are merged. Suffixes whose
 neighbour in the order has the same WINDOW bytes are repeats; a run that stands at several places is one too.
 Null texts are empty. Rows with the same id count as documents of their own, and lose the union of their spans.
+Rows without an id are returned unchanged and don't count.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftlink.llm import routed, tokens
 from weftlink.llm.sessions import id_and_text
@@ -158,37 +160,65 @@ def _shard(window: int, buckets: int):
     return run
 
 
-_OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(keep_bytes: bool):
-    def run(ids, texts, doc, begin, end) -> pa.Table:
-        o = np.argsort(doc, kind="stable")
-        doc, begin, end = doc[o], begin[o], end[o]
-        n, gone, spans, sha, kept = [], [], [], [], []
-        for i, text in zip(ids.to_pylist(), texts, strict=True):
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            lo, hi = np.searchsorted(doc, [i, i + 1]) if i is not None else (0, 0)
-            cut = routed.covered(len(data), begin[lo:hi], end[lo:hi]) if hi > lo else np.zeros(len(data), bool)
-            rest = data[~cut].tobytes()
-            n.append(len(data))
-            gone.append(int(cut.sum()))
-            spans.append(int((cut & ~np.concatenate([[False], cut[:-1]])).sum()) if len(cut) else 0)
-            sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest if keep_bytes else None)
-        return pa.table({"doc": ids, "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())})
+def _cuts(left: pa.Table, doc, begin, end):
+    """(bytes, removed flags) of each row."""
+    o = np.argsort(doc, kind="stable")
+    doc, begin, end = doc[o], begin[o], end[o]
+    for i, text in zip(left.column("_id").to_pylist(), left.column("_text"), strict=True):
+        data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+        lo, hi = np.searchsorted(doc, [i, i + 1]) if i is not None else (0, 0)
+        yield data, routed.covered(len(data), begin[lo:hi], end[lo:hi]) if hi > lo else np.zeros(len(data), bool)
 
-    return run
 
+def _digests(left: pa.Table, doc, begin, end) -> pa.Table:
+    n, gone, spans, sha = [], [], [], []
+    for data, cut in _cuts(left, doc, begin, end):
+        n.append(len(data))
+        gone.append(int(cut.sum()))
+        spans.append(int((cut & ~np.concatenate([[False], cut[:-1]])).sum()) if len(cut) else 0)
+        sha.append(hashlib.sha256(data[~cut].tobytes()).hexdigest())
+    return pa.table({"doc": left.column("_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the remaining bytes. Ids must tell documents apart."""
-    spark = docs.sparkSession
-    plain = id_and_text(docs, id_col, text_col)
-    buckets = routed.bucket_count(plain)
+
+def _kept_texts(left: pa.Table, doc, begin, end) -> pa.Table:
+    texts, changed = [], []
+    for (data, cut), old in zip(_cuts(left, doc, begin, end), left.column("_text"), strict=True):
+        changed.append(bool(cut.any()))
+        # a character that lost some of its bytes goes whole
+        texts.append(data[~cut].tobytes().decode("utf-8", "ignore") if cut.any() else old.as_py())
+    return pa.table({"doc": left.column("_id"), "kept": pa.array(texts, pa.string()), "changed": pa.array(changed, pa.bool_()), "rest": left.column("_rest")})
+
+
+def _found(plain: DataFrame, window: int, gram: int) -> tuple[DataFrame, int]:
+    plain = plain.where("_id is not null")
+    spark, buckets = plain.sparkSession, routed.bucket_count(plain)
     slices = _slices(gram)
     bits = spark.sparkContext.broadcast(routed.repeated_filter(plain, slices, buckets, window - gram + 1))
     sent = plain.mapInArrow(routed.send(slices, bits, buckets, window, gram), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
-    spans = sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA)
-    out = routed.cut_documents(plain, spans, buckets, _finish(keep_bytes), _OUT).withColumnRenamed("doc", id_col)
-    return out if keep_bytes else out.drop("kept")
+    return sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA), buckets
+
+
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256. Ids must tell documents apart."""
+    plain = id_and_text(docs, id_col, text_col)
+    spans, buckets = _found(plain, window, gram)
+    return routed.cut_documents(plain, spans, buckets, _digests, _OUT).withColumnRenamed("doc", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, length_col: str | None = None) -> DataFrame:
+    """docs with all their columns and the remaining text; a character of which a byte was removed goes whole.
+
+    length_col, if given, is set to the new number of characters where a text changed.
+    """
+    plain = id_and_text(docs, id_col, text_col)
+    spans, buckets = _found(plain, window, gram)
+    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_rest"))
+    kind = whole.schema["_rest"].dataType.simpleString()
+    out = routed.cut_documents(whole, spans, buckets, _kept_texts, f"doc long, kept string, changed boolean, rest {kind}")
+    new = {c: F.col("rest")[c] for c in docs.columns if c != text_col} | {text_col: F.col("kept")}
+    if length_col:
+        new[length_col] = F.when(F.col("changed"), F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(new[length_col])
+    return out.select(*[new[c].alias(c) for c in docs.columns])

@@ -9,7 +9,8 @@ run is then streamed through the index from its last word to its first, all runs
 by one word turns the interval of the WINDOW - 1 words behind it into that of the window, whose length-limited
 matching statistic has thus reached the threshold; the interval of its first WINDOW - 1 words is the state for
 the next step. An interval reports the smallest document in which its window starts.
-Null texts have no words. Rows with the same id are the same document to each other.
+Null texts have no words. Rows with the same id are the same document to each other. Rows without an id are
+returned unchanged and don't count.
 """
 
 from __future__ import annotations
@@ -188,7 +189,8 @@ _OUT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 def _finish(keep_text: bool):
-    def run(ids, texts, doc, begin, end) -> pa.Table:
+    def run(left, doc, begin, end) -> pa.Table:
+        ids, texts = left.column("_id"), left.column("_text")
         o = np.argsort(doc, kind="stable")
         doc, begin, end = doc[o], begin[o], end[o]
         n, gone, sha, kept = [], [], [], []
@@ -211,9 +213,9 @@ def fm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spark = docs.sparkSession
     plain = id_and_text(docs, id_col, text_col)
     buckets = routed.bucket_count(plain)
-    slices = _slices(gram)
-    bits = spark.sparkContext.broadcast(routed.repeated_filter(plain, slices, buckets, window - gram + 1))
-    sent = plain.mapInArrow(routed.send(slices, bits, buckets, window, gram), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
+    slices, own = _slices(gram), plain.where("_id is not null")
+    bits = spark.sparkContext.broadcast(routed.repeated_filter(own, slices, buckets, window - gram + 1))
+    sent = own.mapInArrow(routed.send(slices, bits, buckets, window, gram), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
     spans = sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA)
     out = routed.cut_documents(plain, spans, buckets, _finish(keep_text), _OUT).withColumnRenamed("doc", id_col)
     return out if keep_text else out.drop("kept")

@@ -165,6 +165,19 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc long, lang_pred string, score double").withColumnRenamed("doc", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs without the rows identified as `und`; without a model only rows that have no letter go."""
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            keep = [v != UNKNOWN for v in predict(held.value, texts)[0]] if held.value else [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """crc32 of the id's text, mod modulus, is the remainder; false for null ids."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

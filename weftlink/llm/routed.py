@@ -238,7 +238,7 @@ def spans_of(flags: np.ndarray, cut: np.ndarray, window: int, doc: np.ndarray, f
 
 
 def cut_documents(docs: DataFrame, spans: DataFrame, buckets: int, finish: Callable, schema: str) -> DataFrame:
-    """docs (_id, _text) and spans (bucket, blob of doc, begin, end) meet by bucket; finish(ids, texts, doc, begin, end) gives a table.
+    """docs (_id, _text, ...) and spans (bucket, blob of doc, begin, end) meet by bucket; finish(rows of docs, doc, begin, end) gives a table.
 
     Rows that share an id all get that id's spans.
     """
@@ -246,7 +246,7 @@ def cut_documents(docs: DataFrame, spans: DataFrame, buckets: int, finish: Calla
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, begin, end = unpack_all(right.column("blob"), np.int64, np.int64, np.int64) if right.num_rows else [np.zeros(0, np.int64)] * 3
-        return finish(left.column("_id"), left.column("_text"), doc, begin, end)
+        return finish(left, doc, begin, end)
 
     return docs.withColumn("bucket", of).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(meet, schema)
 

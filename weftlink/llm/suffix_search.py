@@ -206,3 +206,27 @@ def decontaminate(
         schema = "doc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long" if last else "doc long, text string, n_words long, hits binary, items array<long>, longest long"
         state = state.mapInArrow(_block(tests, k == 0, last), schema)
     return state.withColumnRenamed("doc", id_col)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs; all columns stay, and nothing is shuffled."""
+    spark, place = docs.sparkSession, docs.columns.index(text_col)
+    items = id_and_text(benchmark, item_id_col, item_text_col)
+    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    items = items.withColumn("_block", F.pmod(F.xxhash64("_text"), F.lit(blocks)))
+    for k in range(blocks):
+        texts = [r["_text"] for r in items.where(F.col("_block") == k).collect()]
+        tests = spark.sparkContext.broadcast(make_tests(list(range(len(texts))), texts, window))
+
+        def clean(batches, tests=tests):
+            for batch in batches:
+                keep = []
+                for _, _, data, off in tokens.slices(batch.column(place)):
+                    w = tokens.scan(data, off, tokens.PUNCT, lower=True)
+                    hit = np.concatenate([[0], np.cumsum(scan_shard(tests.value, w)[0])])
+                    keep.append(hit[w.bounds[1:]] == hit[w.bounds[:-1]])
+                yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
