@@ -1,15 +1,6 @@
 """Registered queries over the driver's tables and their SQL."""
 
-from __future__ import annotations
+from weftlink.plans.queries import entry_query, queries
+from weftlink.plans.sql import oracle_sql
 
-
-def entry_query(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
-
-
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["entry_query", "oracle_sql", "queries"]
