@@ -210,16 +210,19 @@ def _log_odds(t: Text, y: np.ndarray) -> np.ndarray:
     pairs = _pairs(t)
     pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
 
-    def odds(doc, key, size):
-        key_doc = np.unique(doc.astype(np.int64) * size + key)
-        d, k = key_doc // size, key_doc % size
-        a, b = np.bincount(k[y[d] == 1], minlength=size), np.bincount(k[y[d] == 0], minlength=size)
-        return np.where(a + b >= 5, np.log((a + 0.5) / pos) - np.log((b + 0.5) / neg), 0)
-
-    word = odds(pairs[0], pairs[1], len(t.hashes))
-    n = np.diff(t.gcut)[pairs[1]]
-    take = np.repeat(t.gcut[pairs[1]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    gram = odds(np.repeat(pairs[0], n), t.grams[take], 1 << GRAM_BITS)
+    def odds(counts):
+        neg_n, pos_n = counts
+        return np.where(pos_n + neg_n >= 5, np.log((pos_n + 0.5) / pos) - np.log((neg_n + 0.5) / neg), 0)
+
+    words, grams = np.zeros((2, len(t.hashes))), np.zeros((2, 1 << GRAM_BITS))
+    cut = np.searchsorted(pairs[0], np.arange(t.docs + 1))
+    for d in range(t.docs):
+        own = pairs[1][cut[d] : cut[d + 1]]
+        words[y[d], own] += 1
+        n = np.diff(t.gcut)[own]
+        take = np.repeat(t.gcut[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        grams[y[d], np.unique(t.grams[take])] += 1
+    word, gram = odds(words), odds(grams)
     best = np.full(len(t.hashes), -9.0)
     np.maximum.at(best, np.repeat(np.arange(len(t.hashes)), np.diff(t.gcut)), gram[t.grams])
     best = np.append(np.maximum(best, word), -9.0)
