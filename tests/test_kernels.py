@@ -32,6 +32,14 @@ def test_properties(a, b):
     assert K.ratio(a, a) == 1
 
 
+def test_partial_ratios_side_by_side():
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choices("ab c1", k=rng.randint(0, 20))) + ("é" if rng.random() < 0.05 else "") + "x" * (70 if rng.random() < 0.02 else 0)
+    a, b = [text() for _ in range(1500)], [text() for _ in range(1500)]
+    got = K.partial_ratios(a, b, batch=400)
+    assert max(abs(g - K.partial_ratio(x, y)) for g, x, y in zip(got, a, b)) < 1e-12
+
+
 def test_jaro_winkler_against_duckdb():
     rng = random.Random(1)
     pairs = [("".join(rng.choices("abcd", k=rng.randint(0, 9))), "".join(rng.choices("abcd", k=rng.randint(0, 9)))) for _ in range(800)]
