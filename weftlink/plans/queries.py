@@ -103,7 +103,7 @@ def normalize_name(spark, d):
 
 @_query
 def normalize_documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").where("lang in ('en', 'es', 'fr')").select("doc_id", T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("clean"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("clean"))
 
 
 @_query
@@ -242,7 +242,7 @@ def plain_features(spark, d):
 
 @_query
 def jaro_winkler_features(spark, d):
-    p = _paired(spark, d).where("rank <= 5")
+    p = _paired(spark, d)
     f = X.kernel_features()
     return p.select("s1_id", "tgt_id", F.round(f["name_jaro_winkler"], 6).alias("name_jaro_winkler"), F.round(f["addr_jaro_winkler"], 6).alias("addr_jaro_winkler"))
 

@@ -153,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "singleton_flags": _with() + "select s1_id, ids = '' is_singleton from truth",
         "id_lines": "select distinct 'c' || conv_id entity_id from conversations",
         "normalize_name": rec + "select entity_id, name as clean from rec",
-        "normalize_documents": f"select doc_id, {_norm('x')} as clean from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') x from documents where lang in ('en', 'es', 'fr'))",
+        "normalize_documents": f"select doc_id, {_norm('x')} as clean from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') x from documents)",
         "fold_acronyms": _with() + f"select entity_id, {_fold('lower(business_name)')} folded from everyone",
         "strip_domains": f"select page_id, {_domains('lower(url)')} bare from pages",
         "collapse_letters": f"select p_partkey, {_collapse('lower(p_name)')} collapsed from part",
@@ -168,7 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "topk_candidates": ranked + 'select s1_id, tgt_id, "rank", round(score, 5) score from ranked',
         "candidate_lists": ranked + """select s.entity_id source1_entity_id, coalesce(string_agg(tgt_id, ',' order by "rank"), '') candidate_entity_ids from s1 s left join ranked on s1_id = s.entity_id group by 1""",
         "plain_features": probs + ", ".join(["select s1_id", "tgt_id", '"rank"', *[f"round(cast({c} as double), 6) {c}" for c in ("name_len_diff", "name_exact_match", "first_token_match", "shared_token_count", "addr_num_jaccard", "addr_num_exact", "postal_match", "postal_prefix_match", "is_tgt_addr_empty")]]) + " from features",
-        "jaro_winkler_features": probs + """select s1_id, tgt_id, round(jaro_winkler_similarity(a_name, b_name), 6) name_jaro_winkler, round(case when no_address then 0.0 else jaro_winkler_similarity(a_address, b_address) end, 6) addr_jaro_winkler from features where "rank" <= 5""",
+        "jaro_winkler_features": probs + """select s1_id, tgt_id, round(jaro_winkler_similarity(a_name, b_name), 6) name_jaro_winkler, round(case when no_address then 0.0 else jaro_winkler_similarity(a_address, b_address) end, 6) addr_jaro_winkler from features""",
         "labelled_pairs": ranked + 'select s1_id, tgt_id, "rank", cast((l.tgt_id is not null) as int) as label from ranked left join links l using (s1_id, tgt_id)',
         "sample_counts": ranked + "select count(*) n_pairs, cast(count(l.tgt_id) as bigint) n_positive, count(distinct s1_id) n_entities from ranked left join links l using (s1_id, tgt_id)",
         "threshold_matches": probs + "select * from probs where prob >= 0.70",
