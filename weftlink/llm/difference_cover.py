@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import routed, tokens
-from weftlink.llm.sessions import id_and_text
+from weftlink.llm.sessions import id_and_text, released
 
 WINDOW, GRAM = 200, 24
 SHARD = 1_200_000
@@ -197,7 +197,7 @@ def _found(plain: DataFrame, window: int, gram: int) -> tuple[DataFrame, int]:
     spark, buckets = plain.sparkSession, routed.bucket_count(plain)
     slices = _slices(gram)
     bits = spark.sparkContext.broadcast(routed.repeated_filter(plain, slices, buckets, window - gram + 1))
-    sent = plain.mapInArrow(routed.send(slices, bits, buckets, window, gram), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
+    sent = plain.mapInArrow(released(routed.send(slices, bits, buckets, window, gram)), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
     return sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA), buckets
 
 

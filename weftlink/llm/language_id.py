@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.sessions import id_and_text, rows
+from weftlink.llm.sessions import id_and_text, released, rows
 
 PER_CLASS = 300
 LANDMARKS = 128
@@ -162,7 +162,7 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
             labels, score = predict(held.value, batch.column(1).to_pylist())
             yield rows(_OUT, [batch.column(0), labels, score])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc long, lang_pred string, score double").withColumnRenamed("doc", id_col)
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc long, lang_pred string, score double").withColumnRenamed("doc", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             keep = [v != UNKNOWN for v in predict(held.value, texts)[0]] if held.value else [has_letter(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
-from weftlink.llm.sessions import dealt, pack, rows, unpack_all
+from weftlink.llm.sessions import dealt, pack, released, rows, unpack_all
 
 FILTER_BITS = 27
 PARTS = 64
@@ -122,7 +122,7 @@ def _bits(table: pa.Table) -> pa.Table:
 
 
 def repeated_filter(docs: DataFrame, slices_of: Callable, buckets: int, width: int) -> np.ndarray:
-    found = docs.mapInArrow(_count(slices_of, buckets, width), BLOB_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, BLOB_SCHEMA)
+    found = docs.mapInArrow(released(_count(slices_of, buckets, width)), BLOB_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, BLOB_SCHEMA)
     out = np.zeros((PARTS, (1 << FILTER_BITS) // PARTS // 8), np.uint8)
     for r in found.groupBy("bucket").applyInArrow(_bits, BLOB_SCHEMA).toLocalIterator():
         out[r["bucket"]] = np.frombuffer(bytes(r["blob"]), np.uint8)

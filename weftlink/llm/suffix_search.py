@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
-from weftlink.llm.sessions import id_and_text, rows
+from weftlink.llm.sessions import id_and_text, released, rows
 
 BLOCK_BYTES = 4_000_000
 
@@ -228,5 +228,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                     keep.append(hit[w.bounds[1:]] == hit[w.bounds[:-1]])
                 yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(released(clean), docs.schema)
     return docs
