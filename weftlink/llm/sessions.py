@@ -11,18 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
 def released(task: Callable) -> Callable:
-    """Gives freed memory back to the system after each task: Python workers are reused, and executors count them."""
+    """The task, giving freed memory back at its end: Python workers are reused, and an executor counts them all."""
 
     @wraps(task)
     def run(batches):
         try:
             yield from task(batches)
         finally:
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            give_back()
 
     return run
 
