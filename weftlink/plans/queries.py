@@ -357,7 +357,7 @@ def grid_sweep(spark, d):
 def _faulty_rows(spark, d):
     """Match rows with faults put in by rule: a doubled row, a repeated id, a self match, a bad prefix, an unknown id."""
     t = fixtures.ground_truth(spark, d)
-    k = F.regexp_extract("source1_entity_id", "[0-9]+", 0).cast("long")
+    k = F.substring_index("source1_entity_id", "-", -1).cast("long")
     extra = F.when(k % 50 == 1, F.concat(F.lit(",S2-"), k)).when(k % 50 == 2, F.lit(",S1-7")).when(k % 50 == 3, F.lit(",X9")).when(k % 50 == 4, F.lit(",")).when(k % 50 == 5, F.lit(",S3-999999999")).otherwise(F.lit(""))
     ids = F.concat("matched_entity_ids", extra)
     once = t.where(k % 41 != 40).select(k.alias("line"), F.when(k % 43 == 0, F.concat("source1_entity_id", F.lit("x"))).otherwise(F.col("source1_entity_id")).alias("s1"), F.when(F.trim(ids) == "", F.array().cast("array<string>")).otherwise(F.split(ids, ",")).alias("ids"))
