@@ -71,3 +71,16 @@ def test_empty_tables(spark):
     assert score_documents(none, none.select("doc_id")).collect() == []
     row = score_documents(spark.createDataFrame([(1, "a b", "")], SCHEMA), none.select("doc_id")).first()
     assert row["n_words"] == 2 and row["score"] is not None
+
+
+def test_whole_vocabulary_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "FLUSH_WORDS", 20_000)
+    rng = random.Random(8)
+    rows = [(None, "no id")] + [(i, " ".join([f"rare{i}x{k} w{rng.randrange(9)}" for k in range(1000)] * 2)) for i in range(70)]
+    target = set(range(0, 70, 4))
+    want = brute(rows, target, 10**9, 10**9, cross_entropy.MU)
+    got = score_documents(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3), spark.createDataFrame([(t,) for t in target], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, loss = want[r["doc_id"]]
+        assert r["n_words"] == n and abs(r["target_loss"] - loss[0]) < 2e-6 and abs(r["background_loss"] - loss[1]) < 2e-6

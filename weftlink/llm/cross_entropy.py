@@ -1,15 +1,16 @@
 """Language-model scoring by cross-entropy difference.
 
 A target and a background model of the same kind (interpolated bigrams, Dirichlet-smoothed) share one
-vocabulary: the commonest words of the background, all other words being one unknown word.
+vocabulary, the words of the background; V counts them and one unknown word.
     p1(w) = (c(w) + 1) / (N + V),   p(w | v) = (c(v, w) + MU p1(w)) / (c(v) + MU)
 A document's score is the mean over its words of target loss minus background loss, in nats; lower is closer to
 the target. The first word is predicted by p1 alone.
 
-All counts cover all documents: every task counts its words and pairs of words, pre-aggregated sorted arrays
-are exchanged by hash, and sums are exact. The models have a bounded size: words and pairs
-from the smallest count that leaves at most VOCABULARY words and PAIRS pairs, so broadcasting them is bounded
-too; a pair beyond that has a count of 0.
+All words and pairs of all documents are in the models, whatever their number, so no model is ever broadcast.
+Documents are written as runs. A run asks for its distinct words and pairs, each once, in buckets by their hash, so
+a common word or pair is no more work than others. A bucket adds up the counts of its keys and answers every run
+in the order asked; answers and runs meet again by run.
+VOCABULARY and PAIRS bound the models only where they are set: then the commonest words and pairs are kept.
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A document without words has null losses and score.
 """
 
@@ -17,168 +18,219 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
 from weftlink.llm.bloom import bloom_filter, maybe
 from weftlink.llm.scratch import Scratch
-from weftlink.llm.sessions import dealt, give_back, id_and_text, pack, released, rows, unpack_all
+from weftlink.llm.sessions import give_back, id_and_text, released, rows
 
-VOCABULARY = 65_000
-PAIRS = 1_000_000
+VOCABULARY: int | None = None
+PAIRS: int | None = None
 MU = 50.0
 FLUSH_WORDS = 1_500_000
 BUCKET_BYTES = 16_000_000
 
-_BLOBS = "bucket int, blob binary"
+WORD, PAIR, PLACES, TOTAL, SIZES = range(5)
+UNKNOWN = np.uint64(0)
 
+_ROWS = "bucket int, run long, kind int, target boolean, blob binary"
+_FIELDS = [("bucket", pa.int32()), ("run", pa.int64()), ("kind", pa.int32()), ("target", pa.bool_()), ("blob", pa.binary())]
+#: Rows are large, so the writer has to look at their size more often than every 100 rows.
+_WRITE = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10", "parquet.block.size": "33554432"}
 
-def _sum_by_key(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    o = np.argsort(key, kind="stable")
-    key, count = key[o], count[o]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], np.add.reduceat(count, at) if len(at) else count
 
+def _put(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed."""
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    head = np.array([len(planes), *map(len, arrays)], np.int64).tobytes()
+    return head + pa.compress(planes, codec="zstd", asbytes=True)
 
-def _names(vocab: np.ndarray, w: tokens.Words) -> np.ndarray:
-    """Vocabulary places from 1; 0 is the unknown word."""
+
+def _get(blob: bytes, *types: type) -> list[np.ndarray]:
+    total, *sizes = np.frombuffer(blob, np.int64, len(types) + 1).tolist()
+    planes = np.frombuffer(pa.decompress(blob[8 * (len(types) + 1) :], decompressed_size=total, codec="zstd"), np.uint8)
+    out, at = [], 0
+    for n, t in zip(sizes, types, strict=True):
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(t).reshape(n))
+        at += n * width
+    return out
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _known(hashes: np.ndarray, vocab: np.ndarray | None) -> np.ndarray:
+    if vocab is None:
+        return hashes
     if not len(vocab):
-        return np.zeros(len(w.hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocab, w.hashes), len(vocab) - 1)
-    return np.where(vocab[at] == w.hashes, at + 1, 0)
+        return np.full(len(hashes), UNKNOWN)
+    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
+    return np.where(vocab[at] == hashes, hashes, UNKNOWN)
 
 
-def _words_of(w: tokens.Words, _) -> np.ndarray:
-    return w.hashes
+def _begins(n: np.ndarray) -> np.ndarray:
+    """Flags of the first words of documents of n words."""
+    begin = np.zeros(n.sum() + 1, bool)
+    begin[np.cumsum(n) - n] = True
+    return begin[:-1]
 
 
-def _pairs_of(w: tokens.Words, vocab: np.ndarray) -> np.ndarray:
-    """first << 17 | second of neighbouring known words."""
-    v = _names(vocab, w)
-    inside = np.ones(max(0, len(v) - 1), bool)
-    cut = w.bounds[1:-1]
-    inside[cut[(cut > 0) & (cut < len(v))] - 1] = False
-    keep = inside & (v[:-1] > 0) & (v[1:] > 0)
-    return (v[:-1][keep].astype(np.uint64) << np.uint64(17)) | v[1:][keep].astype(np.uint64)
+def _pairs_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one hash for each pair of neighbouring known words, place of its second word)."""
+    second = np.flatnonzero(~begin[1:] & (hashes[:-1] != UNKNOWN) & (hashes[1:] != UNKNOWN)) + 1
+    with np.errstate(over="ignore"):
+        return tokens.mix(tokens.mix(hashes[second - 1], 5) * tokens._Q[0] + hashes[second], 9), second
 
 
-def _count(keys_of, vocab, buckets: int):
+def _runs(vocab):
+    """Runs of documents of about FLUSH_WORDS words: ids, sizes, distinct words and the documents' words as places of these."""
+
     def run(batches):
-        held, size = [], 0
+        held, size, turn = [], 0, 0
 
         def flush():
-            key = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.concatenate([at, [len(key)]])).astype(np.int32)
-            parts = list(dealt((tokens.mix(key[at], 8) % np.uint64(buckets)).astype(np.int64), buckets, key[at], count))
-            return rows([("bucket", pa.int32()), ("blob", pa.binary())], [[b for b, _ in parts], [pack(*c) for _, c in parts]])
+            ids, valid, n, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, place = np.unique(hashes, return_inverse=True)
+            return rows(_FIELDS, [[0], [TaskContext.get().partitionId() << 32 | turn], [PLACES], [False], [_put(ids, valid, n, _gaps(words), place.astype(np.int32))]])
 
         for batch in batches:
-            for _, _, data, off in tokens.slices(batch.column(1)):
-                key = keys_of(tokens.scan(data, off, tokens.SPACE, lower=True), vocab.value)
-                if len(key):
-                    held.append(key)
-                    size += len(key)
+            for a, b, data, off in tokens.slices(batch.column(1)):
+                w = tokens.scan(data, off, tokens.SPACE, lower=True)
+                ids = batch.column(0).slice(a, b - a)
+                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(w.bounds).astype(np.int64), _known(w.hashes, vocab.value)))
+                size += len(w.hashes)
                 if size >= FLUSH_WORDS:
                     yield flush()
-                    held, size = [], 0
-        if size:
+                    held, size, turn = [], 0, turn + 1
+        if held:
             yield flush()
 
     return run
 
 
-def _sum(only):
-    """Adds up counts of equal keys of one bucket; with `only`, those of the given sorted keys alone."""
+def _open(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(ids, which are not null, words of each document, sorted distinct words, places) of a run."""
+    ids, valid, n, gaps, place = _get(blob, np.int64, np.bool_, np.int64, np.uint64, np.int32)
+    return ids, valid, n, np.cumsum(gaps, dtype=np.uint64), place
 
-    def run(table: pa.Table) -> pa.Table:
-        key, count = _sum_by_key(*unpack_all(table.column("blob"), np.uint64, np.int32))
-        if only is not None:
-            known = only.value
-            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-            keep = known[at] == key if len(known) else np.zeros(len(key), bool)
-            key, count = key[keep], count[keep]
-        blob = pa.array([pack(key, count.astype(np.int32))], pa.binary())
-        del key, count
-        give_back()
-        return pa.table({"bucket": table.column("bucket")[:1].combine_chunks(), "blob": blob})
 
-    return run
+def _ask(buckets: int, target: bool):
+    """Distinct words and pairs of runs with their counts, by bucket."""
+    edges = np.array([-(-(b << 64) // buckets) for b in range(buckets)], np.uint64)
 
+    def run(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column(1).to_pylist(), batch.column(4), strict=True):
+                _, _, n, words, place = _open(blob.as_py())
+                pairs, pair_times = np.unique(_pairs_of(words[place], _begins(n))[0], return_counts=True)
+                out = []
+                for kind, keys, count in ((WORD, words, np.bincount(place, minlength=len(words))), (PAIR, pairs, pair_times)):
+                    cut = np.append(np.searchsorted(keys, edges), len(keys))
+                    for b in np.flatnonzero(np.diff(cut)).tolist():
+                        own = slice(cut[b], cut[b + 1])
+                        out.append((b, number, kind, target, _put(_gaps(keys[own]), count[own].astype(np.int64))))
+                for k in range(0, len(out), 500):
+                    yield rows(_FIELDS, list(zip(*out[k : k + 500], strict=True)))
 
-def _histogram(batches):
-    for batch in batches:
-        for b in batch.column(1):
-            value, n = np.unique(unpack_all([b], np.uint64, np.int32)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], ["value", "n"])
+    return run
 
 
-def _at_least(least: int):
-    def run(batches):
-        for batch in batches:
-            for b in batch.column(1):
-                key, count = unpack_all([b], np.uint64, np.int32)
-                keep = count >= least
-                yield rows([("blob", pa.binary())], [[pack(key[keep], count[keep])]])
+def _answer(sizes: bool):
+    """Of one bucket: to every asked list of keys the background's and the target's counts in the same order, and totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, kinds, targets = table.column("bucket")[0].as_py(), table.column("kind").to_numpy(), table.column("target").to_numpy()
+        runs, blobs = table.column("run").to_numpy(), table.column("blob")
+        out = []
+        for kind in (WORD, PAIR):
+            at = np.flatnonzero(kinds == kind)
+            if not len(at):
+                continue
+            got = [_get(blobs[int(k)].as_py(), np.uint64, np.int64) for k in at]
+            cut = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
+            keys, of = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
+            side = np.repeat(targets[at], np.diff(cut))
+            count = np.concatenate([g[1] for g in got])
+            del got
+            back, goal = (np.bincount(of, weights=np.where(s, count, 0), minlength=len(keys)).astype(np.int64) for s in (~side, side))
+            for i, k in enumerate(at.tolist()):
+                if not targets[k]:
+                    own = of[cut[i] : cut[i + 1]]
+                    out.append((bucket, int(runs[k]), kind, False, _put(back[own], goal[own])))
+            if kind == WORD:
+                out.append((bucket, -1, TOTAL, False, _put(np.array([(keys != UNKNOWN).sum(), back.sum(), goal.sum()], np.int64))))
+            elif sizes:
+                out.append((bucket, -1, SIZES, False, _put(*np.unique(back, return_counts=True))))
+            del keys, of, side, count, back, goal
+        answer = pa.Table.from_batches([rows(_FIELDS, list(zip(*out, strict=True)))])
+        give_back()
+        return answer
 
     return run
 
 
-def _counts(docs: DataFrame, keys_of, vocab, buckets: int, scratch: Scratch, name: str, limit: int | None = None, only=None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys of all documents with exact counts, sorted by key, and the sum of all counts.
+_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]
+
 
-    limit: only keys with the smallest least count that leaves no more than limit of them; only: just these keys.
-    """
-    summed = docs.mapInArrow(released(_count(keys_of, vocab, buckets)), _BLOBS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sum(only), _BLOBS)
-    summed = scratch.save(summed, name, compression="zstd")
-    sizes = sorted(((r["value"], r["n"]) for r in summed.mapInArrow(_histogram, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    least, taken = 1, 0
-    for value, n in sizes:
-        if limit is not None and taken + n > limit:
-            least = value + 1
-            break
-        taken += n
-    key, count = unpack_all([r["blob"] for r in summed.mapInArrow(_at_least(least), "blob binary").collect()], np.uint64, np.int32)
-    o = np.argsort(key)
-    return key[o], count[o].astype(np.int64), sum(v * n for v, n in sizes)
+def _score(vocabulary: int, totals: tuple[int, int], least: int):
+    """Losses of one run's documents from the answers; pairs of fewer than `least` count as none."""
 
+    def run(table: pa.Table) -> pa.Table:
+        kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
+        order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
+
+        def counts(kind):
+            got = [_get(blobs[int(k)].as_py(), np.int64, np.int64) for k in order[kinds[order] == kind]]
+            return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 2
+
+        ids, valid, n, distinct, place = _open(blobs[int(np.flatnonzero(kinds == PLACES)[0])].as_py())
+        begin, ends = _begins(n), np.cumsum(n)
+        pair, second = _pairs_of(distinct[place], begin)
+        of = np.unique(pair, return_inverse=True)[1]
+        words, pairs, mean = counts(WORD), counts(PAIR), []
+        enough, before = pairs[0] >= least, np.concatenate([place[:1], place[:-1]])
+        for side in (1, 0):
+            c = words[side]
+            p1 = (c[place] + 1) / (totals[side] + vocabulary)
+            both = np.zeros(len(place), np.int64)
+            both[second] = np.where(enough, pairs[side], 0)[of]
+            p = np.where(begin, p1, (both + MU * p1) / (c[before] + MU))
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+            s = sums[ends] - sums[ends - n]
+            mean.append(np.divide(s, n, out=np.full(len(n), np.nan), where=n > 0))
+        t, g = (pa.array(np.round(x, 6), from_pandas=True) for x in mean)
+        out = rows(_OUT, [pa.array(ids, mask=~valid), n, t, g, pa.array(np.round(mean[0] - mean[1], 6), from_pandas=True)])
+        give_back()
+        return pa.Table.from_batches([out])
 
-def _of(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+    return run
 
 
-_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]
+def _least(sizes: list[tuple[int, int]], limit: int | None) -> int:
+    """The smallest least count that leaves no more than limit keys; sizes: (count, how many keys have it)."""
+    taken = 0
+    for value, n in sorted(sizes, reverse=True):
+        taken += n
+        if limit is not None and taken > limit:
+            return value + 1
+    return 1
 
 
-def _score(model):
-    def run(batches):
-        vocab, keys, sides = model.value
+def _commonest(plain: DataFrame, limit: int) -> np.ndarray:
+    def words(batches):
         for batch in batches:
-            for a, b, data, off in tokens.slices(batch.column(1)):
-                w = tokens.scan(data, off, tokens.SPACE, lower=True)
-                v, n = _names(vocab, w), np.diff(w.bounds)
-                begin = np.zeros(len(v) + 1, bool)
-                begin[w.bounds[:-1]] = True
-                before = np.concatenate([[0], v[:-1]]) if len(v) else v
-                key = (before.astype(np.uint64) << np.uint64(17)) | v.astype(np.uint64)
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hit = (keys[at] == key) & ~begin[:-1] if len(keys) else np.zeros(len(v), bool)
-                mean = []
-                for words, pairs in sides:
-                    total = words.sum()
-                    p1 = (words[v] + 1) / (total + len(words))
-                    p = np.where(begin[:-1], p1, (np.where(hit, pairs[at] if len(keys) else 0, 0) + MU * p1) / (words[before] + MU))
-                    sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-                    s = sums[w.bounds[1:]] - sums[w.bounds[:-1]]
-                    mean.append(np.divide(s, n, out=np.full(len(n), np.nan), where=n > 0))
-                t, g = (pa.array(np.round(x, 6), from_pandas=True) for x in mean)
-                yield rows(_OUT, [batch.column(0).slice(a, b - a), n, t, g, pa.array(np.round(mean[0] - mean[1], 6), from_pandas=True)])
+            for _, _, data, off in tokens.slices(batch.column(1)):
+                key, n = np.unique(tokens.scan(data, off, tokens.SPACE, lower=True).hashes, return_counts=True)
+                yield rows([("key", pa.int64()), ("n", pa.int64())], [key.view(np.int64), n])
 
-    return run
+    counts = plain.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    least = _least([(r["n"], r["count"]) for r in counts.groupBy("n").count().collect()], limit)
+    return np.sort(np.array([r["key"] for r in counts.where(F.col("n") >= least).collect()], np.int64).view(np.uint64))
 
 
 def target_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,22 +247,23 @@ def target_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """target_ids: one column of ids of target documents; the background is all of docs. Returns id, n_words, both losses and score."""
     spark = docs.sparkSession
-    put = spark.sparkContext.broadcast
     plain = id_and_text(docs, id_col, text_col)
     size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(24, -(-size // BUCKET_BYTES)))
     wanted = target_ids.toDF("_id").select(F.col("_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    target = target_documents(plain, wanted)
-    scratch, none = Scratch(spark, "cross-entropy"), put(np.zeros(0, np.uint64))
-    vocab, count, n = _counts(plain, _words_of, none, buckets, scratch, "words", limit=VOCABULARY)
-    known = put(vocab)
-    # target words of the shared vocabulary: those that fall outside are the unknown word
-    places = lambda w, v: _names(v, w).astype(np.uint64)
-    t_key, t_count, _ = _counts(target, places, known, buckets, scratch, "target-words")
-    t_words = np.zeros(len(vocab) + 1, np.int64)
-    t_words[t_key.astype(np.int64)] = t_count
-    b_words = np.concatenate([[n - count.sum()], count])
-    keys, b_pairs, _ = _counts(plain, _pairs_of, known, buckets, scratch, "pairs", limit=PAIRS)
-    t_keys, t_pairs, _ = _counts(target, _pairs_of, known, buckets, scratch, "target-pairs", only=put(keys))
-    model = put((vocab, keys, [(t_words, _of(t_keys, t_pairs, keys)), (b_words, b_pairs)]))
-    return plain.mapInArrow(released(_score(model)), "doc long, n_words long, target_loss double, background_loss double, score double").withColumnRenamed("doc", id_col)
+    vocab = spark.sparkContext.broadcast(None if VOCABULARY is None else _commonest(plain, VOCABULARY))
+    scratch = Scratch(spark, "cross-entropy")
+    runs = scratch.save(plain.mapInArrow(released(_runs(vocab)), _ROWS), "runs", **_WRITE)
+    goal = target_documents(plain, wanted).mapInArrow(_runs(vocab), _ROWS)
+    asked = runs.mapInArrow(released(_ask(buckets, False)), _ROWS).unionByName(goal.mapInArrow(released(_ask(buckets, True)), _ROWS))
+    answers = scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(PAIRS is not None), _ROWS), "answers", **_WRITE)
+    totals, sizes = np.zeros(3, np.int64), {}
+    for r in answers.where(F.col("kind").isin(TOTAL, SIZES)).select("kind", "blob").collect():
+        if r["kind"] == TOTAL:
+            totals += _get(bytes(r["blob"]), np.int64)[0]
+        else:
+            for value, n in zip(*_get(bytes(r["blob"]), np.int64, np.int64), strict=True):
+                sizes[int(value)] = sizes.get(int(value), 0) + int(n)
+    score = _score(int(totals[0]) + 1, (int(totals[1]), int(totals[2])), _least(list(sizes.items()), PAIRS))
+    scored = runs.unionByName(answers.where(F.col("kind").isin(WORD, PAIR))).repartition(buckets, "run").groupBy("run").applyInArrow(score, "doc long, n_words long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("doc", id_col)
