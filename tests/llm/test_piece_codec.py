@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import types as T
+from weftlink.llm import piece_codec
 from weftlink.llm.piece_codec import CharMap, PieceCodec, encode_digests, encode_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -91,3 +92,20 @@ def test_squeezed_spaces(text):
     normal, source = codec.normalise(text)
     assert normal.decode() == {"": "", "  x  y ": "▁x▁y", " ": ""}[text]
     assert len(source) == len(normal) + 1
+
+
+def test_digests_come_from_spans(spark, monkeypatch):
+    plain = PieceCodec(PATH)
+    for t in texts(500):
+        ids, _, spans = plain.encode_aligned(t)
+        normal, source = plain.normalise(t or "")
+        assert [(b, e) for _, b, e in plain._project([*struct.unpack(f"<{len(ids) // 4}I", ids)], normal, source)] == [tuple(x) for x in spans.tolist()]
+    used = []
+    project = PieceCodec._project
+    monkeypatch.setattr(PieceCodec, "_project", lambda self, *x: used.append(1) or [(i, b, b) for i, b, _ in project(self, *x)])
+    codec = PieceCodec(PATH)
+    assert used == [] and piece_codec.covered(codec.encode_aligned("one two\nthree")[2]) == 0 and used
+    monkeypatch.undo()
+    rows = [(k, t) for k, t in enumerate(texts(100))]
+    got = {r["doc_id"]: r["n_bytes"] for r in encode_digests(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got == {k: len((t or "").encode()) for k, t in rows}

@@ -72,16 +72,28 @@ class PieceCodec:
         plain = not self.map.units and self.dummy and not self.squeeze and self.escape and not self.suffix and set(self.types) <= {1, 2, 3, 6}
         self.cuts = plain and not crossing and model.trainer_spec.byte_fallback
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
+        self.encoded = [p.encode() for p in self.pieces]
         self.lone = self.sp.piece_to_id(SPACE)
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
+        self.seen: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.bos, self.eos = (np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
 
     # --- encoding -------------------------------------------------------------------------------
-    def _chunk_entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join([self.raw[i] for i in ids])
-
-    def _chunks(self, text: str) -> list[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each chunk of the text with its dummy prefix."""
+    def _chunk_entry(self, chunk: str, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        """Ids, decoded bytes and byte spans in the chunk; its own first space stands where normalisation puts the dummy prefix."""
+        mark = len(SPACE.encode())
+        if chunk == " ":
+            normal, source = SPACE.encode(), [0] * mark + [1]
+        elif chunk[0] == " ":
+            normal, source = self.normalise(chunk[1:])
+            source = [0] * mark + [s + 1 for s in source[mark:]]
+        else:
+            normal, source = self.normalise(chunk)
+            normal, source = normal[mark:], source[mark:]
+        flat = [x for _, begin, end in self._project(ids, normal, source) for x in (begin, end)]
+        return struct.pack(f"<{len(ids)}I", *ids), b"".join([self.raw[i] for i in ids]), struct.pack(f"<{len(flat)}q", *flat)
+
+    def _chunks(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
+        """(ids, decoded bytes, spans) of each chunk of the text with its dummy prefix."""
         chunks = _CHUNK(" " + text.replace(SPACE, " "))
         seen = self.seen
         missing = [c for c in set(chunks) if c not in seen]
@@ -94,7 +106,7 @@ class PieceCodec:
         for c, a, ids in zip(missing, after, encoded, strict=True):
             if c == " ":  # the dummy prefix alone, which the library leaves out of an empty text
                 ids = [self.lone]
-            seen[c] = self._chunk_entry(ids[2:] if a else ids)
+            seen[c] = self._chunk_entry(c, ids[2:] if a else ids)
         return [seen[c] for c in chunks]
 
     def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
@@ -119,6 +131,18 @@ class PieceCodec:
         if not data:
             return b"", [0]
         mark = SPACE.encode() if self.escape else b" "
+        if not self.map.units and not self.squeeze:  # no key matches anywhere: only spaces change
+            body, end, prefix_size = data.replace(b" ", mark), len(data), len(mark) * self.dummy
+            if data.isascii() and b" " not in data:
+                body_source = list(range(end))
+            else:
+                body_source, start = [], 0
+                for k, c in enumerate(data):
+                    start = start if c & 0xC0 == 0x80 else k
+                    body_source += [start] * (len(mark) if c == 0x20 else 1)
+            if self.suffix:
+                return body + mark * self.dummy, [*body_source, *[end] * prefix_size, end]
+            return mark * self.dummy + body, [0] * prefix_size + body_source + [end]
 
         def prefix(at: int) -> tuple[int, bytes]:
             hit = self.map.longest(data, at)
@@ -163,14 +187,11 @@ class PieceCodec:
             space(at)
         return bytes(out), [*source, at]
 
-    def encode_spans(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(id, first byte, end byte) of each piece in the original UTF-8; a byte piece has its own byte of an unchanged character."""
-        text = text or ""
-        ids = np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
-        normal, source = self.normalise(text)
-        at, out = 0, []
+    def _project(self, ids: list[int], normal: bytes, source: list[int]) -> list[tuple[int, int, int]]:
+        """Pieces, laid side by side over the normalised text, as spans of its source."""
+        at, out, types, encoded = 0, [], self.types, self.encoded
         for i in ids:
-            if self.types[i] == BYTE:
+            if types[i] == BYTE:
                 first = at
                 while normal[first] & 0xC0 == 0x80:
                     first -= 1
@@ -180,17 +201,41 @@ class PieceCodec:
                 begin, end, n = source[first], source[last], 1
                 if end - begin == last - first:  # an unchanged character: its own bytes
                     begin, end = begin + at - first, begin + at - first + 1
+                if normal[at] != self.raw[i][0]:
+                    raise ValueError(f"byte piece {i} does not stand at byte {at} of the normalised text")
                 out.append((i, begin, end))
                 at += 1
                 continue
-            if self.types[i] == 2:  # unknown: one character
+            if types[i] == 2:  # unknown: one character
                 n = self._unknown(normal, at)
             else:
-                n = len(self.pieces[i].encode())
+                n = len(encoded[i])
+                if not normal.startswith(encoded[i], at):
+                    raise ValueError(f"piece {i} does not stand at byte {at} of the normalised text")
             out.append((i, source[at], source[min(at + n, len(normal))]))
             at += n
         return out
 
+    def encode_aligned(self, text: str | None) -> tuple[bytes, bytes, np.ndarray]:
+        """(ids, decoded bytes, first and end source byte of each piece)."""
+        text = text or ""
+        if not text or not self.cuts or SPACE in text:  # a mark in the text is wider than the space its chunk has
+            ids, decoded = self.encode_bytes(text)
+            spans = [s[1:] for s in self._project(np.frombuffer(ids, "<u4").tolist(), *self.normalise(text))]
+            return ids, decoded, np.array(spans, np.int64).reshape(-1, 2)
+        entries = self._chunks(text)
+        spans = np.frombuffer(b"".join([e[2] for e in entries]), "<i8").reshape(-1, 2)
+        size = np.array([len(e[1]) for e in entries])  # a chunk decodes to its own bytes, which its spans have to reach
+        start = np.repeat(np.cumsum(size) - size, [len(e[0]) // 4 for e in entries])
+        # the text is behind the dummy prefix, which has no byte of its own
+        spans = np.maximum(spans + start[:, None] - 1, 0)
+        return b"".join([e[0] for e in entries]), b"".join([e[1] for e in entries])[1:], spans
+
+    def encode_spans(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(id, first byte, end byte) of each piece in the original UTF-8; a byte piece has its own byte of an unchanged character."""
+        ids, _, spans = self.encode_aligned(text)
+        return [(i, b, e) for i, (b, e) in zip(np.frombuffer(ids, "<u4").tolist(), spans.tolist(), strict=True)]
+
     @staticmethod
     def _unknown(normal: bytes, at: int) -> int:
         n = 1
@@ -211,6 +256,14 @@ def codec(path: str) -> PieceCodec:
     return _CODECS[path]
 
 
+def covered(spans: np.ndarray) -> int:
+    """Bytes that lie in at least one span; spans begin in order."""
+    if not len(spans):
+        return 0
+    reached = np.concatenate([[0], np.maximum.accumulate(spans[:, 1])[:-1]])
+    return int(np.maximum(0, spans[:, 1] - np.maximum(spans[:, 0], reached)).sum())
+
+
 _OUT = [("doc", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("lossless", pa.bool_())]
 
 
@@ -223,12 +276,12 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             n, a, b, size, same = [], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                ids, decoded = c.encode_bytes(text)
+                ids, decoded, spans = c.encode_aligned(text)
                 source = text.encode()
-                n.append(len(ids) // 4 + 2)
+                n.append(len(spans) + 2)
                 a.append(hashlib.sha256(c.bos + ids + c.eos).hexdigest())
                 b.append(hashlib.sha256(decoded).hexdigest())
-                size.append(len(source))
+                size.append(covered(spans))
                 same.append(decoded == source)
             yield rows(_OUT, [batch.column(0), n, a, b, size, same])
         c.seen.clear()
