@@ -6,6 +6,7 @@ import re
 
 import pytest
 from pyspark.sql import types as T
+from weftlink.llm import suffix_search
 from weftlink.llm.suffix_search import decontaminate
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("item_id", T.StringType()), T.StructField("hits", T.StringType())])
@@ -63,3 +64,45 @@ def test_empty_tables(spark):
     assert decontaminate(none, no_items).collect() == []
     row = decontaminate(spark.createDataFrame([(1, "a b", "", "")], SCHEMA), no_items).first()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
+
+
+def brute_longest(text, items):
+    best, w = 0, words(text)
+    for _, t in items:
+        v, before = words(t), [0] * (len(w) + 1)
+        for x in v:
+            now = [0] + [before[k] + 1 if w[k] == x else 0 for k in range(len(w))]
+            best, before = max(best, *now), now
+    return best
+
+
+@pytest.mark.parametrize("block", [4_000_000, 700])
+def test_longest_matches_and_spans(spark, block):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(8, 40)))) for i in range(15)] + [(20, "zebra stripe"), (21, None)]
+    passage = words(items[3][1])
+    docs = [(1, items[3][1]), (2, items[3][1]), (3, "x " + items[3][1]), (4, " ".join(passage[1:7])), (5, "w1 nothing"), (6, None), (7, "a zebra stripe zebra stripe")]
+    docs += [(10 + k, " ".join(rng.choices([*vocab, "other"], k=rng.randint(1, 60)) + passage[: rng.randint(0, len(passage))])) for k in range(40)]
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string").repartition(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["longest_match"] for r in suffix_search.decontaminate(df, tests, block_bytes=block).collect()}
+    assert got == {d: brute_longest(t, items) for d, t in docs}
+    want = set()
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            n = min(10, len(v))
+            windows = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)} if n else set()
+            first = end = None
+            for s in range(len(w) - n + 1) if n else ():
+                if tuple(w[s : s + n]) in windows:
+                    if end is None or s > end:
+                        if end is not None:
+                            want.add((d, i, first, end - first))
+                        first = s
+                    end = s + n
+            if end is not None:
+                want.add((d, i, first, end - first))
+    spans = [tuple(r) for r in suffix_search.contaminated_spans(df, tests, block_bytes=block).collect()]
+    assert len(spans) == len(set(spans)) and set(spans) == want

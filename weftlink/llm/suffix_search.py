@@ -3,7 +3,9 @@
 Documents form shards of a few MB. A shard's suffix array holds the word positions at which a match of
 benchmark text can begin: those followed by enough words of the benchmark's vocabulary (every other suffix
 can't match a whole window). Every suffix of every benchmark item is looked up by binary search, word by word,
-all at once: its longest verbatim match, and the interval of document suffixes that begin with its window.
+all at once: the interval of document suffixes that begin with its window, which gives the stretches of words
+that an item covers. The longest verbatim match is that of the document: every document suffix is followed
+through the test suffixes, so it doesn't depend on other documents of the shard.
 Nothing is shuffled; a document is scored where it is read. The benchmark is taken in blocks of bounded size,
 each broadcast, so a larger benchmark adds passes, not memory.
 
@@ -78,12 +80,11 @@ def suffix_array(names: np.ndarray, run: np.ndarray, at: np.ndarray, depth: int)
     return at[order]
 
 
-def match(tests: Tests, names: np.ndarray, run: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every test suffix: the longest match's words and one place of it, and the interval of suffixes that begin with its window."""
+def match(tests: Tests, names: np.ndarray, run: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every test suffix: the interval of document suffixes that begin with its window."""
     n = len(tests.words)
     pad = np.concatenate([names, [0]])
     lo, hi = np.zeros(n, np.int64), np.full(n, len(sa))
-    longest, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
     wlo, whi = np.zeros(n, np.int64), np.zeros(n, np.int64)
     need = np.zeros(n, np.int64)
     need[tests.begins] = tests.lengths
@@ -106,53 +107,86 @@ def match(tests: Tests, names: np.ndarray, run: np.ndarray, sa: np.ndarray) -> t
         lo[live], hi[live] = low, high
         live = live[low < high]
         d += 1
-        longest[live], where[live] = d, sa[lo[live]]
         full = live[need[live] == d]
         wlo[full], whi[full] = lo[full], hi[full]
-        live = live[tests.left[live] > d]
-    return longest, where, wlo, whi
-
-
-def scan_shard(tests: Tests, w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hit flag of every word, documents and items of occurring windows, longest match of every document)."""
+        live = live[need[live] > d]
+    return wlo, whi
+
+
+def longest_matches(tests: Tests, names: np.ndarray, run: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Of every document the words of its longest run that occurs in an item: all document suffixes are followed through the test suffixes, a word at a time."""
+    longest = np.zeros(docs, np.int64)
+    at, of_tests = np.flatnonzero(run > 0), np.arange(len(tests.words))
+    state, of_state, d = names[at], tests.words, 1
+    width = len(tests.vocab) + 1
+    longest[doc[at]] = 1
+    while True:
+        more, alive = run[at] > d, np.zeros(max(1, len(of_tests), width), bool)
+        at, state = at[more], state[more]
+        alive[state] = True
+        more = (tests.left[of_tests] > d) & alive[of_state]
+        of_tests, of_state = of_tests[more], of_state[more]
+        if not len(at) or not len(of_tests):
+            return longest
+        key, of_state = np.unique(of_state * width + tests.words[of_tests + d], return_inverse=True)
+        want = state * width + names[at + d]
+        state = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        got = key[state] == want
+        at, state, d = at[got], state[got], d + 1
+        longest[doc[at]] = d
+
+
+def _merged(item: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first word, end) of the hit stretches: windows of one item that overlap in a document are one."""
+    order = np.lexsort((at, item, doc[at]))
+    item, at, end = item[order], at[order], end[order]
+    group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (doc[at[1:]] != doc[at[:-1]])])) if len(at) else at
+    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+    new = np.ones(len(at), bool)
+    new[1:] = (group[1:] != group[:-1]) | (at[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return item[first], at[first], reach[np.append(first[1:], len(at)) - 1] if len(at) else end
+
+
+def scan_shard(tests: Tests, w: tokens.Words) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(hit flag of every word, item, first word and end of the hit stretches in order of documents, longest match of every document)."""
     docs, hit, longest = len(w.bounds) - 1, np.zeros(len(w.hashes), bool), np.zeros(len(w.bounds) - 1, np.int64)
     none = np.zeros(0, np.int64)
     if not len(tests.begins) or not len(w.hashes):
-        return hit, none, none, longest
+        return hit, (none, none, none), longest
     place = np.minimum(np.searchsorted(tests.vocab, w.hashes), len(tests.vocab) - 1)
     names = np.where(tests.vocab[place] == w.hashes, place + 1, 0)
     stop = np.append(np.flatnonzero(names == 0), len(names))
     place = np.arange(len(names))
     run = np.minimum(stop[np.searchsorted(stop, place)], w.bounds[1:][w.docs]) - place
+    doc_of = w.docs
+    longest = longest_matches(tests, names, run, doc_of, docs)
     at = np.flatnonzero(run >= tests.least)
     if not len(at):
-        return hit, none, none, longest
-    sa = suffix_array(names, run, at, int(tests.left.max()))
-    far, where, lo, hi = match(tests, names, run, sa)
-    doc_of = w.docs
-    got = np.flatnonzero(far > 0)
-    np.maximum.at(longest, doc_of[where[got]], far[got])
+        return hit, (none, none, none), longest
+    sa = suffix_array(names, run, at, int(tests.lengths.max()))
+    lo, hi = match(tests, names, run, sa)
     begins = tests.begins[hi[tests.begins] > lo[tests.begins]]
-    mark = np.zeros(len(names) + 1, np.int64)
     size = np.minimum(tests.left[begins], tests.lengths[np.searchsorted(tests.begins, begins)])
-    same = np.stack([lo[begins], hi[begins], size], 1)
-    one, first, of = np.unique(same, axis=0, return_index=True, return_inverse=True)
-    of = of.ravel()
-    d_out, i_out = [], []
-    by = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[by], np.arange(len(one) + 1))
-    for k, (a, b, length) in enumerate(one.tolist()):  # distinct windows that occur
+    # a window that an item has more than once counts once
+    same = np.unique(np.stack([lo[begins], hi[begins], size, tests.ids[tests.item[begins]]], 1), axis=0)
+    mark = np.zeros(len(names) + 1, np.int64)
+    items, first = [none], [none]
+    ends = [none]
+    for a, b, length, item in same.tolist():  # distinct windows of items that occur
         p = sa[a:b]
         np.add.at(mark, p, 1)
         np.add.at(mark, p + length, -1)
-        found, items = np.unique(doc_of[p]), np.unique(tests.ids[tests.item[begins[by[ends[k] : ends[k + 1]]]]])
-        d_out.append(np.repeat(found, len(items)))
-        i_out.append(np.tile(items, len(found)))
-    hit = np.cumsum(mark[:-1]) > 0
-    if not d_out:
-        return hit, none, none, longest
-    pairs = np.unique(np.stack([np.concatenate(d_out), np.concatenate(i_out)], 1), axis=0)
-    return hit, pairs[:, 0], pairs[:, 1], longest
+        items.append(np.full(len(p), item))
+        first.append(p)
+        ends.append(p + length)
+    return np.cumsum(mark[:-1]) > 0, _merged(np.concatenate(items), np.concatenate(first), np.concatenate(ends), doc_of), longest
+
+
+def _items(w: tokens.Words, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[int]]:
+    """The items found in each document."""
+    cut = np.searchsorted(spans[1], w.bounds) if not len(spans[1]) else np.searchsorted(w.docs[spans[1]], np.arange(len(w.bounds)))
+    return [sorted(set(spans[0][a:b].tolist())) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _STATE = [("doc", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("longest", pa.int64())]
@@ -165,10 +199,9 @@ def _block(tests, first: bool, last: bool):
         for batch in batches:
             for a, b, data, off in tokens.slices(batch.column(1)):
                 w = tokens.scan(data, off, tokens.PUNCT, lower=True)
-                hit, d, i, longest = scan_shard(t, w)
+                hit, spans, longest = scan_shard(t, w)
                 n = np.diff(w.bounds)
-                cut = np.searchsorted(d, np.arange(b - a + 1))
-                items: list = [i[cut[k] : cut[k + 1]].tolist() for k in range(b - a)]
+                items = _items(w, spans)
                 if not first:
                     for k in range(b - a):
                         old = batch.column(3)[a + k].as_py()
@@ -208,6 +241,32 @@ def decontaminate(
     return state.withColumnRenamed("doc", id_col)
 
 
+def contaminated_spans(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Per stretch of a document that windows of an item cover: id, item_id, first word (from 0) and words. Rows of docs with equal ids give their stretches each."""
+    spark = docs.sparkSession
+    items = id_and_text(benchmark, item_id_col, item_text_col).where("_id is not null")
+    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    items, plain, out = items.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks))), id_and_text(docs, id_col, text_col), None
+    for k in range(blocks):
+        got = items.where(F.col("_block") == k).collect()
+        tests = spark.sparkContext.broadcast(make_tests([r["_id"] for r in got], [r["_text"] for r in got], window))
+
+        def find(batches, tests=tests):
+            for batch in batches:
+                for a, b, data, off in tokens.slices(batch.column(1)):
+                    w = tokens.scan(data, off, tokens.PUNCT, lower=True)
+                    item, first, end = scan_shard(tests.value, w)[1]
+                    doc = w.docs[first]
+                    yield rows([(c, pa.int64()) for c in ("doc", "item_id", "first_word", "n_words")], [batch.column(0).slice(a, b - a).take(pa.array(doc)), item, first - w.bounds[doc], end - first])
+
+        part = plain.mapInArrow(released(find), "doc long, item_id long, first_word long, n_words long")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("doc", id_col)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs; all columns stay, and nothing is shuffled."""
     spark, place = docs.sparkSession, docs.columns.index(text_col)
