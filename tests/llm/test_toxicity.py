@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
-from weftlink.llm import toxicity
+from weftlink.llm import tokens, toxicity
 from weftlink.llm.language_id import held_out
 from weftlink.llm.toxicity import score_toxicity, train_toxicity_model
 
@@ -76,3 +77,13 @@ def test_one_class_and_empty(spark):
     assert model is None
     assert {r["score"] for r in score_toxicity(df, model).collect()} == {0.0}
     assert score_toxicity(df.limit(0), model).collect() == []
+
+
+def test_passages_are_whole_in_a_window_at_every_offset():
+    longest, n = toxicity.WINDOW - toxicity.STRIDE + 1, 200
+    assert longest >= 0.75 * toxicity.WINDOW
+    texts = [" ".join(f"bad{k - at}" if at <= k < at + longest else f"w{k}" for k in range(n)) for at in range(n - longest + 1)]
+    t = toxicity.read(*tokens.column_bytes(pa.array(texts, pa.large_string())))
+    words = tokens.scan(*tokens.column_bytes(pa.array([f"bad{k}" for k in range(longest)])), tokens.PUNCT, lower=True).hashes
+    whole = np.isin(np.append(t.hashes, np.uint64(0))[t.windows], words).sum(1) == longest
+    assert set(t.doc[whole].tolist()) == set(range(len(texts)))

@@ -2,7 +2,8 @@
 
 Input of a word: an embedding of the word (words of at least MIN_DOCS training documents; one for the rest) and
 the mean embedding of its hashed byte 3- and 5-grams with word marks. Two gated recurrent layers, one from
-either end, run over windows of WINDOW words that start every STRIDE words and so overlap; attention pools each
+either end, run over windows of WINDOW words that start every STRIDE words; so any passage of up to WINDOW - STRIDE + 1
+words is whole in one of them, wherever it starts; attention pools each
 window. A document's score is its highest window's, put on a probability scale by a logistic fit on the
 training documents.
 
@@ -25,7 +26,7 @@ from weftlink.llm import tokens
 from weftlink.llm.sessions import id_and_text, rows
 
 PER_CLASS = 1200
-WINDOW, STRIDE = 48, 40
+WINDOW, STRIDE = 48, 12
 HIDDEN, EMBED = 8, 12
 MIN_DOCS = 4
 GRAM_BITS = 15
