@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import types as T
-from weftlink.llm.difference_cover import suffix_array, suffix_array_dedup
+from weftlink.llm.difference_cover import suffix_array, suffix_array_dedup, without_repeats
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("doc", T.StringType())])
 
@@ -73,3 +74,14 @@ def test_small_shards_and_windows(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffix_array_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b = "".join(chr(97 + i * i % 23) for i in range(300)), "".join(chr(65 + i * 7 % 25 + i % 3) for i in range(299)) + "!"
+    rows = [(1, a), (2, a), (2, "unique " + "xyz" * 60), (None, "own text"), (None, b), (None, b), (7, None), (7, "")]
+    df = spark.createDataFrame([(d, t, "p", "q") for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((map(tuple, suffix_array_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())), key=str)
+    want = sorted([(1, 300, 300, 1), (2, 300, 300, 1), (2, 187, 0, 0), (None, 8, 0, 0), (None, 300, 300, 1), (None, 300, 300, 1), (7, 0, 0, 0), (7, 0, 0, 0)], key=str)
+    assert got == want
+    kept = sorted(without_repeats(df).select("doc_id", "text").collect(), key=str)
+    assert [tuple(r) for r in kept] == sorted([(1, ""), (2, ""), (2, "unique " + "xyz" * 60), (None, "own text"), (None, ""), (None, ""), (7, None), (7, "")], key=lambda r: str(Row(doc_id=r[0], text=r[1])))

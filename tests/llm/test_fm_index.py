@@ -77,3 +77,28 @@ def test_small_shards(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert fm_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def thue_morse(k, a, b):
+    s = [a]
+    for _ in range(k):
+        s += [b if x == a else a for x in s]
+    return s
+
+
+def test_words_and_runs_on_which_polynomial_hashes_collide(spark):
+    same, one, two = ["same"] * 12, "".join(thue_morse(10, "a", "b")), "".join(thue_morse(10, "b", "a"))
+    rows = [(1, " ".join([*same, one])), (2, " ".join([*same, two])), (3, " ".join(thue_morse(11, "x", "y"))), (4, " ".join(thue_morse(11, "y", "x")))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(0, 40)), (5, text(0, 20) + " own words"), (5, text(100, 130)), (5, text(100, 130)), (7, text(110, 125)), (None, text(0, 40)), (None, text(0, 40)), (None, None)]
+    got = {(d, n, r) for d, n, r, _ in run_unsorted(spark, rows)}
+    assert got == {(1, 40, 0), (5, 22, 20), (5, 30, 0), (7, 15, 15), (None, 40, 0), (None, 0, 0)}
+
+
+def run_unsorted(spark, rows):
+    df = spark.createDataFrame([(d, t, "p", "q") for d, t in rows], SCHEMA)
+    return [tuple(r)[:4] for r in fm_dedup(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]

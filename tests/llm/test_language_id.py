@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 from pyspark.sql import types as T
-from weftlink.llm.language_id import held_out, identify_languages, keep_identified, learn, predict, train_language_model
+from weftlink.llm.language_id import _gram_hashes, held_out, identify_languages, keep_identified, learn, predict, train_language_model
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.StringType())])
 SYLLABLES = {"en": "the ing and tion er wh".split(), "fr": "le eau oux tion é que".split(), "de": "der ung sch ein ü keit".split()}
@@ -58,3 +58,9 @@ def test_kernel_against_plain_sets():
     one, many = predict(model, [texts[7]]), predict(model, list(texts))
     assert many[0][7] == one[0][0] and abs(many[1][7] - one[1][0]) < 1e-5
     assert pytest.approx(1.0, abs=1e-5) == float((model.landmarks[0] ** 2).sum())
+
+
+def test_a_text_is_lowered_by_itself():
+    alone = [h[0][h[2]].tolist() for h in _gram_hashes(["ΟΔΟΣ"])]
+    beside = [h[0][h[2] & (h[1] == 0)].tolist() for h in _gram_hashes(["ΟΔΟΣ", "ΑΒΓ"])]
+    assert alone == beside

@@ -7,8 +7,8 @@ Passages are routed to shards by content (see routed.py); a shard sorts the suff
 difference cover of 3: the suffixes at places 1 and 2 mod 3 are named by their triples, recursion on the names
 orders them, the others follow from one byte and the rank behind it, and both are merged. Suffixes whose
 neighbour in the order has the same WINDOW bytes are repeats; a run that stands at several places is one too.
-Null texts are empty. Rows with the same id count as documents of their own, and lose the union of their spans.
-Rows without an id are returned unchanged and don't count.
+Null texts are empty. Every row is a document of its own, whether it repeats another row, shares its id or has none.
+Other columns are ignored, or kept by without_repeats.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import routed, tokens
-from weftlink.llm.sessions import id_and_text, released
+from weftlink.llm.sessions import id_and_text, released, row_key
 
 WINDOW, GRAM = 200, 24
 SHARD = 1_200_000
+#: A document is known by its row's key.
+WHO = (np.int64,)
 
 
 def _sort_keys(*cols: np.ndarray) -> np.ndarray:
@@ -127,22 +129,16 @@ def repeated_windows(units: np.ndarray, starts: np.ndarray, windows: np.ndarray,
 def _slices(gram: int):
     def of(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).to_numpy()
             for a, b, data, off in tokens.slices(batch.column(1)):
-                n = len(data)
-                up, down = tokens._powers(max(n, 1))
-                with np.errstate(over="ignore"):
-                    total = np.zeros(n + 1, np.uint64)
-                    np.cumsum(tokens._TABLE[data] * up[:n], out=total[1:], dtype=np.uint64)
-                    grams = tokens.mix((total[gram:] - total[:-gram]) * down[: max(0, n - gram + 1)], 31) if n >= gram else np.zeros(0, np.uint64)
-                yield {"ids": ids[a:b], "bounds": off, "units": data, "grams": grams, "prefix": lambda s, e, t=total, d=down: (t[e] - t[s]) * d[s]}
+                yield {"who": (keys[a:b],), "bounds": off, "units": data, "grams": tokens.mix(tokens.rolling(data, gram), 31)}
 
     return of
 
 
 def _shard(window: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        anchor, content, windows, units, place, doc, first = routed.read_messages(table.column("blob"), np.uint8)
+        anchor, content, windows, units, place, doc, first = routed.read_messages(table.column("blob"), np.uint8, WHO)
         windows, units, starts, place, anchor = routed.distinct_runs(anchor, content, windows, units, place, window)
         many = np.bincount(place, minlength=len(windows)) > 1
         # shards of about SHARD bytes, cut between anchors
@@ -155,7 +151,7 @@ def _shard(window: int, buckets: int):
         flags = np.concatenate(flags) if flags else np.zeros(0, bool)
         own = np.concatenate([[0], np.cumsum(windows)])
         take = routed.take_units(own[place], windows[place])
-        return routed.span_rows(*routed.spans_of(flags[take], np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets)
+        return routed.span_rows(*routed.spans_of(flags[take], np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets=buckets)
 
     return run
 
@@ -163,19 +159,19 @@ def _shard(window: int, buckets: int):
 _OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cuts(left: pa.Table, doc, begin, end):
+def _cuts(left: pa.Table, begin, end, doc):
     """(bytes, removed flags) of each row."""
     o = np.argsort(doc, kind="stable")
     doc, begin, end = doc[o], begin[o], end[o]
-    for i, text in zip(left.column("_id").to_pylist(), left.column("_text"), strict=True):
+    for k, text in zip(left.column("_key").to_pylist(), left.column("_text"), strict=True):
         data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-        lo, hi = np.searchsorted(doc, [i, i + 1]) if i is not None else (0, 0)
+        lo, hi = np.searchsorted(doc, k), np.searchsorted(doc, k, "right")
         yield data, routed.covered(len(data), begin[lo:hi], end[lo:hi]) if hi > lo else np.zeros(len(data), bool)
 
 
-def _digests(left: pa.Table, doc, begin, end) -> pa.Table:
+def _digests(left: pa.Table, begin, end, doc) -> pa.Table:
     n, gone, spans, sha = [], [], [], []
-    for data, cut in _cuts(left, doc, begin, end):
+    for data, cut in _cuts(left, begin, end, doc):
         n.append(len(data))
         gone.append(int(cut.sum()))
         spans.append(int((cut & ~np.concatenate([[False], cut[:-1]])).sum()) if len(cut) else 0)
@@ -183,17 +179,21 @@ def _digests(left: pa.Table, doc, begin, end) -> pa.Table:
     return pa.table({"doc": left.column("_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _kept_texts(left: pa.Table, doc, begin, end) -> pa.Table:
+def _kept_texts(left: pa.Table, begin, end, doc) -> pa.Table:
     texts, changed = [], []
-    for (data, cut), old in zip(_cuts(left, doc, begin, end), left.column("_text"), strict=True):
+    for (data, cut), old in zip(_cuts(left, begin, end, doc), left.column("_text"), strict=True):
         changed.append(bool(cut.any()))
         # a character that lost some of its bytes goes whole
         texts.append(data[~cut].tobytes().decode("utf-8", "ignore") if cut.any() else old.as_py())
-    return pa.table({"doc": left.column("_id"), "kept": pa.array(texts, pa.string()), "changed": pa.array(changed, pa.bool_()), "rest": left.column("_rest")})
+    return pa.table({"kept": pa.array(texts, pa.string()), "changed": pa.array(changed, pa.bool_()), "rest": left.column("_rest")})
+
+
+def _keyed(plain: DataFrame) -> DataFrame:
+    return plain.withColumn("_key", row_key("_id", "_text"))
 
 
 def _found(plain: DataFrame, window: int, gram: int) -> tuple[DataFrame, int]:
-    plain = plain.where("_id is not null")
+    plain = plain.select("_key", "_text")
     spark, buckets = plain.sparkSession, routed.bucket_count(plain)
     slices = _slices(gram)
     bits = spark.sparkContext.broadcast(routed.repeated_filter(plain, slices, buckets, window - gram + 1))
@@ -202,10 +202,10 @@ def _found(plain: DataFrame, window: int, gram: int) -> tuple[DataFrame, int]:
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256. Ids must tell documents apart."""
-    plain = id_and_text(docs, id_col, text_col)
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    plain = _keyed(id_and_text(docs, id_col, text_col))
     spans, buckets = _found(plain, window, gram)
-    return routed.cut_documents(plain, spans, buckets, _digests, _OUT).withColumnRenamed("doc", id_col)
+    return routed.cut_documents(plain, spans, buckets, WHO, _digests, _OUT).withColumnRenamed("doc", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, length_col: str | None = None) -> DataFrame:
@@ -213,11 +213,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     length_col, if given, is set to the new number of characters where a text changed.
     """
-    plain = id_and_text(docs, id_col, text_col)
-    spans, buckets = _found(plain, window, gram)
-    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_rest"))
+    spans, buckets = _found(_keyed(id_and_text(docs, id_col, text_col)), window, gram)
+    whole = docs.select(row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_key"), F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_rest"))
     kind = whole.schema["_rest"].dataType.simpleString()
-    out = routed.cut_documents(whole, spans, buckets, _kept_texts, f"doc long, kept string, changed boolean, rest {kind}")
+    out = routed.cut_documents(whole, spans, buckets, WHO, _kept_texts, f"kept string, changed boolean, rest {kind}")
     new = {c: F.col("rest")[c] for c in docs.columns if c != text_col} | {text_col: F.col("kept")}
     if length_col:
         new[length_col] = F.when(F.col("changed"), F.length("kept").cast(docs.schema[length_col].dataType)).otherwise(new[length_col])

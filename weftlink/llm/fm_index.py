@@ -9,8 +9,9 @@ run is then streamed through the index from its last word to its first, all runs
 by one word turns the interval of the WINDOW - 1 words behind it into that of the window, whose length-limited
 matching statistic has thus reached the threshold; the interval of its first WINDOW - 1 words is the state for
 the next step. An interval reports the smallest document in which its window starts.
-Null texts have no words. Rows with the same id are the same document to each other. Rows without an id are
-returned unchanged and don't count.
+Null and empty texts have no words. No id is smaller than itself, so rows with the same id remove nothing of each other,
+and each loses only its own words. Rows without an id have no order: they are returned unchanged and don't count.
+Equal rows give equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftlink.llm import routed, tokens
-from weftlink.llm.sessions import id_and_text, released
+from weftlink.llm.sessions import id_and_text, released, row_key
 
 WINDOW, GRAM = 13, 4
 SHARD = 1_500_000
 #: Words travel as 40 bits of their hash.
 UNIT = np.dtype("V5")
+#: What stands for a document in messages: its id, and 32 bits of its row's key, which tell rows with one id apart.
+WHO = (np.int64, np.uint32)
 
 
 class WaveletMatrix:
@@ -123,19 +126,15 @@ def window_intervals(index: FMIndex, starts: np.ndarray, windows: np.ndarray, de
 def _slices(gram: int):
     def of(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype(np.uint32)
             for a, b, data, off in tokens.slices(batch.column(1)):
                 w = tokens.scan(data, off, tokens.SPACE)
-                n = len(w.hashes)
-                grams = np.zeros(max(0, n - gram + 1), np.uint64)
-                up, down = tokens._powers(max(n, 1))
+                grams = np.zeros(max(0, len(w.hashes) - gram + 1), np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(gram if len(grams) else 0):
                         grams += w.hashes[j : j + len(grams)] * tokens._Q[j]
-                    total = np.zeros(n + 1, np.uint64)
-                    np.cumsum(w.hashes * up[:n], out=total[1:], dtype=np.uint64)
                 units = np.ascontiguousarray(w.hashes.view(np.uint8).reshape(-1, 8)[:, :5]).view(UNIT).ravel()
-                yield {"ids": ids[a:b], "bounds": w.bounds, "units": units, "grams": tokens.mix(grams, 32), "prefix": lambda s, e, t=total, d=down: (t[e] - t[s]) * d[s]}
+                yield {"who": (ids[a:b], keys[a:b]), "bounds": w.bounds, "units": units, "grams": tokens.mix(grams, 32)}
 
     return of
 
@@ -167,11 +166,11 @@ def first_documents(hashes: np.ndarray, starts: np.ndarray, windows: np.ndarray,
 
 def _shard(window: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        anchor, content, windows, units, place, doc, first = routed.read_messages(table.column("blob"), UNIT)
+        anchor, content, windows, units, place, doc, first = routed.read_messages(table.column("blob"), UNIT, WHO)
         windows, units, starts, place, anchor = routed.distinct_runs(anchor, content, windows, units, place, window)
         hashes = _names(units)
         least = np.full(len(windows), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, doc)
+        np.minimum.at(least, place, doc[0])
         cuts = [0]
         for e in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(windows)]:
             if starts[e] - starts[cuts[-1]] >= SHARD or e == len(windows):
@@ -179,8 +178,8 @@ def _shard(window: int, buckets: int):
         docs = [first_documents(hashes[starts[a] : starts[b]], starts[a : b + 1] - starts[a], windows[a:b], least[a:b], window) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         own = np.concatenate([[0], np.cumsum(windows)])
-        flags = docs[routed.take_units(own[place], windows[place])] < np.repeat(doc, windows[place])
-        return routed.span_rows(*routed.spans_of(flags, np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets)
+        flags = docs[routed.take_units(own[place], windows[place])] < np.repeat(doc[0], windows[place])
+        return routed.span_rows(*routed.spans_of(flags, np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets=buckets)
 
     return run
 
@@ -189,14 +188,16 @@ _OUT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 def _finish(keep_text: bool):
-    def run(left, doc, begin, end) -> pa.Table:
-        ids, texts = left.column("_id"), left.column("_text")
-        o = np.argsort(doc, kind="stable")
-        doc, begin, end = doc[o], begin[o], end[o]
+    def run(left, begin, end, doc, key) -> pa.Table:
+        ids, keys, texts = left.column("_id"), left.column("_key"), left.column("_text")
+        o = np.lexsort((key, doc))
+        doc, key, begin, end = doc[o], key[o], begin[o], end[o]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(o) else o
+        spans = {(d, k): (a, b) for d, k, a, b in zip(doc[new].tolist(), key[new].tolist(), new.tolist(), np.append(new, len(o))[1:].tolist(), strict=True)}
         n, gone, sha, kept = [], [], [], []
-        for i, text in zip(ids.to_pylist(), texts, strict=True):
+        for i, k, text in zip(ids.to_pylist(), keys.to_pylist(), texts, strict=True):
             data = (text.as_py() or "").encode().split()  # bytes.split() cuts at exactly 0x20 and 0x09-0x0D
-            lo, hi = np.searchsorted(doc, [i, i + 1]) if i is not None else (0, 0)
+            lo, hi = spans.get((i, k & 0xFFFFFFFF), (0, 0))
             cut = routed.covered(len(data), begin[lo:hi], end[lo:hi]) if hi > lo else None
             rest = b" ".join(data if cut is None else [w for w, x in zip(data, cut.tolist(), strict=True) if not x])
             n.append(len(data))
@@ -211,11 +212,11 @@ def _finish(keep_text: bool):
 def fm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by spaces."""
     spark = docs.sparkSession
-    plain = id_and_text(docs, id_col, text_col)
+    plain = id_and_text(docs, id_col, text_col).withColumn("_key", row_key("_id", "_text").bitwiseAND(0xFFFFFFFF))
     buckets = routed.bucket_count(plain)
     slices, own = _slices(gram), plain.where("_id is not null")
     bits = spark.sparkContext.broadcast(routed.repeated_filter(own, slices, buckets, window - gram + 1))
     sent = own.mapInArrow(released(routed.send(slices, bits, buckets, window, gram)), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
     spans = sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA)
-    out = routed.cut_documents(plain, spans, buckets, _finish(keep_text), _OUT).withColumnRenamed("doc", id_col)
+    out = routed.cut_documents(plain, spans, buckets, WHO, _finish(keep_text), _OUT).withColumnRenamed("doc", id_col)
     return out if keep_text else out.drop("kept")

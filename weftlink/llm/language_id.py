@@ -9,6 +9,9 @@ Scoring: presence rows of a batch of documents, times landmarks, times coefficie
 Learning reads at most PER_CLASS documents of each language (those with the smallest hashes, whole texts); the
 model has a fixed size. Texts without a letter and null texts are `und` with score 0; so is everything where
 nothing could be learned. A text without any known gram gets the best bias. Every text is read whole.
+A prediction depends on the row's own text alone, so equal texts get equal results whatever their id; of languages with
+equal scores the first in alphabetical order is taken. Rows that repeat an id are predicted each; null ids stay null and
+are never held out. Other columns are ignored, or kept by keep_identified.
 """
 
 from __future__ import annotations
@@ -52,8 +55,9 @@ def has_letter(text: str | None) -> bool:
 
 def _gram_hashes(texts: list[str]):
     """For each order: (hash of the gram at each character, document of each character, whether the gram lies in one document)."""
-    chars = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.array([len(t.lower()) for t in texts])
+    low = [t.lower() for t in texts]  # each by itself: the lower case of a letter may depend on its neighbours
+    chars = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) for t in low])
     doc = np.repeat(np.arange(len(texts)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))
     total = np.zeros(len(chars), np.uint32)

@@ -9,6 +9,9 @@ anchor, and shards are independent. Neighbouring windows mostly share an anchor
 2. A second scan sends the runs with such anchors. A task sends equal runs once, with their places.
 3. Shards merge equal runs and decide, by the operator's own index, which windows are repeats.
 4. Spans of repeats meet their documents by document bucket; texts are shuffled once, here.
+
+A row is known by its key, a hash of its id and its text, so rows that share an id don't share spans, and the rows
+without an id, or of one id, are spread over all buckets.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +84,7 @@ def _count(slices_of: Callable, buckets: int, width: int):
             key = np.sort(np.concatenate(held))
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             twice = (np.diff(np.append(at, len(key))) > 1).astype(np.uint8)
-            parts = list(dealt((tokens.mix(key[at], 21) % np.uint64(buckets)).astype(np.int64), buckets, key[at], twice))
+            parts = list(dealt((tokens.mix(key[at], 21) % np.uint64(buckets)).astype(np.int64), key[at], twice))
             return rows(_BLOBS, [[b for b, _ in parts], [pack(*c) for _, c in parts]])
 
         for s in slices_of(batches):
@@ -138,20 +142,20 @@ def maybe_repeated(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 # A message: runs of distinct content with their units, then places of those runs.
 RUN = (np.uint64, np.uint64, np.int32)  # anchor, content hash, windows
-PLACE = (np.int32, np.int64, np.int32)  # run in this message, document, first unit
+# A place is the run in this message, the document (some columns, by the operator) and its first unit.
 
 
 def message(run_cols, units: np.ndarray, place_cols) -> bytes:
     return b"".join([pack(*run_cols), pack(units), pack(*place_cols)])
 
 
-def read_messages(blobs, unit: np.dtype):
-    """(anchor, content, windows, unit starts, units, run of each place, document, first unit)."""
-    got: list[list] = [[], [], [], [], [], [], []]
+def read_messages(blobs, unit: np.dtype, who: tuple):
+    """(anchor, content, windows, units, run of each place, documents' columns, first unit)."""
+    got: list[list] = [[] for _ in range(6 + len(who))]
     base = 0
     for b in blobs:
         b, at, parts = b.as_py(), 0, []
-        for types in (RUN, (unit,), PLACE):
+        for types in (RUN, (unit,), (np.int32, *who, np.int32)):
             n = int(np.frombuffer(b, np.int64, 1, at)[0])
             at += 8
             for t in types:
@@ -161,7 +165,7 @@ def read_messages(blobs, unit: np.dtype):
         base += len(parts[0])
         for g, p in zip(got, parts, strict=True):
             g.append(p)
-    anchor, content, windows, units, run, doc, first = (np.concatenate(g) for g in got)
+    anchor, content, windows, units, run, *doc, first = (np.concatenate(g) for g in got)
     return anchor, content, windows.astype(np.int64), units, run.astype(np.int64), doc, first.astype(np.int64)
 
 
@@ -183,23 +187,30 @@ def distinct_runs(anchor, content, windows, units, run, window: int):
     return windows[keep], flat, np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int64), name[run], anchor[keep]
 
 
+def contents(units: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each stretch units[cut[i] : cut[i + 1]]."""
+    raw, at = memoryview(np.ascontiguousarray(units).view(np.uint8)), (cut * units.itemsize).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1)
+
+
 def send(slices_of: Callable, bits, buckets: int, window: int, gram: int):
     def run(batches):
         held, size = [], 0
 
         def flush():
-            anchor, content, count, doc, first, src = (np.concatenate([h[i] for h in held]) for i in range(6))
-            units = np.concatenate([h[6] for h in held])
+            units = np.concatenate([h[0] for h in held])
+            anchor, content, count, src, first, *doc = (np.concatenate([h[i] for h in held]) for i in range(1, len(held[0])))
             bucket = (tokens.mix(anchor, 22) % np.uint64(buckets)).astype(np.int64)
             b_out, m_out = [], []
-            for b, (a, c, n, d, f, s) in dealt(bucket, buckets, anchor, content, count, doc, first, src):
+            for b, (a, c, n, s, f, *d) in dealt(bucket, anchor, content, count, src, first, *doc):
                 o = np.lexsort((n, c))
                 new = np.ones(len(o), bool)
                 new[1:] = (c[o][1:] != c[o][:-1]) | (n[o][1:] != n[o][:-1])
                 name = np.empty(len(o), np.int32)
                 name[o] = np.cumsum(new) - 1
                 k = o[new]
-                m_out.append(message((a[k], c[k], n[k].astype(np.int32)), units[take_units(s[k], n[k] + window - 1)], (name, d, f.astype(np.int32))))
+                m_out.append(message((a[k], c[k], n[k].astype(np.int32)), units[take_units(s[k], n[k] + window - 1)], (name, *d, f.astype(np.int32))))
                 b_out.append(b)
             return rows(_BLOBS, [b_out, m_out])
 
@@ -211,9 +222,9 @@ def send(slices_of: Callable, bits, buckets: int, window: int, gram: int):
                 continue
             own = np.searchsorted(s["bounds"], at, "right") - 1
             sizes = n + window - 1
-            with np.errstate(over="ignore"):
-                content = tokens.mix(s["prefix"](at, at + sizes) + sizes.astype(np.uint64), 23)
-            held.append((anchor, content, n, s["ids"][own], at - s["bounds"][own], np.concatenate([[0], np.cumsum(sizes)[:-1]]) + size, s["units"][take_units(at, sizes)]))
+            units = s["units"][take_units(at, sizes)]
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            held.append((units, anchor, contents(units, cut), n, cut[:-1] + size, at - s["bounds"][own], *[c[own] for c in s["who"]]))
             size += int(sizes.sum())
             if size >= FLUSH_UNITS:
                 yield flush()
@@ -224,8 +235,8 @@ def send(slices_of: Callable, bits, buckets: int, window: int, gram: int):
     return run
 
 
-def spans_of(flags: np.ndarray, cut: np.ndarray, window: int, doc: np.ndarray, first: np.ndarray):
-    """(doc, begin, end) of the units covered by flagged windows of each place; flags of place i are flags[cut[i] : cut[i + 1]]."""
+def spans_of(flags: np.ndarray, cut: np.ndarray, window: int, doc: list[np.ndarray], first: np.ndarray):
+    """(begin, end, *doc) of the units covered by flagged windows of each place; flags of place i are flags[cut[i] : cut[i + 1]]."""
     lead, lag = flags.copy(), flags.copy()
     lead[1:] &= ~flags[:-1]
     lag[:-1] &= ~flags[1:]
@@ -234,39 +245,21 @@ def spans_of(flags: np.ndarray, cut: np.ndarray, window: int, doc: np.ndarray, f
     lag[inner - 1] = flags[inner - 1]
     a, b = np.flatnonzero(lead), np.flatnonzero(lag)
     owner = np.searchsorted(cut, a, "right") - 1
-    return doc[owner], first[owner] + a - cut[owner], first[owner] + b - cut[owner] + window
+    return first[owner] + a - cut[owner], first[owner] + b - cut[owner] + window, *[d[owner] for d in doc]
 
 
-def cut_documents(docs: DataFrame, spans: DataFrame, buckets: int, finish: Callable, schema: str) -> DataFrame:
-    """docs (_id, _text, ...) and spans (bucket, blob of doc, begin, end) meet by bucket; finish(rows of docs, doc, begin, end) gives a table.
-
-    Rows that share an id all get that id's spans.
-    """
-    of = F.pmod(F.xxhash64(F.col("_id")), F.lit(buckets)).cast("int")
+def cut_documents(docs: DataFrame, spans: DataFrame, buckets: int, who: tuple, finish: Callable, schema: str) -> DataFrame:
+    """docs (_key, _text, ...) and spans (bucket, blob of begin, end and documents' columns, the last one the key) meet by bucket; finish(rows of docs, begin, end, *columns) gives a table."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, begin, end = unpack_all(right.column("blob"), np.int64, np.int64, np.int64) if right.num_rows else [np.zeros(0, np.int64)] * 3
-        return finish(left, doc, begin, end)
-
-    return docs.withColumn("bucket", of).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(meet, schema)
-
+        types = (np.int64, np.int64, *who)
+        return finish(left, *(unpack_all(right.column("blob"), *types) if right.num_rows else [np.zeros(0, t) for t in types]))
 
-def _xx_buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Spark's pmod(xxhash64(id), buckets) for longs, seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
-        h = h ^ (rot(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-        h = rot(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h = h ^ (h >> np.uint64(32))
-    return h.view(np.int64) % buckets
+    return docs.withColumn("bucket", F.pmod("_key", F.lit(buckets)).cast("int")).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(meet, schema)
 
 
-def span_rows(doc, begin, end, buckets: int) -> pa.Table:
-    parts = list(dealt(_xx_buckets(doc, buckets), buckets, doc.astype(np.int64), begin.astype(np.int64), end.astype(np.int64)))
+def span_rows(begin, end, *doc, buckets: int) -> pa.Table:
+    parts = list(dealt(doc[-1].astype(np.int64) % buckets, begin.astype(np.int64), end.astype(np.int64), *doc))
     return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "blob": pa.array([pack(*c) for _, c in parts], pa.binary())})
 
 

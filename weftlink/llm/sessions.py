@@ -37,14 +37,13 @@ def rows(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in schema])
 
 
-def dealt(bucket: np.ndarray, count: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns split by bucket, each part in the given order."""
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(count + 1))
-    columns = [c[order] for c in columns]
-    for b in range(count):
-        if cut[b] < cut[b + 1]:
-            yield b, [c[cut[b] : cut[b + 1]] for c in columns]
+    some, cut = np.unique(bucket[order], return_index=True)
+    cut, columns = np.append(cut, len(order)), [c[order] for c in columns]
+    for k, b in enumerate(some.tolist()):
+        yield b, [c[cut[k] : cut[k + 1]] for c in columns]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -66,6 +65,13 @@ def unpack_all(blobs, *types: type) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(types)]
 
 
+def row_key(*columns):
+    """A number that rows share only if these columns are equal (and by chance at 2**-64); what tells rows with one id apart."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(*columns)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own; other columns never clash."""
     from pyspark.sql import functions as F
