@@ -4,6 +4,8 @@ import hashlib
 import random
 import struct
 
+import numpy as np
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -94,18 +96,36 @@ def test_squeezed_spaces(text):
     assert len(source) == len(normal) + 1
 
 
-def test_digests_come_from_spans(spark, monkeypatch):
-    plain = PieceCodec(PATH)
-    for t in texts(500):
-        ids, _, spans = plain.encode_aligned(t)
-        normal, source = plain.normalise(t or "")
-        assert [(b, e) for _, b, e in plain._project([*struct.unpack(f"<{len(ids) // 4}I", ids)], normal, source)] == [tuple(x) for x in spans.tolist()]
-    used = []
-    project = PieceCodec._project
-    monkeypatch.setattr(PieceCodec, "_project", lambda self, *x: used.append(1) or [(i, b, b) for i, b, _ in project(self, *x)])
-    codec = PieceCodec(PATH)
-    assert used == [] and piece_codec.covered(codec.encode_aligned("one two\nthree")[2]) == 0 and used
-    monkeypatch.undo()
+def test_digests_come_from_spans(spark):
+    codec, all_texts = PieceCodec(PATH), texts(500)
+    for t, (ids, decoded, spans) in zip(all_texts, codec.encode_aligned(all_texts), strict=True):
+        normal, source = codec.normalise(t or "")
+        assert [(b, e) for _, b, e in codec._project([*struct.unpack(f"<{len(ids) // 4}I", ids)], normal, source)] == [tuple(x) for x in spans.tolist()]
+        assert decoded.decode() == codec.decode([*struct.unpack(f"<{len(ids) // 4}I", ids)])
     rows = [(k, t) for k, t in enumerate(texts(100))]
     got = {r["doc_id"]: r["n_bytes"] for r in encode_digests(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
     assert got == {k: len((t or "").encode()) for k, t in rows}
+
+
+def test_a_batch_with_a_text_that_decodes_otherwise(monkeypatch):
+    codec, own = PieceCodec(PATH), []
+    right = [x[2].tolist() for x in codec.encode_aligned(["one two", "three ▁ four"])]
+    codec = PieceCodec(PATH)
+    encode = PieceCodec.encode_bytes
+    monkeypatch.setattr(PieceCodec, "encode_bytes", lambda self, t: (encode(self, t)[0], b"?") if t == "one two" else encode(self, t))
+    monkeypatch.setattr(PieceCodec, "_own_spans", lambda self, t, ids: own.append(t) or np.array([x[1:] for x in self._project(np.frombuffer(ids, "<u4").tolist(), *self.normalise(t))]))
+    assert [x[2].tolist() for x in codec.encode_aligned(["one two", "three ▁ four"])] == right and own == ["one two"]
+
+
+def test_cache_is_bounded():
+    codec = PieceCodec(PATH)
+    codec.encode_aligned(["short " + "long" * 1000])
+    assert codec.seen and max(map(len, codec.seen)) <= piece_codec.CACHED_CHARS
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (1, ""), (1, " "), (None, "a b"), (None, "a b"), (2, "x" * 100_000)]
+    df = spark.createDataFrame([(d, t, "p") for d, t in rows], "doc_id long, text string, n_tokens string")
+    got = sorted(((r["doc_id"], r["n_bytes"]) for r in encode_digests(df, PATH).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 0), (1, 1), (None, 3), (None, 3), (2, 100_000)], key=str)
+    assert encode_digests(df.limit(0), PATH).collect() == []

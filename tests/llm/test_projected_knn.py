@@ -51,6 +51,21 @@ def test_recall_ties_and_cells(spark):
         assert got[9200] == [(9201, got[9200][0][1])] and abs(got[9200][0][1] - 0.8) < 1e-12
 
 
+def test_many_ties(spark):
+    base = [0.3, -1.7, 2.25, 0.0, 5.5, -0.1, 3.0, 7.0]
+    rows = [(0, base)] + [(i, [np.float32(i * c).item() if i % 2 else i * c for c in map(np.float32, base)]) for i in range(1, 21)]
+    ones = np.eye(8).tolist()
+    rows += [(50, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])] + [(30 + i, ones[i % 4]) for i in range(19)]
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v], "a", "b") for i, v in rows], SCHEMA).repartition(3)
+    exact = spark.createDataFrame([(i, [float(i or 1) * c for c in (1.5, -2.0, 0.25, 3.0)], "a", "b") for i in range(0, 21)], SCHEMA)
+    assert [(r["vec_id"], round(r["score"], 12)) for r in nearest(exact).orderBy("rank").collect()] == [(i, 1.0) for i in range(1, 6)]
+    got = [(r["query_id"], r["vec_id"]) for r in nearest(df).orderBy("query_id", "rank").collect()]
+    assert [v for q, v in got if q == 50][1:] != [] and len([v for q, v in got if q == 50]) == 5
+    lone = [r for r in rows if r[0] >= 30]
+    df = spark.createDataFrame([(i, v, "a", "b") for i, v in lone], SCHEMA).repartition(3)
+    assert [r["vec_id"] for r in nearest(df).orderBy("rank").collect()] == [30, 31, 32, 33, 34]
+
+
 def test_chi_square():
     draws = (np.random.default_rng(1).standard_normal((200_000, projected_knn.M)) ** 2).sum(1)
     for x in (2.0, 8.0, 15.0):

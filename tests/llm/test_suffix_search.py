@@ -106,3 +106,14 @@ def test_longest_matches_and_spans(spark, block):
                 want.add((d, i, first, end - first))
     spans = [tuple(r) for r in suffix_search.contaminated_spans(df, tests, block_bytes=block).collect()]
     assert len(spans) == len(set(spans)) and set(spans) == want
+
+
+def test_missing_and_repeated_ids(spark):
+    items = [(None, "alpha beta gamma"), (None, "alpha beta gamma"), (3, "delta epsilon"), (3, "delta epsilon"), (3, "zeta eta"), (4, None)]
+    docs = [(1, "x alpha beta gamma y"), (None, "delta epsilon zeta eta"), (None, None), (1, "zeta eta alpha beta gamma")]
+    df, tests = spark.createDataFrame([(d, t, "q", "r") for d, t in docs], SCHEMA), spark.createDataFrame([(i, t, "z") for i, t in items], ITEMS)
+    got = sorted((tuple(r) for r in decontaminate(df, tests).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()), key=str)
+    assert got == sorted([(1, 5, 3, 0, True), (None, 4, 4, 1, True), (None, 0, 0, 0, False), (1, 5, 5, 1, True)], key=str)
+    spans = {tuple(r) for r in suffix_search.contaminated_spans(df, tests).collect()}
+    assert spans == {(1, None, 1, 3), (None, 3, 0, 4), (1, 3, 0, 2), (1, None, 2, 3)}
+    assert [r["text"] for r in suffix_search.remove_contaminated(df, tests).collect()] == [None]

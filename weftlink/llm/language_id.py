@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.sessions import id_and_text, released, rows
+from weftlink.llm.sessions import give_back, id_and_text, released, rows
 
 PER_CLASS = 300
 LANDMARKS = 128
@@ -151,7 +151,9 @@ def train_language_model(docs: DataFrame, id_col: str, text_col: str, lang_col:
             taken[r["_lang"]] += 1
             texts.append(r["_text"])
             labels.append(r["_lang"])
-    return learn(texts, labels)
+    model = learn(texts, labels)
+    give_back()
+    return model
 
 
 _OUT = [("doc", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]

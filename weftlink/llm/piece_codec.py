@@ -5,8 +5,12 @@ double-array trie is replaced by its value, other characters stay, and every nor
 source byte it came from. Pieces are then projected to spans of the original UTF-8 bytes.
 
 Where the model allows it, a text is cut where no piece can cross: before a run of spaces, and around line
-ends. Such chunks are segmented apart, once each while they stay in a bounded cache. Other models take whole
-texts. Null texts are empty; every text, however long, is encoded whole.
+ends. Such chunks are segmented apart, once each while they stay in a cache of bounded entries, each of bounded length.
+In such models no key of the map matches anywhere, so the alignment of all bytes of a batch is laid out at once: every
+source byte and the dummy prefix take a stretch of the normalised text, and pieces, side by side, are read off it. What
+the pieces decode to is compared with the source; a text that differs is aligned by itself. Other models take whole texts.
+Null texts are empty; every text, however long, is encoded whole. Results depend on the row's text alone, so null or
+repeated ids, repeated rows and other columns make no difference.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
 from weftlink.llm.sessions import id_and_text, released, rows
+from weftlink.llm.tokens import slices
 
 SPACE = "▁"
-CACHE = 150_000
+CACHE = 300_000
+CACHED_CHARS = 48
 CONTROL, BYTE = 3, 6
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
 
@@ -74,28 +80,15 @@ class PieceCodec:
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         self.encoded = [p.encode() for p in self.pieces]
         self.lone = self.sp.piece_to_id(SPACE)
-        self.seen: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.width = np.array([1 if t == BYTE else len(p) for p, t in zip(self.encoded, self.types, strict=True)], np.int64)
+        self.seen: dict[str, tuple[bytes, bytes]] = {}
         self.bos, self.eos = (np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
 
     # --- encoding -------------------------------------------------------------------------------
-    def _chunk_entry(self, chunk: str, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        """Ids, decoded bytes and byte spans in the chunk; its own first space stands where normalisation puts the dummy prefix."""
-        mark = len(SPACE.encode())
-        if chunk == " ":
-            normal, source = SPACE.encode(), [0] * mark + [1]
-        elif chunk[0] == " ":
-            normal, source = self.normalise(chunk[1:])
-            source = [0] * mark + [s + 1 for s in source[mark:]]
-        else:
-            normal, source = self.normalise(chunk)
-            normal, source = normal[mark:], source[mark:]
-        flat = [x for _, begin, end in self._project(ids, normal, source) for x in (begin, end)]
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join([self.raw[i] for i in ids]), struct.pack(f"<{len(flat)}q", *flat)
-
-    def _chunks(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
-        """(ids, decoded bytes, spans) of each chunk of the text with its dummy prefix."""
+    def _chunks(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each chunk of the text with its dummy prefix."""
         chunks = _CHUNK(" " + text.replace(SPACE, " "))
-        seen = self.seen
+        seen, long = self.seen, {}
         missing = [c for c in set(chunks) if c not in seen]
         if len(seen) + len(missing) > CACHE:
             seen = self.seen = {}
@@ -106,8 +99,9 @@ class PieceCodec:
         for c, a, ids in zip(missing, after, encoded, strict=True):
             if c == " ":  # the dummy prefix alone, which the library leaves out of an empty text
                 ids = [self.lone]
-            seen[c] = self._chunk_entry(c, ids[2:] if a else ids)
-        return [seen[c] for c in chunks]
+            ids = ids[2:] if a else ids
+            (seen if len(c) <= CACHED_CHARS else long)[c] = struct.pack(f"<{len(ids)}I", *ids), b"".join([self.raw[i] for i in ids])
+        return [seen[c] for c in chunks] if not long else [seen.get(c) or long[c] for c in chunks]
 
     def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, without begin and end; the decoded text's UTF-8)."""
@@ -216,24 +210,41 @@ class PieceCodec:
             at += n
         return out
 
-    def encode_aligned(self, text: str | None) -> tuple[bytes, bytes, np.ndarray]:
-        """(ids, decoded bytes, first and end source byte of each piece)."""
-        text = text or ""
-        if not text or not self.cuts or SPACE in text:  # a mark in the text is wider than the space its chunk has
-            ids, decoded = self.encode_bytes(text)
-            spans = [s[1:] for s in self._project(np.frombuffer(ids, "<u4").tolist(), *self.normalise(text))]
-            return ids, decoded, np.array(spans, np.int64).reshape(-1, 2)
-        entries = self._chunks(text)
-        spans = np.frombuffer(b"".join([e[2] for e in entries]), "<i8").reshape(-1, 2)
-        size = np.array([len(e[1]) for e in entries])  # a chunk decodes to its own bytes, which its spans have to reach
-        start = np.repeat(np.cumsum(size) - size, [len(e[0]) // 4 for e in entries])
-        # the text is behind the dummy prefix, which has no byte of its own
-        spans = np.maximum(spans + start[:, None] - 1, 0)
-        return b"".join([e[0] for e in entries]), b"".join([e[1] for e in entries])[1:], spans
+    def encode_aligned(self, texts: list[str | None]) -> list[tuple[bytes, bytes, np.ndarray]]:
+        """Of each text: ids, decoded bytes, and the first and end source byte of each piece."""
+        sources = [(t or "").encode() for t in texts]
+        coded = [self.encode_bytes(t or "") for t in texts]
+        if not self.cuts:
+            return [(*c, self._own_spans(t or "", c[0])) for t, c in zip(texts, coded, strict=True)]
+        ids = np.frombuffer(b"".join([c[0] for c in coded]), "<u4")
+        count, size = np.array([len(c[0]) // 4 for c in coded], np.int64), np.array([len(x) for x in sources], np.int64)
+        # one entry for the dummy prefix of a text that isn't empty and one for each source byte
+        entries = size + (size > 0)
+        first = np.cumsum(entries) - entries
+        wide = np.ones(int(entries.sum()), np.int64)
+        wide[np.frombuffer(b"".join([b" " + x if x else b"" for x in sources]), np.uint8) == 0x20] = self.width[self.lone]
+        total = np.concatenate([[0], np.cumsum(wide)])
+        entry = np.repeat(np.arange(len(wide) + 1), np.append(wide, 1))  # of each normalised byte, and the end
+        reached = np.concatenate([[0], np.cumsum(self.width[ids])])
+        whole = (reached[np.cumsum(count)] - reached[np.cumsum(count) - count] == total[first + entries] - total[first]).tolist()
+        out, at = [], 0
+        fits = reached[-1] == total[-1]
+        place = entry[reached] if fits else None
+        for t, source, c, n, f, ok in zip(texts, sources, coded, count.tolist(), first.tolist(), whole, strict=True):
+            if fits and ok and c[1] == source.replace(SPACE.encode(), b" "):
+                spans = np.maximum(np.stack([place[at : at + n], place[at + 1 : at + n + 1]], 1) - f - 1, 0)
+            else:
+                spans = self._own_spans(t or "", c[0])
+            out.append((*c, spans))
+            at += n
+        return out
+
+    def _own_spans(self, text: str, ids: bytes) -> np.ndarray:
+        return np.array([x[1:] for x in self._project(np.frombuffer(ids, "<u4").tolist(), *self.normalise(text))], np.int64).reshape(-1, 2)
 
     def encode_spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first byte, end byte) of each piece in the original UTF-8; a byte piece has its own byte of an unchanged character."""
-        ids, _, spans = self.encode_aligned(text)
+        ids, _, spans = self.encode_aligned([text])[0]
         return [(i, b, e) for i, (b, e) in zip(np.frombuffer(ids, "<u4").tolist(), spans.tolist(), strict=True)]
 
     @staticmethod
@@ -273,17 +284,16 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            n, a, b, size, same = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids, decoded, spans = c.encode_aligned(text)
-                source = text.encode()
-                n.append(len(spans) + 2)
-                a.append(hashlib.sha256(c.bos + ids + c.eos).hexdigest())
-                b.append(hashlib.sha256(decoded).hexdigest())
-                size.append(covered(spans))
-                same.append(decoded == source)
-            yield rows(_OUT, [batch.column(0), n, a, b, size, same])
+            for first, last, _, _ in slices(batch.column(1)):
+                n, a, b, size, same = [], [], [], [], []
+                texts = batch.column(1).slice(first, last - first).to_pylist()
+                for text, (ids, decoded, spans) in zip(texts, c.encode_aligned(texts), strict=True):
+                    n.append(len(spans) + 2)
+                    a.append(hashlib.sha256(c.bos + ids + c.eos).hexdigest())
+                    b.append(hashlib.sha256(decoded).hexdigest())
+                    size.append(covered(spans))
+                    same.append(decoded == (text or "").encode())
+                yield rows(_OUT, [batch.column(0).slice(first, last - first), n, a, b, size, same])
         c.seen.clear()
 
     out = id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, lossless boolean")

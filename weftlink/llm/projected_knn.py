@@ -7,13 +7,16 @@ order of projected distance, leaf by leaf of a kd-tree, verifies them on the ori
 r being the next leaf's projected distance and d_k the k-th true distance so far: a nearer vector is then still
 unseen with probability 1 - CONFIDENCE at most.
 
-Scale: equal vectors are first merged to their k + 1 smallest ids, so a hot vector is one point. The upper levels
+Scale: vectors of one direction are first merged to their k + 1 smallest ids, so a hot vector and all its multiples are
+one point: vectors divided by their largest component are equal exactly where one is a multiple of the other. The upper levels
 of the kd-tree are fitted on a bounded sample (SAMPLE vectors) and cut the space into cells of about CELL points;
 every vector is put in its cell, and each cell builds its own tree. Queries visit their home cell first, then
 just the cells whose box fails the same stopping test.
 
 Null vectors or ids, vectors with null or non-finite components and zero vectors take no part. Vectors are only
-compared with vectors of the same length. Results: (query_id, rank, vec_id, score); ties go to the smaller id.
+compared with vectors of the same length. Results: (query_id, rank, vec_id, score); ties go to the smaller id. Scores
+that agree in TIE_DIGITS digits are ties, as they differ by rounding only. An id with several vectors is several
+candidates and, if it is asked for, has a result list for each; equal rows are one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ CONFIDENCE = 0.98
 LEAF = 64
 CELL = 16_384
 SAMPLE = 20_000
+TIE_DIGITS = 12
 
 
 def chi2_cdf(x: np.ndarray, m: int = M) -> np.ndarray:
@@ -79,6 +83,17 @@ def box_distance2(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
+def _smallest(key: np.ndarray, then: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest (key, then) of every row."""
+    if key.shape[1] <= k:
+        return np.argsort(key, axis=1)
+    edge = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
+    # what is over the edge goes; of what is on it the smallest `then` stay
+    on = key == edge
+    order = np.where(key < edge, -2, np.where(on, then, np.iinfo(np.int64).max))
+    return np.argpartition(order, k - 1, axis=1)[:, :k]
+
+
 def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.ndarray, k: int, bound: np.ndarray | None = None, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
     """(places, cosines) of up to k points for each query, -1 where none; bound: a squared distance known beforehand."""
     n = len(queries)
@@ -99,7 +114,9 @@ def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.nd
                 cand[rows, s * LEAF : s * LEAF + b - a] = own
                 cos[rows, s * LEAF : s * LEAF + b - a] = queries[live[rows]] @ points[own].T
         cand, cos = np.concatenate([best[live], cand], 1), np.concatenate([sim[live], cos], 1)
-        top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        # ties go to the earlier point
+        key = np.where(cand >= 0, -np.rint(np.maximum(cos, -2) * 10.0**TIE_DIGITS), np.inf)
+        top = _smallest(key, cand, k)
         best[live], sim[live] = np.take_along_axis(cand, top, 1), np.take_along_axis(cos, top, 1)
         at += take.shape[1]
         step = min(64, step * 2)
@@ -114,49 +131,69 @@ def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.nd
 
 
 _VEC = "dim int, vec binary, ids array<long>"
+_DIRECTION = "dim int, way binary, vec binary, ids array<long>"
 
 
 def _merge(keep: int):
     def run(table: pa.Table) -> pa.Table:
-        held: dict[tuple, set] = {}
-        for d, v, ids in zip(table.column("dim").to_pylist(), table.column("vec").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            held.setdefault((d, v), set()).update(ids)
-        return _table(held, keep)
+        held: dict[tuple, tuple] = {}
+        for d, w, v, ids in zip(*(table.column(c).to_pylist() for c in ("dim", "way", "vec", "ids")), strict=True):
+            _put(held, (d, w), v, ids, keep)
+        return _table(held)
 
     return run
 
 
-def _table(held: dict, keep: int) -> pa.Table:
-    return pa.table({"dim": pa.array([d for d, _ in held], pa.int32()), "vec": pa.array([v for _, v in held], pa.binary()), "ids": pa.array([sorted(x)[:keep] for x in held.values()], pa.list_(pa.int64()))})
+def _put(held: dict, key: tuple, vec: bytes, ids: list[int], keep: int) -> None:
+    """A direction keeps its smallest ids and the vector of the smallest of all."""
+    if key not in held:
+        held[key] = (vec, sorted(set(ids))[:keep])
+        return
+    old, have = held[key]
+    held[key] = (min((have[0], old), (min(ids), vec))[1], sorted({*have, *ids})[:keep])
+
+
+def _table(held: dict) -> pa.Table:
+    cols = [[d for d, _ in held], [w for _, w in held], [v for v, _ in held.values()], [i for _, i in held.values()]]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["dim", "way", "vec", "ids"])
 
 
-def _clean(keep: int | None, wanted):
-    """Valid vectors as packed doubles; with keep, equal ones merged within the task in runs."""
+def _valid(batch: pa.RecordBatch):
+    """(id, vector as doubles) of the rows that take part."""
+    ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    flat = lists.flatten().cast(pa.float64())
+    values, there = flat.fill_null(np.nan).to_numpy(zero_copy_only=False), lists.is_valid().to_numpy(zero_copy_only=False)
+    size = np.array(lists.value_lengths().fill_null(0))
+    at = np.concatenate([[0], np.cumsum(size)])
+    for i in range(len(ids)):
+        v = values[at[i] : at[i + 1]]
+        if there[i] and size[i] and np.isfinite(v).all() and v.any() and np.isfinite((v * v).sum()) and (v * v).sum() > 0:
+            yield int(ids[i]), v
+
+
+def _directions_of(keep: int):
+    """Vectors as packed doubles, those of one direction merged within the task in runs."""
 
     def run(batches):
-        held: dict[tuple, set] = {}
+        held: dict[tuple, tuple] = {}
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat = lists.flatten().cast(pa.float64())
-            values, missing = flat.fill_null(np.nan).to_numpy(zero_copy_only=False), lists.is_valid().to_numpy(zero_copy_only=False)
-            size = np.array(lists.value_lengths().fill_null(0))
-            at = np.concatenate([[0], np.cumsum(size)])
-            for i in range(len(ids)):
-                if not missing[i] or not size[i] or (wanted and ids[i] % wanted):
-                    continue
-                v = values[at[i] : at[i + 1]]
-                if np.isfinite(v).all() and v.any() and np.isfinite((v * v).sum()):
-                    held.setdefault((int(size[i]), v.tobytes()), set()).add(int(ids[i]))
-                    if keep and len(held[int(size[i]), v.tobytes()]) > 8 * keep:
-                        held[int(size[i]), v.tobytes()] = set(sorted(held[int(size[i]), v.tobytes()])[:keep])
-            if len(held) >= 200_000:
-                yield from _table(held, keep or 1 << 40).to_batches()
+            for i, v in _valid(batch):
+                way = (v / np.abs(v).max() + 0.0).tobytes()
+                _put(held, (len(v), way), v.tobytes(), [i], keep)
+            if len(held) >= 50_000:
+                yield from _table(held).to_batches()
                 held = {}
-        yield from _table(held, keep or 1 << 40).to_batches()
+        yield from _table(held).to_batches()
 
     return run
 
 
+def _asked(batches):
+    for batch in batches:
+        got = [(len(v), v.tobytes(), i) for i, v in _valid(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], ["dim", "vec", "q"])
+
+
 def _matrix(col) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), np.float64) for v in col])
 
@@ -201,8 +238,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     scratch, keep = Scratch(spark, "projected-knn"), k + 1
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = plain.mapInArrow(_clean(keep, None), _VEC).withColumn("bucket", F.pmod(F.xxhash64("vec"), F.lit(parts * 4)))
-    points = scratch.save(dealt.groupBy("bucket").applyInArrow(_merge(keep), _VEC), "points")
+    dealt = plain.mapInArrow(_directions_of(keep), _DIRECTION).withColumn("bucket", F.pmod(F.xxhash64("way"), F.lit(parts * 4)))
+    points = scratch.save(dealt.groupBy("bucket").applyInArrow(_merge(keep), _DIRECTION), "points").select("dim", "vec", "ids")
     counts = {r["dim"]: r["count"] for r in points.groupBy("dim").count().collect()}
     sample = points.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect() if any(n > cell for n in counts.values()) else []
     cells = spark.sparkContext.broadcast(Cells(sample, counts, cell))
@@ -219,8 +256,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     placed = points.mapInArrow(place, _VEC + ", cell long, p array<double>")
     boxed = placed.groupBy("dim", "cell").agg(*[F.min(F.col("p")[j]).alias(f"l{j}") for j in range(M)], *[F.max(F.col("p")[j]).alias(f"h{j}") for j in range(M)]).collect()
     boxes = spark.sparkContext.broadcast([(r["dim"], r["cell"], [r[f"l{j}"] for j in range(M)], [r[f"h{j}"] for j in range(M)]) for r in boxed])
-    asked = plain.where(F.col("id") % query_modulus == 0).mapInArrow(_clean(None, query_modulus), _VEC).withColumn("bucket", F.pmod(F.xxhash64("vec"), F.lit(parts * 4)))
-    queries = asked.withColumn("q", F.explode("ids")).select("dim", "vec", "q").distinct()
+    queries = plain.where(F.col("id") % query_modulus == 0).mapInArrow(_asked, "dim int, vec binary, q long").distinct()
     vecs = queries.select("dim", "vec").distinct().withColumn("ids", F.array().cast("array<long>"))
     home = vecs.mapInArrow(place, _VEC + ", cell long, p array<double>").withColumn("bound", F.lit(None).cast("double"))
 
@@ -231,6 +267,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         if not left.num_rows or not right.num_rows:
             near, bound = [[] for _ in range(right.num_rows)], [math.inf] * right.num_rows
         else:
+            left = left.take(pa.array(np.argsort([i[0] for i in left.column("ids").to_pylist()], kind="stable")))
             x, y = _matrix(left.column("vec")), _matrix(right.column("vec"))
             a, b = unit(x), unit(y)
             proj = directions(x.shape[1])
@@ -243,9 +280,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 own = []
                 for j in best[i][best[i] >= 0]:
                     score = float((x[j] * y[i]).sum() / (norm_x[j] * norm_y[i]))
-                    own += [(-score, v) for v in ids[j]]
-                near.append([{"score": -s, "id": v} for s, v in sorted(own)[:keep]])
-                bound.append(2 - 2 * -sorted(own)[keep - 1][0] if len(own) >= keep else math.inf)
+                    own += [(-round(score, TIE_DIGITS), v, score) for v in ids[j]]
+                own = sorted(own)[:keep]
+                near.append([{"score": s, "id": v} for _, v, s in own])
+                bound.append(2 - 2 * own[-1][2] if len(own) == keep else math.inf)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
         return pa.table({"dim": right.column("dim"), "vec": right.column("vec"), "near": pa.array(near, kind), "bound": pa.array(bound, pa.float64())})
 
@@ -276,7 +314,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = first
     if len(boxed) > 1:
         found = first.unionByName(visit(first.mapInArrow(others, "dim int, vec binary, cell long, bound double")))
-    best = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-x["score"]).alias("s"), x["id"].alias("id")))), 1, keep)
+    best = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-F.round(x["score"], TIE_DIGITS)).alias("s"), x["id"].alias("id"), x["score"].alias("score")))), 1, keep)
     merged = found.groupBy("dim", "vec").agg(best.alias("near"))  # at most k + 1 entries from each visited cell
     each = queries.join(merged, ["dim", "vec"]).select("q", "vec", F.slice(F.filter("near", lambda x: x["id"] != F.col("q")), 1, k).alias("near"))
-    return each.select(F.col("q").alias("query_id"), F.posexplode("near").alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return each.select(F.col("q").alias("query_id"), F.posexplode("near").alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftlink.llm.sessions import give_back
+
 _OWN: dict[str, str] = {}
 
 
@@ -35,6 +37,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.options(**options).parquet(path)
+        give_back()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

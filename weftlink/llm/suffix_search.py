@@ -11,6 +11,8 @@ each broadcast, so a larger benchmark adds passes, not memory.
 
 A window is `window` consecutive words of an item, or the whole of a shorter item. Null or empty texts and
 items have no words. Rows with equal ids, of either table, are handled on their own (items: an id counts once).
+Words of an item without an id are hit like others, but such an item has no name to be counted under. Documents
+without an id are scored like others. Repeated benchmark rows are read once; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from weftlink.llm import tokens
 from weftlink.llm.sessions import id_and_text, released, rows
 
 BLOCK_BYTES = 4_000_000
+NAMELESS = np.iinfo(np.int64).min
 
 
 @dataclass
@@ -46,7 +49,7 @@ class Tests:
         return int(self.lengths.min()) if len(self.lengths) else 0
 
 
-def make_tests(ids: list[int], texts: list[str | None], window: int) -> Tests:
+def make_tests(ids: list[int | None], texts: list[str | None], window: int) -> Tests:
     w = tokens.scan(*tokens.column_bytes(pa.array(texts, pa.string())), tokens.PUNCT, lower=True)
     vocab, names = np.unique(w.hashes, return_inverse=True)
     n = np.diff(w.bounds)
@@ -54,7 +57,7 @@ def make_tests(ids: list[int], texts: list[str | None], window: int) -> Tests:
     left = w.bounds[1:][item] - np.arange(len(item))
     lengths = np.minimum(n[item], window)
     begins = np.flatnonzero((left >= lengths) & (lengths > 0))
-    return Tests(vocab, names.astype(np.int64) + 1, left, item, np.array(ids, np.int64), begins, lengths[begins])
+    return Tests(vocab, names.astype(np.int64) + 1, left, item, np.array([NAMELESS if i is None else i for i in ids], np.int64), begins, lengths[begins])
 
 
 def suffix_array(names: np.ndarray, run: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -186,7 +189,7 @@ def scan_shard(tests: Tests, w: tokens.Words) -> tuple[np.ndarray, tuple[np.ndar
 def _items(w: tokens.Words, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[int]]:
     """The items found in each document."""
     cut = np.searchsorted(spans[1], w.bounds) if not len(spans[1]) else np.searchsorted(w.docs[spans[1]], np.arange(len(w.bounds)))
-    return [sorted(set(spans[0][a:b].tolist())) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [sorted(set(spans[0][a:b].tolist()) - {NAMELESS}) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _STATE = [("doc", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("longest", pa.int64())]
@@ -222,15 +225,20 @@ def _block(tests, first: bool, last: bool):
     return run
 
 
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(distinct items with the block of each, number of blocks). A block is about block_bytes, and one item at least."""
+    items = id_and_text(benchmark, id_col, text_col).where("_text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    return items.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))), blocks
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words)."""
     spark = docs.sparkSession
-    items = id_and_text(benchmark, item_id_col, item_text_col).where("_id is not null")
-    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    items = items.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    items, blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
     state = id_and_text(docs, id_col, text_col)
     for k in range(blocks):
         got = items.where(F.col("_block") == k).collect()
@@ -246,10 +254,7 @@ def contaminated_spans(
 ) -> DataFrame:
     """Per stretch of a document that windows of an item cover: id, item_id, first word (from 0) and words. Rows of docs with equal ids give their stretches each."""
     spark = docs.sparkSession
-    items = id_and_text(benchmark, item_id_col, item_text_col).where("_id is not null")
-    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    items, plain, out = items.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks))), id_and_text(docs, id_col, text_col), None
+    (items, blocks), plain, out = _blocks(benchmark, item_id_col, item_text_col, block_bytes), id_and_text(docs, id_col, text_col), None
     for k in range(blocks):
         got = items.where(F.col("_block") == k).collect()
         tests = spark.sparkContext.broadcast(make_tests([r["_id"] for r in got], [r["_text"] for r in got], window))
@@ -260,7 +265,7 @@ def contaminated_spans(
                     w = tokens.scan(data, off, tokens.PUNCT, lower=True)
                     item, first, end = scan_shard(tests.value, w)[1]
                     doc = w.docs[first]
-                    yield rows([(c, pa.int64()) for c in ("doc", "item_id", "first_word", "n_words")], [batch.column(0).slice(a, b - a).take(pa.array(doc)), item, first - w.bounds[doc], end - first])
+                    yield rows([(c, pa.int64()) for c in ("doc", "item_id", "first_word", "n_words")], [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(item, mask=item == NAMELESS), first - w.bounds[doc], end - first])
 
         part = plain.mapInArrow(released(find), "doc long, item_id long, first_word long, n_words long")
         out = part if out is None else out.unionByName(part)
@@ -270,10 +275,7 @@ def contaminated_spans(
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs; all columns stay, and nothing is shuffled."""
     spark, place = docs.sparkSession, docs.columns.index(text_col)
-    items = id_and_text(benchmark, item_id_col, item_text_col)
-    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    items = items.withColumn("_block", F.pmod(F.xxhash64("_text"), F.lit(blocks)))
+    items, blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
     for k in range(blocks):
         texts = [r["_text"] for r in items.where(F.col("_block") == k).collect()]
         tests = spark.sparkContext.broadcast(make_tests(list(range(len(texts))), texts, window))
