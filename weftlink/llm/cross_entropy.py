@@ -1,8 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
 A target and a background model of the same kind (interpolated bigrams, Dirichlet-smoothed) share one
-vocabulary, the words of the background; V counts them and one unknown word.
-    p1(w) = (c(w) + 1) / (N + V),   p(w | v) = (c(v, w) + MU p1(w)) / (c(v) + MU)
+vocabulary, the words of all documents; V counts them and one unknown word.
+    p1(w) = (c(w) + 1) / (N + V),   p(w | v) = (c(v, w) + MU p1(w)) / (c(v, .) + MU)
+c(v, .) counts the pairs that begin with v, so both sum to 1 over the vocabulary. The target model counts the target
+documents, the background model all documents; a document is scored by models of all others, its own counts taken out
+of whichever model it is in, so target documents have no advantage and a text that occurs twice stands out.
 A document's score is the mean over its words of target loss minus background loss, in nats; lower is closer to
 the target. The first word is predicted by p1 alone.
 
@@ -10,8 +13,9 @@ All words and pairs of all documents are in the models, whatever their number, s
 Documents are written as runs. A run asks for its distinct words and pairs, each once, in buckets by their hash, so
 a common word or pair is no more work than others. A bucket adds up the counts of its keys and answers every run
 in the order asked; answers and runs meet again by run.
-VOCABULARY and PAIRS bound the models only where they are set: then the commonest words and pairs are kept.
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A document without words has null losses and score.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A document without words has null losses and score. Every row is
+a document of its own; rows whose id is a target id are target documents, rows without an id never are. Repeated
+target ids count once. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +28,14 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
 from weftlink.llm.bloom import bloom_filter, maybe
-from weftlink.llm.scratch import Scratch
+from weftlink.llm.scratch import Scratch, collect_garbage
 from weftlink.llm.sessions import give_back, id_and_text, released, rows
 
-VOCABULARY: int | None = None
-PAIRS: int | None = None
 MU = 50.0
 FLUSH_WORDS = 1_500_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 12_000_000
 
-WORD, PAIR, PLACES, TOTAL, SIZES = range(5)
-UNKNOWN = np.uint64(0)
+WORD, PAIR, PLACES, TOTAL, GOAL = range(5)
 
 _ROWS = "bucket int, run long, kind int, target boolean, blob binary"
 _FIELDS = [("bucket", pa.int32()), ("run", pa.int64()), ("kind", pa.int32()), ("target", pa.bool_()), ("blob", pa.binary())]
@@ -64,15 +65,6 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-def _known(hashes: np.ndarray, vocab: np.ndarray | None) -> np.ndarray:
-    if vocab is None:
-        return hashes
-    if not len(vocab):
-        return np.full(len(hashes), UNKNOWN)
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, hashes, UNKNOWN)
-
-
 def _begins(n: np.ndarray) -> np.ndarray:
     """Flags of the first words of documents of n words."""
     begin = np.zeros(n.sum() + 1, bool)
@@ -81,36 +73,32 @@ def _begins(n: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one hash for each pair of neighbouring known words, place of its second word)."""
-    second = np.flatnonzero(~begin[1:] & (hashes[:-1] != UNKNOWN) & (hashes[1:] != UNKNOWN)) + 1
+    """(one hash for each pair of neighbouring words, place of its second word)."""
+    second = np.flatnonzero(~begin[1:]) + 1
     with np.errstate(over="ignore"):
         return tokens.mix(tokens.mix(hashes[second - 1], 5) * tokens._Q[0] + hashes[second], 9), second
 
 
-def _runs(vocab):
+def _runs(batches):
     """Runs of documents of about FLUSH_WORDS words: ids, sizes, distinct words and the documents' words as places of these."""
-
-    def run(batches):
-        held, size, turn = [], 0, 0
-
-        def flush():
-            ids, valid, n, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-            words, place = np.unique(hashes, return_inverse=True)
-            return rows(_FIELDS, [[0], [TaskContext.get().partitionId() << 32 | turn], [PLACES], [False], [_put(ids, valid, n, _gaps(words), place.astype(np.int32))]])
-
-        for batch in batches:
-            for a, b, data, off in tokens.slices(batch.column(1)):
-                w = tokens.scan(data, off, tokens.SPACE, lower=True)
-                ids = batch.column(0).slice(a, b - a)
-                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(w.bounds).astype(np.int64), _known(w.hashes, vocab.value)))
-                size += len(w.hashes)
-                if size >= FLUSH_WORDS:
-                    yield flush()
-                    held, size, turn = [], 0, turn + 1
-        if held:
-            yield flush()
-
-    return run
+    held, size, turn = [], 0, 0
+
+    def flush():
+        ids, valid, n, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, place = np.unique(hashes, return_inverse=True)
+        return rows(_FIELDS, [[0], [TaskContext.get().partitionId() << 32 | turn], [PLACES], [False], [_put(ids, valid, n, _gaps(words), place.astype(np.int32))]])
+
+    for batch in batches:
+        for a, b, data, off in tokens.slices(batch.column(1)):
+            w = tokens.scan(data, off, tokens.SPACE, lower=True)
+            ids = batch.column(0).slice(a, b - a)
+            held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(w.bounds).astype(np.int64), w.hashes))
+            size += len(w.hashes)
+            if size >= FLUSH_WORDS:
+                yield flush()
+                held, size, turn = [], 0, turn + 1
+    if held:
+        yield flush()
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -128,120 +116,128 @@ def _ask(buckets: int, target: bool):
             for number, blob in zip(batch.column(1).to_pylist(), batch.column(4), strict=True):
                 _, _, n, words, place = _open(blob.as_py())
                 pairs, pair_times = np.unique(_pairs_of(words[place], _begins(n))[0], return_counts=True)
+                last = np.bincount(place[np.cumsum(n)[n > 0] - 1], minlength=len(words))
                 out = []
-                for kind, keys, count in ((WORD, words, np.bincount(place, minlength=len(words))), (PAIR, pairs, pair_times)):
+                for kind, keys, *count in ((WORD, words, np.bincount(place, minlength=len(words)), last), (PAIR, pairs, pair_times)):
                     cut = np.append(np.searchsorted(keys, edges), len(keys))
                     for b in np.flatnonzero(np.diff(cut)).tolist():
                         own = slice(cut[b], cut[b + 1])
-                        out.append((b, number, kind, target, _put(_gaps(keys[own]), count[own].astype(np.int64))))
+                        out.append((b, number, kind, target, _put(_gaps(keys[own]), *[c[own].astype(np.int64) for c in count])))
                 for k in range(0, len(out), 500):
                     yield rows(_FIELDS, list(zip(*out[k : k + 500], strict=True)))
 
     return run
 
 
-def _answer(sizes: bool):
+def _answer(table: pa.Table) -> pa.Table:
     """Of one bucket: to every asked list of keys the background's and the target's counts in the same order, and totals."""
+    bucket, kinds, targets = table.column("bucket")[0].as_py(), table.column("kind").to_numpy(), table.column("target").to_numpy()
+    runs, blobs = table.column("run").to_numpy(), table.column("blob")
+    out = []
+    for kind, fields in ((WORD, 2), (PAIR, 1)):
+        at = np.flatnonzero(kinds == kind)
+        if not len(at):
+            continue
+        got = [_get(blobs[int(k)].as_py(), np.uint64, *[np.int64] * fields) for k in at]
+        cut = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
+        keys, of = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
+        side, sums = np.repeat(targets[at], np.diff(cut)), []
+        for f in range(fields):
+            count = np.concatenate([g[1 + f] for g in got])
+            sums += [np.bincount(of, weights=np.where(s, count, 0), minlength=len(keys)).astype(np.int64) for s in (~side, side)]
+        del got, count
+        for i, k in enumerate(at.tolist()):
+            if not targets[k]:
+                own = of[cut[i] : cut[i + 1]]
+                out.append((bucket, int(runs[k]), kind, False, _put(*[x[own] for x in sums])))
+        if kind == WORD:
+            out.append((bucket, -1, TOTAL, False, _put(np.array([len(keys), sums[0].sum(), sums[1].sum()], np.int64))))
+        del keys, of, side, sums
+    answer = pa.Table.from_batches([rows(_FIELDS, list(zip(*out, strict=True)))])
+    del out
+    give_back()
+    return answer
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket, kinds, targets = table.column("bucket")[0].as_py(), table.column("kind").to_numpy(), table.column("target").to_numpy()
-        runs, blobs = table.column("run").to_numpy(), table.column("blob")
-        out = []
-        for kind in (WORD, PAIR):
-            at = np.flatnonzero(kinds == kind)
-            if not len(at):
-                continue
-            got = [_get(blobs[int(k)].as_py(), np.uint64, np.int64) for k in at]
-            cut = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
-            keys, of = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
-            side = np.repeat(targets[at], np.diff(cut))
-            count = np.concatenate([g[1] for g in got])
-            del got
-            back, goal = (np.bincount(of, weights=np.where(s, count, 0), minlength=len(keys)).astype(np.int64) for s in (~side, side))
-            for i, k in enumerate(at.tolist()):
-                if not targets[k]:
-                    own = of[cut[i] : cut[i + 1]]
-                    out.append((bucket, int(runs[k]), kind, False, _put(back[own], goal[own])))
-            if kind == WORD:
-                out.append((bucket, -1, TOTAL, False, _put(np.array([(keys != UNKNOWN).sum(), back.sum(), goal.sum()], np.int64))))
-            elif sizes:
-                out.append((bucket, -1, SIZES, False, _put(*np.unique(back, return_counts=True))))
-            del keys, of, side, count, back, goal
-        answer = pa.Table.from_batches([rows(_FIELDS, list(zip(*out, strict=True)))])
-        give_back()
-        return answer
 
-    return run
+_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]
 
 
-_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]
+def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each key stands in its document."""
+    _, of, n = np.unique(doc * (int(key.max(initial=0)) + 1) + key, return_inverse=True, return_counts=True)
+    return n[of]
 
 
-def _score(vocabulary: int, totals: tuple[int, int], least: int):
-    """Losses of one run's documents from the answers; pairs of fewer than `least` count as none."""
+def _score(vocabulary: int, totals: tuple[int, int]):
+    """Losses of one run's documents from the answers."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
         order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
 
-        def counts(kind):
-            got = [_get(blobs[int(k)].as_py(), np.int64, np.int64) for k in order[kinds[order] == kind]]
-            return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 2
+        def counts(kind, fields):
+            got = [_get(blobs[int(k)].as_py(), *[np.int64] * fields) for k in order[kinds[order] == kind]]
+            return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * fields
 
         ids, valid, n, distinct, place = _open(blobs[int(np.flatnonzero(kinds == PLACES)[0])].as_py())
+        goal = np.zeros(len(n), bool)
+        goal[[int(np.frombuffer(blobs[int(k)].as_py(), np.int32)[0]) for k in np.flatnonzero(kinds == GOAL)]] = True
         begin, ends = _begins(n), np.cumsum(n)
         pair, second = _pairs_of(distinct[place], begin)
         of = np.unique(pair, return_inverse=True)[1]
-        words, pairs, mean = counts(WORD), counts(PAIR), []
-        enough, before = pairs[0] >= least, np.concatenate([place[:1], place[:-1]])
+        del pair
+        words, pairs, mean = counts(WORD, 4), counts(PAIR, 2), []
+        doc = np.repeat(np.arange(len(n)), n)
+        own, before = _own(doc, place), np.concatenate([place[:1], place[:-1]])
+        own_before = np.concatenate([own[:1], own[:-1]]) - (before == place[(ends - 1)[doc]])
+        own_pair = _own(doc[second], of)
         for side in (1, 0):
-            c = words[side]
-            p1 = (c[place] + 1) / (totals[side] + vocabulary)
+            less = goal[doc] if side else np.ones(len(doc), bool)
+            p1 = (words[side][place] - less * own + 1) / (totals[side] - less * n[doc] + vocabulary)
             both = np.zeros(len(place), np.int64)
-            both[second] = np.where(enough, pairs[side], 0)[of]
-            p = np.where(begin, p1, (both + MU * p1) / (c[before] + MU))
+            both[second] = pairs[side][of] - less[second] * own_pair
+            follow = (words[side] - words[2 + side])[before] - less * own_before
+            p = np.where(begin, p1, (both + MU * p1) / (np.where(begin, 0, follow) + MU))
             sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
             s = sums[ends] - sums[ends - n]
             mean.append(np.divide(s, n, out=np.full(len(n), np.nan), where=n > 0))
+            del p1, both, follow, p, sums
         t, g = (pa.array(np.round(x, 6), from_pandas=True) for x in mean)
         out = rows(_OUT, [pa.array(ids, mask=~valid), n, t, g, pa.array(np.round(mean[0] - mean[1], 6), from_pandas=True)])
+        del words, pairs, doc, own, before, own_before, own_pair, of, place
         give_back()
         return pa.Table.from_batches([out])
 
     return run
 
 
-def _least(sizes: list[tuple[int, int]], limit: int | None) -> int:
-    """The smallest least count that leaves no more than limit keys; sizes: (count, how many keys have it)."""
-    taken = 0
-    for value, n in sorted(sizes, reverse=True):
-        taken += n
-        if limit is not None and taken > limit:
-            return value + 1
-    return 1
+def _likely(bits, ids: pa.Array) -> np.ndarray:
+    return maybe(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _commonest(plain: DataFrame, limit: int) -> np.ndarray:
-    def words(batches):
-        for batch in batches:
-            for _, _, data, off in tokens.slices(batch.column(1)):
-                key, n = np.unique(tokens.scan(data, off, tokens.SPACE, lower=True).hashes, return_counts=True)
-                yield rows([("key", pa.int64()), ("n", pa.int64())], [key.view(np.int64), n])
+def target_documents(docs: DataFrame, wanted: DataFrame, bits) -> DataFrame:
+    """Rows of (_id, _text) whose id is in the one-column wanted; its Bloom filter spares the exact join most other rows."""
 
-    counts = plain.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = _least([(r["n"], r["count"]) for r in counts.groupBy("n").count().collect()], limit)
-    return np.sort(np.array([r["key"] for r in counts.where(F.col("n") >= least).collect()], np.int64).view(np.uint64))
+    def likely(batches):
+        for b in batches:
+            yield b.filter(pa.array(_likely(bits, b.column(0))))
 
+    return docs.mapInArrow(likely, "_id long, _text string").join(wanted.toDF("_id"), "_id", "left_semi")
 
-def target_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of (_id, _text) whose id is in the one-column wanted; a Bloom filter spares the exact join most other rows."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted))
+
+def _target_places(runs: DataFrame, wanted: DataFrame, bits) -> DataFrame:
+    """Which documents of each run are target documents."""
 
     def likely(batches):
-        for b in batches:
-            yield b.filter(pa.array(maybe(bits.value, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
+        for batch in batches:
+            for number, blob in zip(batch.column(1).to_pylist(), batch.column(4), strict=True):
+                ids, valid, *_ = _open(blob.as_py())
+                at = np.flatnonzero(_likely(bits, pa.array(ids, mask=~valid)))
+                m = len(at)
+                own = rows(_FIELDS, [np.zeros(m, np.int32), np.full(m, number), np.full(m, GOAL), np.zeros(m, bool), [np.int32(i).tobytes() for i in at.tolist()]])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids[at])], [*own.schema.names, "_id"])
 
-    return docs.mapInArrow(likely, "_id long, _text string").join(wanted.toDF("_id"), "_id", "left_semi")
+    return runs.mapInArrow(likely, _ROWS + ", _id long").join(wanted.toDF("_id"), "_id", "left_semi").drop("_id")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,19 +247,18 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(24, -(-size // BUCKET_BYTES)))
     wanted = target_ids.toDF("_id").select(F.col("_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    vocab = spark.sparkContext.broadcast(None if VOCABULARY is None else _commonest(plain, VOCABULARY))
+    bits = spark.sparkContext.broadcast(bloom_filter(wanted))
     scratch = Scratch(spark, "cross-entropy")
-    runs = scratch.save(plain.mapInArrow(released(_runs(vocab)), _ROWS), "runs", **_WRITE)
-    goal = target_documents(plain, wanted).mapInArrow(_runs(vocab), _ROWS)
+    runs = scratch.save(plain.mapInArrow(released(_runs), _ROWS), "runs", **_WRITE)
+    goal = target_documents(plain, wanted, bits).mapInArrow(_runs, _ROWS)
     asked = runs.mapInArrow(released(_ask(buckets, False)), _ROWS).unionByName(goal.mapInArrow(released(_ask(buckets, True)), _ROWS))
-    answers = scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(PAIRS is not None), _ROWS), "answers", **_WRITE)
-    totals, sizes = np.zeros(3, np.int64), {}
-    for r in answers.where(F.col("kind").isin(TOTAL, SIZES)).select("kind", "blob").collect():
-        if r["kind"] == TOTAL:
-            totals += _get(bytes(r["blob"]), np.int64)[0]
-        else:
-            for value, n in zip(*_get(bytes(r["blob"]), np.int64, np.int64), strict=True):
-                sizes[int(value)] = sizes.get(int(value), 0) + int(n)
-    score = _score(int(totals[0]) + 1, (int(totals[1]), int(totals[2])), _least(list(sizes.items()), PAIRS))
-    scored = runs.unionByName(answers.where(F.col("kind").isin(WORD, PAIR))).repartition(buckets, "run").groupBy("run").applyInArrow(score, "doc long, n_words long, target_loss double, background_loss double, score double")
+    answers = scratch.save(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, _ROWS), "answers", **_WRITE)
+    totals = np.zeros(3, np.int64)
+    for r in answers.where(F.col("kind") == TOTAL).select("blob").toLocalIterator():
+        totals += _get(bytes(r["blob"]), np.int64)[0]
+    del asked, goal
+    collect_garbage(spark)  # what was asked need not be kept any longer
+    score = _score(int(totals[0]) + 1, (int(totals[1]), int(totals[2])))
+    parts = runs.unionByName(answers.where(F.col("kind").isin(WORD, PAIR))).unionByName(_target_places(runs, wanted, bits))
+    scored = parts.repartition(buckets, "run").groupBy("run").applyInArrow(score, "doc long, n_words long, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("doc", id_col)

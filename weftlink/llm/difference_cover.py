@@ -24,7 +24,7 @@ from weftlink.llm import routed, tokens
 from weftlink.llm.sessions import id_and_text, released, row_key
 
 WINDOW, GRAM = 200, 24
-SHARD = 1_200_000
+SHARD = 900_000
 #: A document is known by its row's key.
 WHO = (np.int64,)
 

@@ -30,7 +30,7 @@ from weftlink.llm.sessions import dealt, pack, released, rows, unpack_all
 FILTER_BITS = 27
 PARTS = 64
 FLUSH_ANCHORS = 2_000_000
-FLUSH_UNITS = 6_000_000
+FLUSH_UNITS = 4_000_000
 BUCKET_BYTES = 16_000_000
 
 _BLOBS = [("bucket", pa.int32()), ("blob", pa.binary())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -25,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[spark.sparkContext.applicationId]
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts that no DataFrame refers to; else they wait for the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables cut lineage and survive the loss of executors."""
 
