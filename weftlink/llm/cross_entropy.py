@@ -32,8 +32,8 @@ from weftlink.llm.scratch import Scratch, collect_garbage
 from weftlink.llm.sessions import give_back, id_and_text, released, rows
 
 MU = 50.0
-FLUSH_WORDS = 1_500_000
-BUCKET_BYTES = 12_000_000
+FLUSH_WORDS = 600_000
+BUCKET_BYTES = 10_000_000
 
 WORD, PAIR, PLACES, TOTAL, GOAL = range(5)
 
