@@ -34,6 +34,8 @@ from weftlink.llm.sessions import give_back, id_and_text, released, rows
 MU = 50.0
 FLUSH_WORDS = 600_000
 BUCKET_BYTES = 10_000_000
+#: Two given pairs share a hash with a chance of 2**-56; each bit more is paid for in every shuffled pair.
+PAIR_BITS = 56
 
 WORD, PAIR, PLACES, TOTAL, GOAL = range(5)
 
@@ -73,10 +75,10 @@ def _begins(n: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one hash for each pair of neighbouring words, place of its second word)."""
+    """(a hash of PAIR_BITS bits for each pair of neighbouring words, place of its second word)."""
     second = np.flatnonzero(~begin[1:]) + 1
     with np.errstate(over="ignore"):
-        return tokens.mix(tokens.mix(hashes[second - 1], 5) * tokens._Q[0] + hashes[second], 9), second
+        return tokens.mix(tokens.mix(hashes[second - 1], 5) * tokens._Q[0] + hashes[second], 9) >> np.uint64(64 - PAIR_BITS), second
 
 
 def _runs(batches):
@@ -119,7 +121,7 @@ def _ask(buckets: int, target: bool):
                 last = np.bincount(place[np.cumsum(n)[n > 0] - 1], minlength=len(words))
                 out = []
                 for kind, keys, *count in ((WORD, words, np.bincount(place, minlength=len(words)), last), (PAIR, pairs, pair_times)):
-                    cut = np.append(np.searchsorted(keys, edges), len(keys))
+                    cut = np.append(np.searchsorted(keys, edges if kind == WORD else edges >> np.uint64(64 - PAIR_BITS)), len(keys))
                     for b in np.flatnonzero(np.diff(cut)).tolist():
                         own = slice(cut[b], cut[b + 1])
                         out.append((b, number, kind, target, _put(_gaps(keys[own]), *[c[own].astype(np.int64) for c in count])))

@@ -274,12 +274,13 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             p = a @ proj
             given = right.column("bound").combine_chunks().fill_null(math.inf).to_numpy(zero_copy_only=False)
             best, sim = search(Tree(p), a, b, b @ proj, keep, given, confidence)
-            norm_x, norm_y, ids = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)), left.column("ids").to_pylist()
+            # sums term by term in order, as SQL has them
+            norm_x, norm_y, ids = np.cumsum(x * x, 1)[:, -1], np.cumsum(y * y, 1)[:, -1], left.column("ids").to_pylist()
             near, bound = [], []
             for i in range(len(y)):
                 own = []
                 for j in best[i][best[i] >= 0]:
-                    score = float((x[j] * y[i]).sum() / (norm_x[j] * norm_y[i]))
+                    score = max(-1.0, min(1.0, float(np.cumsum(x[j] * y[i])[-1] / np.sqrt(norm_x[j] * norm_y[i]))))
                     own += [(-round(score, TIE_DIGITS), v, score) for v in ids[j]]
                 own = sorted(own)[:keep]
                 near.append([{"score": s, "id": v} for _, v, s in own])
