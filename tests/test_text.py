@@ -71,3 +71,11 @@ def test_transliteration(spark):
     assert transliterate("३९") == "39"
     got = spark.createDataFrame([("नमस्ते",), (None,), ("abc",)], "t string").select(transliterate_udf("t").alias("x")).collect()
     assert got[0]["x"].isascii() and got[1]["x"] is None and got[2]["x"] == "abc"
+
+
+def test_normalisation_takes_every_script(spark):
+    cases = {"टाटा Steel Ltd": "tata stel", "École—Straße № 5": "ecole strase no 5", "Газпром ООО": None, "plain Name": "plain name", "नमस्ते": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.normalize_text(F.col("t")).alias("n"))
+    got = {r["t"]: r["n"] for r in df.collect()}
+    assert all(got[k] == v for k, v in cases.items() if v is not None), got
+    assert all(v and v.isascii() for v in got.values()), got

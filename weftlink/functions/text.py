@@ -44,6 +44,15 @@ def latin_ascii(c: Column) -> Column:
     return F.lower(c)
 
 
+def any_ascii(c: Column) -> Column:
+    """Text of any script in lower-case ASCII. Latin text takes built-in functions alone; only values with other letters reach the transliterator."""
+    from weftlink.functions.kernels import transliterate_udf
+
+    latin = latin_ascii(c)
+    other = latin.rlike(r"[^\x00-\x7F]")
+    return F.when(other, F.lower(transliterate_udf(F.when(other, latin)))).otherwise(latin)
+
+
 def fold_acronyms(c: Column) -> Column:
     c = F.regexp_replace(c, r"\b([a-z])\.([a-z])\.([a-z])\b", "$1$2$3")
     return F.regexp_replace(c, r"\b([a-z])\.([a-z])\b", "$1$2")
@@ -66,7 +75,7 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
-def normalize_text(c: Column, ascii_of=latin_ascii) -> Column:
+def normalize_text(c: Column, ascii_of=any_ascii) -> Column:
     """The steps' order matters: suffixes go before letters collapse."""
     out = squeeze(collapse_letters(strip_legal(strip_domains(fold_acronyms(ascii_of(c.cast("string")))))))
     return F.when(is_missing(c.cast("string")), F.lit("")).otherwise(out)

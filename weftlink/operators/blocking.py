@@ -34,7 +34,7 @@ CHANNELS = {"tok": (True, 3.5), "wp": (True, 5.0), "sn": (True, 5.5), "cmp": (Tr
 NO_PHONETICS = tuple(c for c in CHANNELS if c not in ("ph", "pn"))
 
 
-def prepare(df: DataFrame, phonetic: bool = False, transliteration=T.latin_ascii) -> DataFrame:
+def prepare(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii) -> DataFrame:
     """Everything that is derived from one record, once for each record."""
     out = df.select(
         "entity_id",

@@ -103,7 +103,7 @@ def normalize_name(spark, d):
 
 @_query
 def normalize_documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("clean"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.normalize_text(F.col("text")).alias("clean"))
 
 
 @_query
@@ -153,8 +153,7 @@ def metaphone_keys(spark, d):
 
 @_query
 def transliterate(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.length(K.transliterate_udf("text")).alias("n_ascii"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.any_ascii(F.col("text")).alias("ascii_text"))
 
 
 @_query
@@ -278,7 +277,7 @@ def trained_matches(spark, d):
     s1, _, _ = fixtures.sources(spark, d)
     features = X.pair_features(X.pair_records(labelled, B.prepare(s1), B.prepare(fixtures.targets(spark, d)))).persist()
     train, valid, test = M.split_groups(features, 60, 20)
-    scored = M.predict(M.train_matcher(train, valid, trees=10), test)
+    scored = M.predict(M.train_matcher(train, valid), test)
     return D.decide(scored).select("s1_id", "tgt_id", F.round("prob", 6).alias("prob"), "rank")
 
 

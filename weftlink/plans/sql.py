@@ -36,6 +36,9 @@ def _domains(x: str) -> str:
     return f"regexp_replace({x}, '{T.DOMAIN_PATTERN}', ' ', 'g')"
 
 
+_PLAIN = "strip_accents(replace(text, 'ß', 'ss'))"
+
+
 def _norm(x: str) -> str:
     y = _collapse(f"regexp_replace({_domains(_fold(f'lower(strip_accents({x}))'))}, '{T.LEGAL_PATTERN}', ' ', 'g')")
     y = f"trim(regexp_replace(regexp_replace({y}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -153,7 +156,8 @@ def oracle_sql() -> dict[str, str]:
         "singleton_flags": _with() + "select s1_id, ids = '' is_singleton from truth",
         "id_lines": "select distinct 'c' || conv_id entity_id from conversations",
         "normalize_name": rec + "select entity_id, name as clean from rec",
-        "normalize_documents": f"select doc_id, {_norm('x')} as clean from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') x from documents)",
+        "normalize_documents": f"select doc_id, {_norm('x')} as clean from (select doc_id, {_PLAIN} x from documents)",
+        "transliterate": f"select doc_id, lower({_PLAIN}) ascii_text from documents",
         "fold_acronyms": _with() + f"select entity_id, {_fold('lower(business_name)')} folded from everyone",
         "strip_domains": f"select page_id, {_domains('lower(url)')} bare from pages",
         "collapse_letters": f"select p_partkey, {_collapse('lower(p_name)')} collapsed from part",
