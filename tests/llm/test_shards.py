@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -51,8 +52,33 @@ def test_round_trip(spark, tmp_path):
     again = materialise(df, PATH, key=5, length=16, shard_slots=64)
     assert again.count() == len(got)
     export_files(shards, str(tmp_path / "out"))
-    assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) == 32 * n
+    folder = tmp_path / "out"
+    read = lambda: {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in folder.glob("*.bin")}
+    assert sum(f.stat().st_size for f in folder.glob("*.bin")) == 32 * n
+    assert read() == {f"shard-{r['shard']:08d}.bin": r["sha256"] for r in got}
+    other = materialise(df, PATH, key=6, length=16, shard_slots=64).persist()
+    export_files(other, str(folder))  # shards of the same sizes are replaced
+    assert read() == {f"shard-{r['shard']:08d}.bin": r["sha256"] for r in other.collect()}
+    assert (folder / "shards.tsv").read_text().count("\n") == len(got)
     shards.unpersist()
+    other.unpersist()
+
+
+def test_every_sequence_is_in_its_slot(spark):
+    rows = [(None if i % 5 == 0 else i // 2, "word " * (i % 7)) for i in range(60)] + [(3, None)]
+    df = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA).coalesce(1)
+    encoder, end = _encoder(PATH)
+    want = []
+    for d, t in rows:
+        flat = [*encoder.encode_ordinary(t), end] if t else []
+        want += [(d, s, flat[i : i + 4]) for s, i in enumerate(range(0, len(flat), 4))]
+    slots = feistel(np.arange(len(want)), len(want), 11).tolist()
+    got = {}
+    for r in materialise(df, PATH, key=11, length=4, shard_slots=16).collect():
+        ids = np.frombuffer(bytes(r["payload"]), "<u2").reshape(-1, 4)
+        for k, (d, s, n) in enumerate(zip(r["doc_ids"], r["seqs"], r["lengths"], strict=True)):
+            got[r["first_slot"] + k] = (d, s, ids[k][:n].tolist())
+    assert got == dict(zip(slots, want, strict=True))
 
 
 def test_empty_table(spark):

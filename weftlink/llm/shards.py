@@ -8,7 +8,9 @@
 
 Shards are rows: (shard, first_slot, n_slots, stride, sha256, doc_ids, seqs, lengths, payload); payload is
 little-endian unsigned 16-bit ids, padded with the end mark. The permutation spreads any hot source evenly.
-Null and empty texts give no sequence.
+Null and empty texts give no sequence. Every row is encoded, whether it repeats another, shares its id or has none (its
+doc_ids entry is null). Sequences are numbered in the order in which rows lie in the input's splits, so a result is that
+of its input files: the same files and key give the same shards. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,16 +139,23 @@ def read_slots(shards: DataFrame, start: int, count: int) -> Iterator[tuple[int,
 
 
 def export_files(shards: DataFrame, folder: str) -> None:
-    """One file for each shard in a folder that all executors mount; whole files are kept, so a stopped export goes on."""
+    """One file for each shard in a folder that all executors mount. Files with the shard's digest are kept, so a stopped export goes on; others, of another key or corpus, are replaced. shards.tsv, written last, lists number and digest of each."""
 
     def put(part):
         os.makedirs(folder, exist_ok=True)
         for r in part:
             path = f"{folder}/shard-{r['shard']:08d}.bin"
-            if os.path.exists(path) and os.path.getsize(path) == len(r["payload"]):
-                continue
+            if os.path.exists(path):
+                with open(path, "rb") as f:
+                    if hashlib.file_digest(f, "sha256").hexdigest() == r["sha256"]:
+                        continue
             with open(f"{path}.{TaskContext.get().taskAttemptId()}", "wb") as f:
                 f.write(r["payload"])
             os.replace(f.name, path)
 
-    shards.select("shard", "payload").foreachPartition(put)
+    shards = shards.select("shard", "sha256", "payload")
+    shards.foreachPartition(put)
+    known = [f"{r['shard']:08d}\t{r['sha256']}\n" for r in shards.drop("payload").orderBy("shard").toLocalIterator()]
+    with open(f"{folder}/shards.tsv.new", "w") as f:
+        f.writelines(known)
+    os.replace(f.name, f"{folder}/shards.tsv")
