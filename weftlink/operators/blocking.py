@@ -128,18 +128,22 @@ def weight() -> Column:
 
 
 def score_pairs(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
-    """(s1_id, tgt_id, name_score, addr_score) of prepared records that share a key which is not too common."""
+    """(s1_id, tgt_id, name_score, addr_score) of prepared records that share a key which is not too common.
+
+    The targets of a key that stays are at most its cutoff, so they travel as one list. Probes fetch lists by key, one
+    exchange brings all lists of a left entity together, and there they are unpacked, summed and later ranked.
+    """
     index = keys(targets, config.channels, True)
     common = key_frequencies(index).where(F.col("n") <= cutoff(config)).withColumn("w", weight())
     on = ["country", "channel", "key"]
     probes = keys(queries, config.channels, False).groupBy("country", "entity_id", "channel", "key").agg(F.count("*").alias("times")).withColumnRenamed("entity_id", "s1_id")
-    postings = index.join(common, on).withColumnRenamed("entity_id", "tgt_id")
+    postings = index.join(common, on).groupBy(*on).agg(F.first("w").alias("w"), F.collect_list("entity_id").alias("found"))
     is_name = F.col("channel").isin([c for c, (name, _) in CHANNELS.items() if name])
-    w = F.col("w") * F.col("times")
-    return (
-        probes.join(postings, on)
-        .groupBy("s1_id", "tgt_id")
-        .agg(F.round(F.coalesce(F.sum(F.when(is_name, w)), F.lit(0.0)), 9).alias("name_score"), F.round(F.coalesce(F.sum(F.when(~is_name, w)), F.lit(0.0)), 9).alias("addr_score"))
+    fetched = probes.join(postings, on).select("s1_id", is_name.alias("is_name"), (F.col("w") * F.col("times")).alias("w"), "found")
+    hits = fetched.repartition("s1_id").select("s1_id", "is_name", "w", F.explode("found").alias("tgt_id"))
+    return hits.groupBy("s1_id", "tgt_id").agg(
+        F.round(F.coalesce(F.sum(F.when(F.col("is_name"), F.col("w"))), F.lit(0.0)), 9).alias("name_score"),
+        F.round(F.coalesce(F.sum(F.when(~F.col("is_name"), F.col("w"))), F.lit(0.0)), 9).alias("addr_score"),
     )
 
 
