@@ -29,7 +29,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(source1, source2, source3): transposed, accented, dotted, doubled and fused spellings of the same entities."""
     b = _base(spark, sf_dir)
-    s1 = b.selectExpr("concat('S1-', k) entity_id", "concat(w1, ' ', w2, ' ', seg, ' ', tag, if(k % 6 = 0, ' L.L.C.', ' Pvt Ltd')) business_name", "concat(num, ' ', seg, ' Road, ', nat, ' ', pc) business_address", "country")
+    s1 = b.selectExpr("concat('S1-', k) entity_id", "concat(w1, ' ', w2, ' ', seg, ' ', tag, if(k % 6 = 0, ' L.L.C.', ' Pvt Ltd')) business_name", "concat(if(k % 12 = 0, concat('Plot ', num, '-', k % 50, '/2, '), concat(num, ' ')), seg, ' Road, ', nat, ' ', pc) business_address", "country")
     s2 = b.where("k % 4 <> 0").selectExpr(
         "concat('S2-', k) entity_id",
         "concat(if(k % 10 = 1, replace(w2, 'e', 'é'), w2), ' ', w1, ' ', seg, ' ', tag, ' Limited') business_name",

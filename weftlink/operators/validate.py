@@ -9,7 +9,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +21,12 @@ EXAMPLES = 5
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(line, s1, ids) of rows with a tab behind the header, ids untrimmed; an all-blank list is empty."""
     rest = F.expr("substring(value, instr(value, '\t') + 1)")
-    ids = F.when(F.trim(rest) == "", F.array().cast("array<string>")).otherwise(F.split(rest, ","))
+    ids = F.when(rest.rlike(r"^\s*$"), F.array().cast("array<string>")).otherwise(F.split(rest, ","))
     return lines.where((F.col("line") > 1) & (F.instr("value", "\t") > 0)).select("line", F.substring_index("value", "\t", 1).alias("s1"), ids.alias("ids"))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
-    return lines.where((F.col("line") > 1) & (F.instr("value", "\t") == 0) & (F.trim("value") != "")).select(F.concat(F.lit("line "), "line").alias("item"))
+    return lines.where((F.col("line") > 1) & (F.instr("value", "\t") == 0) & ~F.col("value").rlike(r"^\s*$")).select(F.concat(F.lit("line "), "line").alias("item"))
 
 
 def duplicate_rows(rows: DataFrame) -> DataFrame:
@@ -108,11 +108,12 @@ def check_lists(lines: DataFrame, file: str, required: DataFrame, valid: DataFra
 
 def validate_outputs(spark: SparkSession, matching: str, candidate: str | None, test_dir: str, check_ids: bool = False) -> tuple[list, list]:
     """(errors, warnings) as (file, rule, n, examples)."""
-    errors, warnings = [], []
+    errors, warnings, held = [], [], []
 
     def lines_of(path: str):
         try:
             found = read_lines(spark, path).cache()
+            held.append(found)
             first = found.where("line = 1").first()
         except AnalysisException:
             return None, None
@@ -140,21 +141,31 @@ def validate_outputs(spark: SparkSession, matching: str, candidate: str | None,
         if fault := header_fault(first, header):
             errors.append((name, fault, 1, []))
             continue
+        if bad := lines.where(~F.is_valid_utf8("value")).count():
+            errors.append((name, "not UTF-8 text", bad, []))
+            continue
         parsed[name] = parse_lines(lines)
+        size = counts(parsed[name]).first()
+        print(f"{name}: {size['n_rows']} rows ({size['n_empty']} empty, {size['n_listed']} with ids)")
         errors += [(r["file"], r["rule"], r["n"], r["examples"]) for r in check_lists(lines, name, required, valid).collect()]
     if len(parsed) == 2:
         warnings += [(r["file"], r["rule"], r["n"], r["examples"]) for r in summary(outside_candidates(parsed["matching"], parsed["candidate"]), "matching", "match is no candidate", "warning").collect()]
+    for df in held:  # a file that changes is read again
+        df.unpersist()
     return errors, warnings
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Checks matching and candidate id lists.")
-    parser.add_argument("--matching", "-m", required=True)
-    parser.add_argument("--candidate", "-c")
-    parser.add_argument("--test-dir", "-t", required=True)
+    parser.add_argument("--matching", "-m", default="output/matching_results.tsv")
+    parser.add_argument("--candidate", "-c", default="output/candidate_pairs.tsv")
+    parser.add_argument("--test-dir", "-t", default="dataset/test")
     parser.add_argument("--check-ids", action="store_true")
     a = parser.parse_args(argv)
-    errors, warnings = validate_outputs(SparkSession.builder.getOrCreate(), a.matching, a.candidate, a.test_dir, a.check_ids)
+    try:
+        errors, warnings = validate_outputs(SparkSession.builder.getOrCreate(), a.matching, a.candidate, a.test_dir, a.check_ids)
+    except PySparkException as e:  # a file that is there and can't be read
+        errors, warnings = [(a.matching, str(e).splitlines()[0], 1, [])], []
     for kind, items in (("warning", warnings), ("error", errors)):
         for file, rule, n, some in items:
             print(f"{kind}: {file}: {rule} ({n}) {', '.join(some)}")

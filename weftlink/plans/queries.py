@@ -21,6 +21,7 @@ from weftlink.operators import fixtures
 from weftlink.operators import model as M
 from weftlink.operators import sample as S
 from weftlink.operators import validate as V
+from weftlink.sources.tsv import ids_of, parse_id_lists
 
 PLAIN = B.BlockingConfig(channels=B.NO_PHONETICS)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +91,7 @@ def singleton_flags(spark, d):
 @_query
 def id_lines(spark, d):
     lines = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("\t", F.concat(F.lit(" c"), "conv_id"), "role", F.col("turn").cast("string")).alias("value"))
-    return lines.where(F.trim("value") != "").select(F.trim(F.substring_index("value", "\t", 1)).alias("entity_id")).distinct()
+    return ids_of(lines)
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -285,8 +286,6 @@ def trained_matches(spark, d):
 
 
 def _truth(spark, d):
-    from weftlink.sources.tsv import parse_id_lists
-
     return parse_id_lists(fixtures.ground_truth(spark, d), "source1_entity_id", "matched_entity_ids")
 
 
@@ -307,6 +306,12 @@ def decide_matches(spark, d):
     return D.decide(_probabilities(spark, d), D.DecisionRule(match=0.55, singleton=0.6, cap=2))
 
 
+@_query
+def decide_by_default(spark, d):
+    """The default rule: 0.70 for a match, 0.60 for any, at most 8."""
+    return D.decide(_probabilities(spark, d))
+
+
 @_query
 def match_lists(spark, d):
     s1, _, _ = fixtures.sources(spark, d)
@@ -422,8 +427,6 @@ def sampled_truth(spark, d):
 
 @_query
 def sampled_targets(spark, d):
-    from weftlink.sources.tsv import parse_id_lists
-
     links = E.truth_pairs(parse_id_lists(sampled_truth(spark, d), "source1_entity_id", "matched_entity_ids"))
     return S.targets_with_distractors(fixtures.targets(spark, d), links, 200)
 

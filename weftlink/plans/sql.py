@@ -11,7 +11,7 @@ _BASE = """base as (select c_custkey k, split_part(p_name, ' ', 1) w1, split_par
   case c_nationkey % 3 when 0 then 'US' when 1 then 'India' else 'France' end country, cast((c_custkey * 31) % 9973 as varchar) tag
   from customer join part on p_partkey = c_custkey join nation on n_nationkey = c_nationkey),
 s1 as (select 'S1-' || k entity_id, w1 || ' ' || w2 || ' ' || seg || ' ' || tag || case when k % 6 = 0 then ' L.L.C.' else ' Pvt Ltd' end business_name,
-  num || ' ' || seg || ' Road, ' || nat || ' ' || pc business_address, country from base),
+  case when k % 12 = 0 then 'Plot ' || num || '-' || (k % 50) || '/2, ' else num || ' ' end || seg || ' Road, ' || nat || ' ' || pc business_address, country from base),
 s2 as (select 'S2-' || k entity_id, case when k % 10 = 1 then replace(w2, 'e', 'é') else w2 end || ' ' || w1 || ' ' || seg || ' ' || tag || ' Limited' business_name,
   case when k % 5 = 0 then '' else num || ' ' || seg || ' Rd ' || nat end business_address, country from base where k % 4 <> 0),
 s3 as (select 'S3-' || k entity_id, case when k % 9 = 0 then 'www.' else '' end || w1 || case when k % 2 = 0 then ' ' else '' end || replace(w2, 'a', 'aa') || ' ' || seg || ' ' || tag business_name,
@@ -119,6 +119,17 @@ faulty as (select line, s1, case when trim(list) = '' then [] else string_split(
   union all select line + 1000000000, s1, ['S2-1'] from once where line % 47 = 1),
 listed as (select distinct unnest(ids) item from faulty)"""
 
+
+
+def _soundex(t: str) -> str:
+    """Letters as digits (vowels and digits 0), h and w gone behind the first, runs collapsed, zeros gone; the first letter keeps its own name."""
+    code = f"translate({t}, 'abcdefghijklmnopqrstuvwxyz123456789', '01230127022455012623017202000000000')"
+    x = f"{code}[1] || replace({code}[2:], '7', '')"
+    for digit in "123456":
+        x = f"regexp_replace({x}, '{digit}+', '{digit}', 'g')"
+    return f"case when regexp_matches({t}, '^[a-z]') then upper({t}[1]) || rpad(replace(({x})[2:], '0', ''), 3, '0')[1:3] else {t} end"
+
+
 _ALL = tuple(c for c in B.CHANNELS if c in _KEYS)
 
 
@@ -165,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
         "compressed_name": rec + "select entity_id, replace(name, ' ', '') fused from rec",
         "name_tokens": rec + "select entity_id, array_to_string(tokens, '|') tokens from rec",
         "prefix_shingles": rec + f"select entity_id, array_to_string({_SHINGLES}, '|') shingles from rec",
+        "soundex_keys": rec + f"select entity_id, array_to_string(list_transform(list_filter(tokens, lambda t: length(t) >= 3 and not regexp_full_match(t, '[0-9]+')), lambda t: 'sx:' || {_soundex('t')}), '|') as keys from rec",
         "address_anchors": rec + "select entity_id, array_to_string(numbers, '|') numbers, postal postal_code, array_to_string(addr_tokens, '|') words, is_empty from rec",
         "compound_numbers": rec + "select entity_id, array_to_string(compounds, '|') compounds from rec",
         "key_frequencies": _with(_RECORDS, _scoring(_ALL)) + "select * from freq",
@@ -175,7 +187,10 @@ def oracle_sql() -> dict[str, str]:
         "jaro_winkler_features": probs + """select s1_id, tgt_id, round(jaro_winkler_similarity(a_name, b_name), 6) name_jaro_winkler, round(case when no_address then 0.0 else jaro_winkler_similarity(a_address, b_address) end, 6) addr_jaro_winkler from features""",
         "labelled_pairs": ranked + 'select s1_id, tgt_id, "rank", cast((l.tgt_id is not null) as int) as label from ranked left join links l using (s1_id, tgt_id)',
         "sample_counts": ranked + "select count(*) n_pairs, cast(count(l.tgt_id) as bigint) n_positive, count(distinct s1_id) n_entities from ranked left join links l using (s1_id, tgt_id)",
+        "group_split": ranked + """, dealt as (select s1_id, cast('0x' || md5('42:' || s1_id)[1:8] as bigint) % 100 as place from ranked)
+select case when place < 60 then 'train' when place < 80 then 'valid' else 'test' end part, count(*) n, count(distinct s1_id) n_groups from dealt group by 1""",
         "threshold_matches": probs + "select * from probs where prob >= 0.70",
+        "decide_by_default": probs + f", {_MARKED} " + 'select s1_id, tgt_id, prob, cast(place as int) "rank" from marked where best >= 0.6 and prob >= 0.7 and place <= 8',
         "decide_matches": decided + "select * from decided",
         "match_lists": decided + """select s.entity_id source1_entity_id, coalesce(string_agg(tgt_id, ',' order by "rank"), '') matched_entity_ids from s1 s left join decided on s1_id = s.entity_id group by 1""",
         "entity_scores": decided + f", {_ENTITY} select s1_id, n_true, n_pred, tp, round(cast(f05 as double), 6) f05 from entity_f",

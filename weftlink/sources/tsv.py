@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -23,15 +23,28 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct trimmed first fields of non-blank lines behind the header."""
-    lines = read_lines(spark, path)
-    return lines.where((F.col("line") > 1) & (F.trim("value") != "")).select(F.trim(F.substring_index("value", "\t", 1)).alias("entity_id")).distinct()
+    return ids_of(read_lines(spark, path).where(F.col("line") > 1))
+
+
+def ids_of(lines: DataFrame) -> DataFrame:
+    return lines.where(F.trim("value") != "").select(F.trim(F.substring_index("value", "\t", 1)).alias("entity_id")).distinct()
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line from 1, value) of one file, in order; numbering needs no single task."""
-    text = spark.read.text(path)
-    numbered = text.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(numbered, "line long, value string")
+    """(line from 1, value) of a file, or of the files of a folder by name, each of which repeats the header.
+
+    A split's rows are numbered in its task; lines before it come from the row counts of the splits, so nothing but
+    one row for each split is ever sorted.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    text = spark.read.text(path).select("value", file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = text.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    order = Window.orderBy("file", "start")  # one row for each split
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", "first", before.alias("before"), F.first("file").over(order).alias("leading"))
+    line = F.col("at") - F.col("first") + F.col("before") + 1
+    head = (F.col("start") == 0) & (F.col("at") == F.col("first")) & (F.col("file") != F.col("leading"))
+    return text.join(splits, ["file", "start"]).where(~head).select(line.alias("line"), "value")
 
 
 def parse_id_lists(df: DataFrame, key: str, lists: str) -> DataFrame:
