@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from weftlink.llm.shards import _encoder, export_files, feistel, materialise, read_slots
 
@@ -68,8 +69,10 @@ def test_every_sequence_is_in_its_slot(spark):
     rows = [(None if i % 5 == 0 else i // 2, "word " * (i % 7)) for i in range(60)] + [(3, None)]
     df = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA).coalesce(1)
     encoder, end = _encoder(PATH)
+    # numbers follow id (none first), then row hash, then place in the text
+    keyed = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()
     want = []
-    for d, t in rows:
+    for d, t, _ in sorted(keyed, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         flat = [*encoder.encode_ordinary(t), end] if t else []
         want += [(d, s, flat[i : i + 4]) for s, i in enumerate(range(0, len(flat), 4))]
     slots = feistel(np.arange(len(want)), len(want), 11).tolist()
@@ -81,5 +84,15 @@ def test_every_sequence_is_in_its_slot(spark):
     assert got == dict(zip(slots, want, strict=True))
 
 
+def test_files_do_not_matter(spark):
+    rows = [(None if i % 9 == 0 else i % 40, f"text number {i} " * (i % 13)) for i in range(200)] + [(7, "same row")] * 60
+    results = []
+    for n in (1, 3, 7):
+        random.Random(n).shuffle(rows)
+        df = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA).repartition(n)
+        results.append([tuple(r) for r in materialise(df, PATH, key=3, length=8, shard_slots=32).orderBy("shard").collect()])
+    assert results[0] == results[1] == results[2] and len(results[0]) > 10
+
+
 def test_empty_table(spark):
     assert materialise(spark.createDataFrame([], SCHEMA), PATH, key=1).collect() == []

@@ -1,16 +1,18 @@
 """Training-order materialisation of token ids into fixed-stride shards.
 
-1. Texts become token ids, each text an end mark, cut into sequences of `length` ids; a written table keeps the
-   split and the position at which each sequence was made, so later reads agree whatever is lost.
-2. Counts of the splits give every sequence its number 0..N-1; a keyed Feistel network over the smallest even
+1. Rows are range partitioned and sorted by id and a hash of the row. Texts become token ids, each text an end mark,
+   cut into sequences of `length` ids; a written table keeps the range and the position at which each sequence was
+   made, so later reads agree whatever is lost.
+2. Counts of the ranges give every sequence its number 0..N-1; a keyed Feistel network over the smallest even
    power of two not under N, walked until it falls below N, permutes numbers into slots.
 3. Slots are dealt by range: one group holds the slots of one shard, and writes them at slot * stride.
 
 Shards are rows: (shard, first_slot, n_slots, stride, sha256, doc_ids, seqs, lengths, payload); payload is
 little-endian unsigned 16-bit ids, padded with the end mark. The permutation spreads any hot source evenly.
 Null and empty texts give no sequence. Every row is encoded, whether it repeats another, shares its id or has none (its
-doc_ids entry is null). Sequences are numbered in the order in which rows lie in the input's splits, so a result is that
-of its input files: the same files and key give the same shards. Other columns are ignored.
+doc_ids entry is null). Sequences are numbered by id (none first), then row hash, then place in the text, so the same
+rows and key give the same shards, however the rows lie in files. Equal rows may part between ranges: they are alike.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.scratch import Scratch
-from weftlink.llm.sessions import id_and_text, rows
+from weftlink.llm.scratch import Scratch, collect_garbage
+from weftlink.llm.sessions import id_and_text, row_key, rows
 from weftlink.llm.tokens import mix
 
 LENGTH = 512
@@ -95,8 +97,14 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, id_col: str = "doc_id
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     schema = "part int, pos long, doc long, seq int, ids binary"
-    seqs = scratch.save(id_and_text(docs, id_col, text_col).mapInArrow(_tokenise(tokenizer, length), schema), "sequences", compression="zstd")
-    counts = {r["part"]: r["count"] for r in seqs.groupBy("part").count().collect()}  # one row for each input split
+    plain = id_and_text(docs, id_col, text_col).where("_text <> ''").select("_id", "_text", row_key("_id", "_text").alias("_key"))
+    order = ["_id", "_key"]
+    # the third column lets a row with very many copies fill several ranges
+    ranged = plain.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order).select("_id", "_text")
+    seqs = scratch.save(ranged.mapInArrow(_tokenise(tokenizer, length), schema), "sequences", compression="zstd")
+    del ranged
+    collect_garbage(spark)  # the shuffled texts need not be kept any longer
+    counts = {r["part"]: r["count"] for r in seqs.groupBy("part").count().collect()}  # one row for each range
     offsets, n = np.zeros(max(counts, default=0) + 1, np.int64), 0
     for part in sorted(counts):
         offsets[part], n = n, n + counts[part]
