@@ -41,6 +41,16 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         Scratch.opened.append(self)
 
+    def save_freeing(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """save, after which Spark deletes the shuffle files of this write at once; df must not be used again."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            return self.save(df, name, **options)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.options(**options).parquet(path)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.scratch import Scratch, collect_garbage
+from weftlink.llm.scratch import Scratch
 from weftlink.llm.sessions import id_and_text, row_key, rows
 from weftlink.llm.tokens import mix
 
@@ -101,9 +101,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, id_col: str = "doc_id
     order = ["_id", "_key"]
     # the third column lets a row with very many copies fill several ranges
     ranged = plain.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order).select("_id", "_text")
-    seqs = scratch.save(ranged.mapInArrow(_tokenise(tokenizer, length), schema), "sequences", compression="zstd")
-    del ranged
-    collect_garbage(spark)  # the shuffled texts need not be kept any longer
+    seqs = scratch.save_freeing(ranged.mapInArrow(_tokenise(tokenizer, length), schema), "sequences", compression="zstd")
     counts = {r["part"]: r["count"] for r in seqs.groupBy("part").count().collect()}  # one row for each range
     offsets, n = np.zeros(max(counts, default=0) + 1, np.int64), 0
     for part in sorted(counts):
