@@ -79,6 +79,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), key=20240607)
 
 
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.period_runs import collapse_runs, run_digests, with_planted_period
+
+    return run_digests(collapse_runs(with_planted_period(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
