@@ -85,6 +85,12 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(collapse_runs(with_planted_period(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.source_mix import mix_sources
+
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
