@@ -79,6 +79,13 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), key=20240607)
 
 
+def op11_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.scratch import Scratch
+    from weftlink.llm.time_partitions import clicks_layout
+
+    return clicks_layout(spark.read.parquet(f"{sf_dir}/clicks.parquet"), Scratch(spark, "time_partitions").root)
+
+
 def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlink.llm.period_runs import collapse_runs, run_digests, with_planted_period
 
