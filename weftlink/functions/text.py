@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftlink.functions import scripts
+
 # Words that carry no identity in business names.
 LEGAL_SUFFIXES = [
     "pvt", "ltd", "limited", "private", "inc", "incorporated", "corp", "corporation",
@@ -22,6 +24,7 @@ GENERIC_ADDRESS_WORDS = [
     "null", "none",
 ]
 
+# Patterns that take parts of names and addresses away or find them.
 LEGAL_PATTERN = r"\b(" + "|".join(LEGAL_SUFFIXES) + r")\b"
 DOMAIN_PATTERN = r"\b(www\.|https?://|\.com|\.in|\.org|\.net|\.co|\.fr)\b"
 COMPOUND_PATTERN = r"\b[A-Za-z0-9]+[-/][A-Za-z0-9/-]+\b"
@@ -44,13 +47,34 @@ def latin_ascii(c: Column) -> Column:
     return F.lower(c)
 
 
-def any_ascii(c: Column) -> Column:
-    """Text of any script in lower-case ASCII. Latin text takes built-in functions alone; only values with other letters reach the transliterator."""
-    from weftlink.functions.kernels import transliterate_udf
+def romanised(c: Column) -> Column:
+    """Lower-case ASCII of any script, letter by letter, with built-in functions.
+
+    Letters give their sounds (`scripts.translation`), Hangul syllables those of their parts, marks nothing, and other signs
+    a space. An ideograph or a letter without a listed sound gives a word of its own, `u` and its code point, so names in
+    such scripts keep their keys, though these don't equal those of a romanised name.
+    """
+    known, letters = scripts.translation()
+
+    def hangul(x: Column) -> Column:
+        at = F.ascii(x) - ord(scripts.HANGUL_FIRST)
+        parts = [F.array(*(F.lit(p.strip("-")) for p in sounds)) for sounds in scripts.HANGUL]
+        place = [F.floor(at / 588), F.floor(at % 588 / 28), at % 28]
+        return F.concat(*(F.get(p, i.cast("int")) for p, i in zip(parts, place, strict=True)))
 
+    def one(x: Column) -> Column:
+        first = F.translate(x, known, letters[0])
+        sound = F.concat(first, *(F.translate(x, known, more) for more in letters[1:]))
+        other = F.when(x.rlike(r"[\p{M}\p{C}]"), "").when(x.rlike(r"[\p{P}\p{S}\p{Z}]"), " ").otherwise(F.concat(F.lit(" u"), F.ascii(x), F.lit(" ")))
+        return F.when(x < "\x80", F.lower(x)).when(x.between(scripts.HANGUL_FIRST, scripts.HANGUL_LAST), hangul(x)).when(first != x, sound).otherwise(other)
+
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
+def any_ascii(c: Column) -> Column:
+    """Text of any script in lower-case ASCII. ASCII is only lowered, Latin letters lose their marks, and other scripts are romanised; no row leaves the JVM."""
     latin = latin_ascii(c)
-    other = latin.rlike(r"[^\x00-\x7F]")
-    return F.when(other, F.lower(transliterate_udf(F.when(other, latin)))).otherwise(latin)
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).when(latin.rlike(r"^[\x00-\x7F]*$"), latin).otherwise(romanised(latin))
 
 
 def fold_acronyms(c: Column) -> Column:
