@@ -25,17 +25,20 @@ OP4 = rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_WORD}), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM benchmark WHERE text IS NOT NULL),
 items AS (
-  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  SELECT item_id, i AS j, k, array_to_string(w[i:i + k - 1], ' ') AS s
   FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 places AS (
   SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM items) WHERE len(w) >= k)),
-found AS (SELECT doc_id, i, k, item_id FROM places JOIN items USING (k, s)),
+found AS (SELECT doc_id, i, j, k, item_id FROM places JOIN items USING (k, s)),
+-- consecutive windows of one item, one after the other in document and item
+stretches AS (SELECT doc_id, min(i) AS first, count(*) + k - 1 AS n FROM (SELECT DISTINCT doc_id, item_id, i, j, k, i - row_number() OVER (PARTITION BY doc_id, item_id, k, i - j ORDER BY i) AS g, i - j AS way FROM found) GROUP BY doc_id, item_id, k, way, g),
+longest AS (SELECT doc_id, max(n) AS n, min(first) FILTER (n = most) AS first FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS most FROM stretches) GROUP BY doc_id),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(longest.n, 0) AS longest_match, longest.first - 1 AS longest_first_word
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id LEFT JOIN longest ON longest.doc_id = d.doc_id
 """
 
 OP6 = rf"""

@@ -4,8 +4,8 @@ Documents form shards of a few MB. A shard's suffix array holds the word positio
 benchmark text can begin: those followed by enough words of the benchmark's vocabulary (every other suffix
 can't match a whole window). Every suffix of every benchmark item is looked up by binary search, word by word,
 all at once: the interval of document suffixes that begin with its window, which gives the stretches of words
-that an item covers. The longest verbatim match is that of the document: every document suffix is followed
-through the test suffixes, so it doesn't depend on other documents of the shard.
+that an item covers. The longest verbatim match of a document, of those that hold a whole window, and its place are
+found by doubling from the windows, in a logarithm of its words, and don't depend on other documents of the shard.
 Nothing is shuffled; a document is scored where it is read. The benchmark is taken in blocks of bounded size,
 each broadcast, so a larger benchmark adds passes, not memory.
 
@@ -116,27 +116,63 @@ def match(tests: Tests, names: np.ndarray, run: np.ndarray, sa: np.ndarray) -> t
     return wlo, whi
 
 
-def longest_matches(tests: Tests, names: np.ndarray, run: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Of every document the words of its longest run that occurs in an item: all document suffixes are followed through the test suffixes, a word at a time."""
-    longest = np.zeros(docs, np.int64)
-    at, of_tests = np.flatnonzero(run > 0), np.arange(len(tests.words))
-    state, of_state, d = names[at], tests.words, 1
-    width = len(tests.vocab) + 1
-    longest[doc[at]] = 1
-    while True:
-        more, alive = run[at] > d, np.zeros(max(1, len(of_tests), width), bool)
-        at, state = at[more], state[more]
-        alive[state] = True
-        more = (tests.left[of_tests] > d) & alive[of_state]
-        of_tests, of_state = of_tests[more], of_state[more]
-        if not len(at) or not len(of_tests):
-            return longest
-        key, of_state = np.unique(of_state * width + tests.words[of_tests + d], return_inverse=True)
-        want = state * width + names[at + d]
-        state = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        got = key[state] == want
-        at, state, d = at[got], state[got], d + 1
-        longest[doc[at]] = d
+def _at(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted place among sorted places, -1 where it is none."""
+    k = np.minimum(np.searchsorted(places, wanted), max(len(places) - 1, 0))
+    return np.where(places[k] == wanted, k, -1) if len(places) else np.full(len(wanted), -1)
+
+
+def _longer(names: tuple, tests: Tests, run: np.ndarray, size: int, length: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of factors of `length` words from those of `size` words, size <= length <= 2 * size: document places and names, test places and names.
+
+    Two such factors are equal where those of `size` words at their begins and ends are. Only names that both sides have stay.
+    """
+    dp, dn, tp, tn = names
+    width = int(max(dn.max(initial=0), tn.max(initial=0))) + 1
+
+    def key(p, n, room):
+        end = _at(p, p + length - size)
+        ok = (end >= 0) & (room >= length)
+        return p[ok], n[ok] * width + n[end[ok]]
+
+    tp, tk = key(tp, tn, tests.left[tp])
+    dp, dk = key(dp, dn, np.where(own[dp], run[dp], 0) if own is not None else run[dp])
+    known = np.intersect1d(tk, dk)
+    t, d = _at(known, tk), _at(known, dk)
+    return dp[d >= 0], d[d >= 0], tp[t >= 0], t[t >= 0]
+
+
+def longest_matches(tests: Tests, run: np.ndarray, doc: np.ndarray, docs: int, window: int, names: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first word) of every document's longest run that occurs in an item, of those with `window` words at least; names: places and names of its windows, and those of the tests.
+
+    Names double in length while a document has a factor that an item has; then its length is found by halves, as a
+    factor between two lengths is named by the two that cover it. So a match takes the logarithm of its words in passes.
+    """
+    longest, first = np.zeros(docs, np.int64), np.full(docs, -1)
+    size, now = window, names
+
+    def note(dp: np.ndarray, length: np.ndarray | int) -> None:
+        d, k = np.unique(doc[dp], return_index=True)  # places rise
+        longest[d], first[d] = length, dp[k]
+
+    while len(now[0]):
+        note(now[0], size)
+        longer = _longer(now, tests, run, size, 2 * size)
+        # documents whose factors end here, by halves between size and 2 * size
+        todo = np.setdiff1d(doc[now[0]], doc[longer[0]])
+        low, high = np.full(docs, size), np.full(docs, 2 * size)
+        while len(todo := todo[high[todo] - low[todo] > 1]):
+            middle = (low[todo] + high[todo]) // 2
+            for m in np.unique(middle).tolist():
+                asked = todo[middle == m]
+                of = np.zeros(docs, bool)
+                of[asked] = True
+                dp = _longer(now, tests, run, size, m, of[doc])[0]
+                note(dp, m)
+                some = np.isin(asked, doc[dp])
+                low[asked[some]], high[asked[~some]] = m, m
+        now, size = longer, 2 * size
+    return longest, first
 
 
 def _merged(item: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,39 +187,60 @@ def _merged(item: np.ndarray, at: np.ndarray, end: np.ndarray, doc: np.ndarray)
     return item[first], at[first], reach[np.append(first[1:], len(at)) - 1] if len(at) else end
 
 
-def scan_shard(tests: Tests, w: tokens.Words) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """(hit flag of every word, item, first word and end of the hit stretches in order of documents, longest match of every document)."""
-    docs, hit, longest = len(w.bounds) - 1, np.zeros(len(w.hashes), bool), np.zeros(len(w.bounds) - 1, np.int64)
+@dataclass
+class Found:
+    """What a shard has of the tests."""
+
+    hit: np.ndarray  # flag of every word
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray]  # item, first word and end of the hit stretches in order of documents
+    longest: np.ndarray  # words of every document's longest verbatim match with a whole window, 0 without
+    first: np.ndarray  # its first word in the shard
+
+
+def scan_shard(tests: Tests, w: tokens.Words, lengths: bool = True) -> Found:
+    """lengths: whether the longest matches are asked for."""
+    docs, hit = len(w.bounds) - 1, np.zeros(len(w.hashes), bool)
     none = np.zeros(0, np.int64)
+    nothing = Found(hit, (none, none, none), np.zeros(docs, np.int64), np.full(docs, -1))
     if not len(tests.begins) or not len(w.hashes):
-        return hit, (none, none, none), longest
+        return nothing
     place = np.minimum(np.searchsorted(tests.vocab, w.hashes), len(tests.vocab) - 1)
     names = np.where(tests.vocab[place] == w.hashes, place + 1, 0)
     stop = np.append(np.flatnonzero(names == 0), len(names))
     place = np.arange(len(names))
-    run = np.minimum(stop[np.searchsorted(stop, place)], w.bounds[1:][w.docs]) - place
     doc_of = w.docs
-    longest = longest_matches(tests, names, run, doc_of, docs)
+    run = np.minimum(stop[np.searchsorted(stop, place)], w.bounds[1:][doc_of]) - place
     at = np.flatnonzero(run >= tests.least)
     if not len(at):
-        return hit, (none, none, none), longest
-    sa = suffix_array(names, run, at, int(tests.lengths.max()))
+        return nothing
+    window = int(tests.lengths.max())
+    sa = suffix_array(names, run, at, window)
     lo, hi = match(tests, names, run, sa)
-    begins = tests.begins[hi[tests.begins] > lo[tests.begins]]
-    size = np.minimum(tests.left[begins], tests.lengths[np.searchsorted(tests.begins, begins)])
+    found = hi[tests.begins] > lo[tests.begins]
+    begins, size = tests.begins[found], tests.lengths[found]
     # a window that an item has more than once counts once
     same = np.unique(np.stack([lo[begins], hi[begins], size, tests.ids[tests.item[begins]]], 1), axis=0)
+    much = same[:, 1] - same[:, 0]
+    p = sa[np.repeat(same[:, 0] - np.cumsum(much) + much, much) + np.arange(int(much.sum()))]
+    length, item = np.repeat(same[:, 2], much), np.repeat(same[:, 3], much)
     mark = np.zeros(len(names) + 1, np.int64)
-    items, first = [none], [none]
-    ends = [none]
-    for a, b, length, item in same.tolist():  # distinct windows of items that occur
-        p = sa[a:b]
-        np.add.at(mark, p, 1)
-        np.add.at(mark, p + length, -1)
-        items.append(np.full(len(p), item))
-        first.append(p)
-        ends.append(p + length)
-    return np.cumsum(mark[:-1]) > 0, _merged(np.concatenate(items), np.concatenate(first), np.concatenate(ends), doc_of), longest
+    np.add.at(mark, p, 1)
+    np.add.at(mark, p + length, -1)
+    longest, first = nothing.longest, nothing.first
+    if lengths:
+        # windows of shorter items are their longest matches; longer matches begin with a whole window
+        order = np.lexsort((p, -length, doc_of[p]))
+        of, k = np.unique(doc_of[p[order]], return_index=True)
+        longest[of], first[of] = length[order][k], p[order][k]
+        whole = np.unique(np.stack([same[:, 0], same[:, 1]], 1)[same[:, 2] == window], axis=0)
+        much = whole[:, 1] - whole[:, 0]
+        dp = sa[np.repeat(whole[:, 0] - np.cumsum(much) + much, much) + np.arange(int(much.sum()))]
+        dn, order = np.repeat(np.arange(len(whole)), much), np.argsort(dp)
+        tp = begins[size == window]
+        tn = np.searchsorted(whole[:, 0], lo[tp])
+        long_, start = longest_matches(tests, run, doc_of, docs, window, (dp[order], dn[order], tp, tn))
+        longest, first = np.where(long_ > longest, long_, longest), np.where(long_ > longest, start, first)
+    return Found(np.cumsum(mark[:-1]) > 0, _merged(item, p, p + length, doc_of), longest, first)
 
 
 def _items(w: tokens.Words, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[int]]:
@@ -192,8 +249,8 @@ def _items(w: tokens.Words, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return [sorted(set(spans[0][a:b].tolist()) - {NAMELESS}) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_STATE = [("doc", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("longest", pa.int64())]
-_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64())]
+_STATE = [("doc", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("longest", pa.int64()), ("first", pa.int64())]
+_OUT = [("doc", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("longest_first_word", pa.int64())]
 
 
 def _block(tests, first: bool, last: bool):
@@ -202,25 +259,27 @@ def _block(tests, first: bool, last: bool):
         for batch in batches:
             for a, b, data, off in tokens.slices(batch.column(1)):
                 w = tokens.scan(data, off, tokens.PUNCT, lower=True)
-                hit, spans, longest = scan_shard(t, w)
-                n = np.diff(w.bounds)
-                items = _items(w, spans)
+                found = scan_shard(t, w)
+                hit, n, items = found.hit, np.diff(w.bounds), _items(w, found.spans)
+                longest, start = found.longest, np.where(found.longest > 0, found.first - w.bounds[:-1], -1)
                 if not first:
                     for k in range(b - a):
                         old = batch.column(3)[a + k].as_py()
                         if old:
                             hit[w.bounds[k] : w.bounds[k + 1]] |= np.unpackbits(np.frombuffer(old, np.uint8), count=int(n[k])).astype(bool)
                         items[k] = sorted(set(items[k]) | set(batch.column(4)[a + k].as_py()))
-                    longest = np.maximum(longest, batch.column(5).to_numpy(zero_copy_only=False)[a:b])
+                    was, place = (batch.column(k).to_numpy(zero_copy_only=False)[a:b] for k in (5, 6))
+                    start = np.where((was > longest) | (was == longest) & (place < start), place, start)
+                    longest = np.maximum(longest, was)
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[w.bounds[1:]] - total[w.bounds[:-1]]
                 ids = batch.column(0).slice(a, b - a)
                 if last:
                     sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-                    yield rows(_OUT, [ids, n, n_hit, [len(x) for x in items], sha, n_hit > 0, longest])
+                    yield rows(_OUT, [ids, n, n_hit, [len(x) for x in items], sha, n_hit > 0, longest, pa.array(start, mask=longest == 0)])
                 else:
                     bits = [np.packbits(hit[w.bounds[k] : w.bounds[k + 1]]).tobytes() if n_hit[k] else b"" for k in range(b - a)]
-                    yield rows(_STATE, [ids, batch.column(1).slice(a, b - a), n, bits, items, longest])
+                    yield rows(_STATE, [ids, batch.column(1).slice(a, b - a), n, bits, items, longest, start])
 
     return run
 
@@ -236,7 +295,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words)."""
+    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words, 0 where no window occurs), longest_first_word (the first of those that begin such a match, from 0; null without)."""
     spark = docs.sparkSession
     items, blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
     state = id_and_text(docs, id_col, text_col)
@@ -244,7 +303,7 @@ def decontaminate(
         got = items.where(F.col("_block") == k).collect()
         tests = spark.sparkContext.broadcast(make_tests([r["_id"] for r in got], [r["_text"] for r in got], window))
         last = k == blocks - 1
-        schema = "doc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long" if last else "doc long, text string, n_words long, hits binary, items array<long>, longest long"
+        schema = "doc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_first_word long" if last else "doc long, text string, n_words long, hits binary, items array<long>, longest long, first long"
         state = state.mapInArrow(_block(tests, k == 0, last), schema)
     return state.withColumnRenamed("doc", id_col)
 
@@ -263,7 +322,7 @@ def contaminated_spans(
             for batch in batches:
                 for a, b, data, off in tokens.slices(batch.column(1)):
                     w = tokens.scan(data, off, tokens.PUNCT, lower=True)
-                    item, first, end = scan_shard(tests.value, w)[1]
+                    item, first, end = scan_shard(tests.value, w, lengths=False).spans
                     doc = w.docs[first]
                     yield rows([(c, pa.int64()) for c in ("doc", "item_id", "first_word", "n_words")], [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(item, mask=item == NAMELESS), first - w.bounds[doc], end - first])
 
@@ -285,7 +344,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                 keep = []
                 for _, _, data, off in tokens.slices(batch.column(place)):
                     w = tokens.scan(data, off, tokens.PUNCT, lower=True)
-                    hit = np.concatenate([[0], np.cumsum(scan_shard(tests.value, w)[0])])
+                    hit = np.concatenate([[0], np.cumsum(scan_shard(tests.value, w, lengths=False).hit)])
                     keep.append(hit[w.bounds[1:]] == hit[w.bounds[:-1]])
                 yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
