@@ -29,8 +29,8 @@ def brute(rows, k=5, modulus=50):
     out = {}
     for q, v in good.items():
         if q % modulus == 0:
-            own = [(-float((v * w).sum() / np.sqrt((v * v).sum()) / np.sqrt((w * w).sum())), i) for i, w in good.items() if i != q and len(w) == len(v)]
-            out[q] = [(i, -s) for s, i in sorted((round(s, 12), i) for s, i in own)[:k]]
+            own = [(-float(np.cumsum(v * w)[-1] / np.sqrt(np.cumsum(w * w)[-1] * np.cumsum(v * v)[-1])), i) for i, w in good.items() if i != q and len(w) == len(v)]
+            out[q] = [(i, -s) for s, i in sorted(own)[:k]]
     return out
 
 
@@ -66,6 +66,22 @@ def test_many_ties(spark):
     assert [r["vec_id"] for r in nearest(df).orderBy("rank").collect()] == [30, 31, 32, 33, 34]
 
 
+def test_order_by_scores_that_hardly_differ(spark):
+    rows = [(0, [1.0, 0.0])] + [(k, [1.0, (8 - k) * 1e-7 * 1.5]) for k in range(1, 8)]  # the larger the id, the nearer
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = [(r["vec_id"], r["score"]) for r in nearest(df).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [7, 6, 5, 4, 3]
+    assert all(a > b for (_, a), (_, b) in zip(got, got[1:]))
+
+
+def test_vectors_of_one_direction_have_their_own_scores(spark):
+    base = np.array([0.1, 0.7, -0.3, 2.3])
+    rows = [(0, base.tolist())] + [(k, (base * f).tolist()) for k, f in enumerate((3.0, 7.0, 0.3, 11.0, 1.0, 5.0, 1.1), 1)]
+    got = [(r["vec_id"], r["score"]) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    own = {i: projected_knn._cosines(np.array([v]), base)[0] for i, v in rows}
+    assert len(got) == 5 and all(s == own[i] for i, s in got) and got == sorted(got, key=lambda x: (-x[1], x[0]))
+
+
 def test_chi_square():
     draws = (np.random.default_rng(1).standard_normal((200_000, projected_knn.M)) ** 2).sum(1)
     for x in (2.0, 8.0, 15.0):

@@ -14,9 +14,10 @@ every vector is put in its cell, and each cell builds its own tree. Queries visi
 just the cells whose box fails the same stopping test.
 
 Null vectors or ids, vectors with null or non-finite components and zero vectors take no part. Vectors are only
-compared with vectors of the same length. Results: (query_id, rank, vec_id, score); ties go to the smaller id. Scores
-that agree in TIE_DIGITS digits are ties, as they differ by rounding only. An id with several vectors is several
-candidates and, if it is asked for, has a result list for each; equal rows are one. Other columns are ignored.
+compared with vectors of the same length. Results: (query_id, rank, vec_id, score), ordered by the score as computed in
+double precision, of the id's own vector; equal scores go by the smaller id. Of vectors of one direction, whose cosines
+differ by rounding at most, the k + 1 smallest ids are candidates. An id with several vectors is several candidates and,
+if it is asked for, has a result list for each; equal rows are one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ CONFIDENCE = 0.98
 LEAF = 64
 CELL = 16_384
 SAMPLE = 20_000
-TIE_DIGITS = 12
+SPARE = 8
+BUCKET_ROWS = 20_000
 
 
 def chi2_cdf(x: np.ndarray, m: int = M) -> np.ndarray:
@@ -115,7 +117,7 @@ def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.nd
                 cos[rows, s * LEAF : s * LEAF + b - a] = queries[live[rows]] @ points[own].T
         cand, cos = np.concatenate([best[live], cand], 1), np.concatenate([sim[live], cos], 1)
         # ties go to the earlier point
-        key = np.where(cand >= 0, -np.rint(np.maximum(cos, -2) * 10.0**TIE_DIGITS), np.inf)
+        key = np.where(cand >= 0, -cos, np.inf)
         top = _smallest(key, cand, k)
         best[live], sim[live] = np.take_along_axis(cand, top, 1), np.take_along_axis(cos, top, 1)
         at += take.shape[1]
@@ -130,32 +132,29 @@ def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.nd
     return best, sim
 
 
-_VEC = "dim int, vec binary, ids array<long>"
-_DIRECTION = "dim int, way binary, vec binary, ids array<long>"
+_VEC = "dim int, vec binary, ids array<long>, more array<binary>"
+_DIRECTION = "dim int, way binary, vec binary, ids array<long>, more array<binary>"
 
 
 def _merge(keep: int):
     def run(table: pa.Table) -> pa.Table:
-        held: dict[tuple, tuple] = {}
-        for d, w, v, ids in zip(*(table.column(c).to_pylist() for c in ("dim", "way", "vec", "ids")), strict=True):
-            _put(held, (d, w), v, ids, keep)
+        held: dict[tuple, list] = {}
+        for d, w, v, ids, more in zip(*(table.column(c).to_pylist() for c in ("dim", "way", "vec", "ids", "more")), strict=True):
+            _put(held, (d, w), zip(ids, [v, *more], strict=True), keep)
         return _table(held)
 
     return run
 
 
-def _put(held: dict, key: tuple, vec: bytes, ids: list[int], keep: int) -> None:
-    """A direction keeps its smallest ids and the vector of the smallest of all."""
-    if key not in held:
-        held[key] = (vec, sorted(set(ids))[:keep])
-        return
-    old, have = held[key]
-    held[key] = (min((have[0], old), (min(ids), vec))[1], sorted({*have, *ids})[:keep])
+def _put(held: dict, key: tuple, vectors, keep: int) -> None:
+    """A direction keeps its smallest ids, each with its own vector."""
+    held[key] = sorted({*held.get(key, ()), *vectors})[:keep]
 
 
 def _table(held: dict) -> pa.Table:
-    cols = [[d for d, _ in held], [w for _, w in held], [v for v, _ in held.values()], [i for _, i in held.values()]]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["dim", "way", "vec", "ids"])
+    cols = [[d for d, _ in held], [w for _, w in held], [x[0][1] for x in held.values()], [[i for i, _ in x] for x in held.values()], [[v for _, v in x[1:]] for x in held.values()]]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["dim", "way", "vec", "ids", "more"])
 
 
 def _valid(batch: pa.RecordBatch):
@@ -179,7 +178,7 @@ def _directions_of(keep: int):
         for batch in batches:
             for i, v in _valid(batch):
                 way = (v / np.abs(v).max() + 0.0).tobytes()
-                _put(held, (len(v), way), v.tobytes(), [i], keep)
+                _put(held, (len(v), way), [(i, v.tobytes())], keep)
             if len(held) >= 50_000:
                 yield from _table(held).to_batches()
                 held = {}
@@ -198,6 +197,12 @@ def _matrix(col) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), np.float64) for v in col])
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of x with y; sums go term by term in order, as SQL has them."""
+    norms = np.cumsum(x * x, 1)[:, -1] * np.cumsum(y * y)[-1]
+    return np.clip(np.cumsum(x * y, 1)[:, -1] / np.sqrt(norms), -1.0, 1.0)
+
+
 class Cells:
     """The upper kd-tree of each vector length: splits from a sample."""
 
@@ -237,9 +242,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     spark = vectors.sparkSession
     scratch, keep = Scratch(spark, "projected-knn"), k + 1
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = plain.mapInArrow(_directions_of(keep), _DIRECTION).withColumn("bucket", F.pmod(F.xxhash64("way"), F.lit(parts * 4)))
-    points = scratch.save(dealt.groupBy("bucket").applyInArrow(_merge(keep), _DIRECTION), "points").select("dim", "vec", "ids")
+    # copies are merged in each task first, so a bucket grows with the directions in it, of which it gets BUCKET_ROWS or so
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), plain.count() // BUCKET_ROWS)
+    dealt = plain.mapInArrow(_directions_of(keep), _DIRECTION).withColumn("bucket", F.pmod(F.xxhash64("way"), F.lit(buckets)))
+    points = scratch.save(dealt.groupBy("bucket").applyInArrow(_merge(keep), _DIRECTION), "points").select("dim", "vec", "ids", "more")
     counts = {r["dim"]: r["count"] for r in points.groupBy("dim").count().collect()}
     sample = points.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect() if any(n > cell for n in counts.values()) else []
     cells = spark.sparkContext.broadcast(Cells(sample, counts, cell))
@@ -251,13 +257,13 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 rows = np.flatnonzero(dims == dim)
                 part = batch.take(pa.array(rows))
                 p = unit(_matrix(part.column(1))) @ directions(dim)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.value.cell(dim, p)), pa.array(list(p), pa.list_(pa.float64()))], ["dim", "vec", "ids", "cell", "p"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.value.cell(dim, p)), pa.array(list(p), pa.list_(pa.float64()))], ["dim", "vec", "ids", "more", "cell", "p"])
 
     placed = points.mapInArrow(place, _VEC + ", cell long, p array<double>")
     boxed = placed.groupBy("dim", "cell").agg(*[F.min(F.col("p")[j]).alias(f"l{j}") for j in range(M)], *[F.max(F.col("p")[j]).alias(f"h{j}") for j in range(M)]).collect()
     boxes = spark.sparkContext.broadcast([(r["dim"], r["cell"], [r[f"l{j}"] for j in range(M)], [r[f"h{j}"] for j in range(M)]) for r in boxed])
     queries = plain.where(F.col("id") % query_modulus == 0).mapInArrow(_asked, "dim int, vec binary, q long").distinct()
-    vecs = queries.select("dim", "vec").distinct().withColumn("ids", F.array().cast("array<long>"))
+    vecs = queries.select("dim", "vec").distinct().withColumns({"ids": F.array().cast("array<long>"), "more": F.array().cast("array<binary>")})
     home = vecs.mapInArrow(place, _VEC + ", cell long, p array<double>").withColumn("bound", F.lit(None).cast("double"))
 
     found_schema = "dim int, vec binary, near array<struct<score: double, id: long>>, bound double"
@@ -273,24 +279,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             proj = directions(x.shape[1])
             p = a @ proj
             given = right.column("bound").combine_chunks().fill_null(math.inf).to_numpy(zero_copy_only=False)
-            best, sim = search(Tree(p), a, b, b @ proj, keep, given, confidence)
-            # sums term by term in order, as SQL has them
-            norm_x, norm_y, ids = np.cumsum(x * x, 1)[:, -1], np.cumsum(y * y, 1)[:, -1], left.column("ids").to_pylist()
+            # some more than asked for: the products above may differ from the scores in the last place
+            best, sim = search(Tree(p), a, b, b @ proj, keep + SPARE, given, confidence)
+            ids, more = left.column("ids").to_pylist(), left.column("more").to_pylist()
             near, bound = [], []
             for i in range(len(y)):
-                own = []
-                for j in best[i][best[i] >= 0]:
-                    score = max(-1.0, min(1.0, float(np.cumsum(x[j] * y[i])[-1] / np.sqrt(norm_x[j] * norm_y[i]))))
-                    own += [(-round(score, TIE_DIGITS), v, score) for v in ids[j]]
-                own = sorted(own)[:keep]
-                near.append([{"score": s, "id": v} for _, v, s in own])
-                bound.append(2 - 2 * own[-1][2] if len(own) == keep else math.inf)
+                found = best[i][best[i] >= 0].tolist()
+                own = [x[found], *(np.frombuffer(v, np.float64)[None] for j in found for v in more[j])]
+                own = sorted(zip((-_cosines(np.concatenate(own), y[i])).tolist(), [ids[j][0] for j in found] + [v for j in found for v in ids[j][1:]], strict=True))[:keep]
+                near.append([{"score": -s, "id": v} for s, v in own])
+                bound.append(2 + 2 * own[-1][0] if len(own) == keep else math.inf)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
         return pa.table({"dim": right.column("dim"), "vec": right.column("vec"), "near": pa.array(near, kind), "bound": pa.array(bound, pa.float64())})
 
     def visit(asking: DataFrame) -> DataFrame:
         asking = asking.select("dim", "vec", "cell", "bound")
-        return placed.select("dim", "vec", "ids", "cell").groupBy("dim", "cell").cogroup(asking.groupBy("dim", "cell")).applyInArrow(probe, found_schema)
+        return placed.select("dim", "vec", "ids", "more", "cell").groupBy("dim", "cell").cogroup(asking.groupBy("dim", "cell")).applyInArrow(probe, found_schema)
 
     first = scratch.save(visit(home), "first")
 
@@ -315,7 +319,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = first
     if len(boxed) > 1:
         found = first.unionByName(visit(first.mapInArrow(others, "dim int, vec binary, cell long, bound double")))
-    best = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-F.round(x["score"], TIE_DIGITS)).alias("s"), x["id"].alias("id"), x["score"].alias("score")))), 1, keep)
+    best = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-x["score"]).alias("s"), x["id"].alias("id"), x["score"].alias("score")))), 1, keep)
     merged = found.groupBy("dim", "vec").agg(best.alias("near"))  # at most k + 1 entries from each visited cell
     each = queries.join(merged, ["dim", "vec"]).select("q", "vec", F.slice(F.filter("near", lambda x: x["id"] != F.col("q")), 1, k).alias("near"))
     return each.select(F.col("q").alias("query_id"), F.posexplode("near").alias("place", "x")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
