@@ -1,13 +1,13 @@
 """Language identification with a string kernel.
 
 Kernel: blended-spectrum presence kernel, k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), where G is the set of
-1- to 4-grams of lower-cased characters that belong to a gram vocabulary taken from the landmarks. Grams are
-named by a 22-bit hash; grams that share a hash count as one.
+1- to 4-grams of lower-cased characters that occur in a landmark: all of them, as no other has a part in a product
+with a landmark. Grams are told apart by 64-bit hashes.
 Model: Nyström features from `LANDMARKS` training documents and one-versus-rest kernel ridge regression.
-Scoring: presence rows of a batch of documents, times landmarks, times coefficients.
+Scoring: presence rows of a batch of documents, times landmarks and coefficients, which are one matrix.
 
-Learning reads at most PER_CLASS documents of each language (those with the smallest hashes, whole texts); the
-model has a fixed size. Texts without a letter and null texts are `und` with score 0; so is everything where
+Learning reads at most PER_CLASS documents of each language (those with the smallest hashes, whole texts), which
+bounds the model by the landmarks' texts. Texts without a letter and null texts are `und` with score 0; so is everything where
 nothing could be learned. A text without any known gram gets the best bias. Every text is read whole.
 A prediction depends on the row's own text alone, so equal texts get equal results whatever their id; of languages with
 equal scores the first in alphabetical order is taken. Rows that repeat an id are predicted each; null ids stay null and
@@ -25,29 +25,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.sessions import give_back, id_and_text, released, rows
+from weftlink.llm.tokens import mix
 
 PER_CLASS = 300
 LANDMARKS = 128
-VOCABULARY = 6144
 ORDERS = 4
-HASH_BITS = 22
+SLOT_BITS = 22
 BATCH_CHARS = 400_000
-BATCH_ROWS = 64
+BATCH_CELLS = 4_000_000
 RIDGE = 1e-2
 UNKNOWN = "und"
 
-_M = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
 _WORDLIKE = re.compile(r"[^\W\d_]")
 
 
+class Grams:
+    """Columns of grams. A slot, the low bits of a hash, leads to the first column there; other columns of a slot are looked up among all."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        slot = (self.hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        self.slots, self.shared = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, bool)
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.shared[slot[self.slots[slot] != np.arange(len(slot))]] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def columns(self, h: np.ndarray) -> np.ndarray:
+        """The column of each hash, len(self) where it has none."""
+        if not len(self):
+            return np.zeros(len(h), np.int64)
+        slot = (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        col = self.slots[slot].astype(np.int64)
+        col[(col < 0) | (self.hashes[col] != h)] = len(self)
+        more = np.flatnonzero((col == len(self)) & self.shared[slot])
+        at = np.minimum(np.searchsorted(self.hashes, h[more]), len(self) - 1)
+        col[more] = np.where(self.hashes[at] == h[more], at, len(self))
+        return col
+
+
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # gram hash -> column, the last column takes the rest
-    landmarks: np.ndarray  # presence rows, scaled to unit length
-    weights: np.ndarray  # landmarks x labels: Nyström map times ridge coefficients
+    grams: Grams
+    weights: np.ndarray  # grams x labels: landmarks times Nyström map times ridge coefficients
     bias: np.ndarray
 
+    @property
+    def batch_rows(self) -> int:
+        return batch_rows(self.grams)
+
+
+def batch_rows(grams: Grams) -> int:
+    return max(1, min(64, BATCH_CELLS // max(1, len(grams))))
+
 
 def has_letter(text: str | None) -> bool:
     return any(m[0].isalpha() for m in _WORDLIKE.finditer(text or ""))
@@ -60,21 +92,20 @@ def _gram_hashes(texts: list[str]):
     size = np.array([len(t) for t in low])
     doc = np.repeat(np.arange(len(texts)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))
-    total = np.zeros(len(chars), np.uint32)
+    total = np.zeros(len(chars), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(ORDERS):
-            total = total + np.concatenate([chars[j:], np.zeros(min(j, len(chars)), np.uint32)]) * np.uint32(_M[j] | 1)
-            h = (total ^ (total >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            h ^= h >> np.uint32(12)
-            yield (h * np.uint32(0x297A2D39)) >> np.uint32(32 - HASH_BITS), doc, left > j
+            total = mix(total ^ np.concatenate([chars[j:], np.zeros(min(j, len(chars)), np.uint32)]).astype(np.uint64), 60 + j)
+            yield total, doc, left > j
 
 
-def presence(texts: list[str], table: np.ndarray, columns: int) -> np.ndarray:
-    """0/1 rows over the vocabulary."""
+def presence(texts: list[str], grams: Grams) -> np.ndarray:
+    """0/1 rows over the grams."""
+    columns = len(grams)
     out = np.zeros((len(texts), columns + 1), np.float32)
     flat = out.ravel()
     for h, doc, inside in _gram_hashes(texts):
-        col = table[h].astype(np.int64)
+        col = grams.columns(h)
         col[~inside] = columns
         flat[doc * (columns + 1) + col] = 1
     return out[:, :columns]
@@ -89,30 +120,25 @@ def learn(texts: list[str], labels: list[str]) -> Model | None:
     for c in range(len(names)):
         turn[y == c] = np.arange((y == c).sum())
     marks = np.lexsort((y, turn))[:LANDMARKS]
-    count = np.zeros(1 << HASH_BITS, np.int32)
-    for m in marks:
-        seen = np.zeros(1 << HASH_BITS, bool)
-        for h, _, inside in _gram_hashes([texts[m]]):
-            seen[h[inside]] = True
-        count += seen
-    top = np.lexsort((np.arange(len(count)), -count))[:VOCABULARY]
-    top = top[count[top] > 0]
-    table = np.full(1 << HASH_BITS, len(top), np.int16)
-    table[top] = np.arange(len(top))
-    rows_ = np.concatenate([presence(texts[i : i + BATCH_ROWS], table, len(top)) for i in range(0, len(texts), BATCH_ROWS)])
-    unit = rows_ / np.maximum(1, np.sqrt(rows_.sum(1, keepdims=True)))
-    land = unit[marks]
+    grams = Grams(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h[inside]) for m in marks for h, _, inside in _gram_hashes([texts[m]]))]))
+
+    def unit(some: list[str]) -> np.ndarray:
+        rows_ = presence(some, grams)
+        return rows_ / np.maximum(1, np.sqrt(rows_.sum(1, keepdims=True)))
+
+    land, step = unit([texts[m] for m in marks]), batch_rows(grams)
+    products = np.concatenate([unit(texts[i : i + step]) @ land.T for i in range(0, len(texts), step)])
     values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
     half = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (unit @ land.T).astype(np.float64) @ half
+    phi = products.astype(np.float64) @ half
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(names))[y]  # languages count alike
     weight /= weight.mean()
     mean, aim = np.average(phi, axis=0, weights=weight), np.average(target, axis=0, weights=weight)
     x = (phi - mean) * np.sqrt(weight)[:, None]
     coef = np.linalg.solve(x.T @ x + RIDGE * len(y) * np.eye(x.shape[1]), x.T @ ((target - aim) * np.sqrt(weight)[:, None]))
-    return Model(names, table, land.astype(np.float32), (half @ coef).astype(np.float32), aim - mean @ coef)
+    return Model(names, grams, land.T @ (half @ coef).astype(np.float32), aim - mean @ coef)
 
 
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -121,12 +147,12 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     at = 0
     while at < len(known):
         to, size = at, 0
-        while to < len(known) and to - at < BATCH_ROWS and (size == 0 or size + len(texts[known[to]]) <= BATCH_CHARS):
+        while to < len(known) and to - at < model.batch_rows and (size == 0 or size + len(texts[known[to]]) <= BATCH_CHARS):
             size += len(texts[known[to]])
             to += 1
-        rows_ = presence([texts[i] for i in known[at:to]], model.table, model.landmarks.shape[1])
+        rows_ = presence([texts[i] for i in known[at:to]], model.grams)
         norm = np.maximum(1, np.sqrt(rows_.sum(1, keepdims=True)))
-        f = (rows_ @ model.landmarks.T / norm) @ model.weights + model.bias
+        f = rows_ @ model.weights / norm + model.bias
         best = f.argmax(1)
         for i, b, v in zip(known[at:to], best, f.max(1), strict=True):
             labels[i], score[i] = model.labels[b], min(1.0, max(0.0, (v + 1) / 2))
