@@ -89,6 +89,37 @@ def test_metrics(spark):
     assert E.roc_auc(scored).first()["auc"] == 0.875
 
 
+def plain_f05(true, pred):
+    tp = len(true & pred)
+    if not true and not pred:
+        return 1.0
+    return 1.25 * tp / (len(pred) + 0.25 * len(true)) if tp else 0.0
+
+
+def test_sweeps_against_brute_force(spark):
+    rng = random.Random(8)
+    truth, scored = {}, []
+    for e in range(120):
+        truth[f"e{e}"] = {f"t{k}" for k in rng.sample(range(12), rng.randint(0, 4))}
+        for rank in range(1, rng.choice([1, 2, 9, 13])):
+            scored.append((f"e{e}" if e % 10 else f"unknown{e}", f"t{rank - 1}", rank, rng.choice([0.4, 0.55, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, rng.random()])))
+    t = spark.createDataFrame([(e, sorted(ids)) for e, ids in truth.items()], "s1_id string, ids array<string>")
+    df = spark.createDataFrame(scored, "s1_id string, tgt_id string, rank int, prob double").repartition(5)
+    ordered: dict = {}
+    for s1, tgt, rank, prob in sorted(scored, key=lambda r: (-r[3], r[2])):
+        ordered.setdefault(s1, []).append((prob, tgt))
+
+    def macro(keep):
+        return round(sum(plain_f05(ids, keep(ordered.get(e, []))) for e, ids in truth.items()) / len(truth), 6)
+
+    got = {(r["match"], r["singleton"], r["cap"]): (r["macro_f05"], r["best"]) for r in E.grid_sweep(t, df).collect()}
+    want = {(m, s, c): macro(lambda own: {x for p, x in own[:c] if p >= m} if own and own[0][0] >= s else set()) for m in E.MATCH_GRID for s in E.SINGLETON_GRID for c in E.CAP_GRID}  # noqa: B023
+    assert {k: v for k, (v, _) in got.items()} == pytest.approx(want, abs=2e-6)
+    assert [k for k, (_, best) in got.items() if best] == [min(want, key=lambda k: (-got[k][0], k))]
+    got = {r["threshold"]: r["macro_f05"] for r in E.threshold_sweep(t, df).collect()}
+    assert got == pytest.approx({k / 100: macro(lambda own: {x for p, x in own if p >= k / 100}) for k in range(40, 100, 5)}, abs=2e-6)  # noqa: B023
+
+
 def test_training_and_model_files(spark, tmp_path):
     rng = random.Random(3)
     rows = []
