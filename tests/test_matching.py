@@ -72,6 +72,27 @@ def test_postal_features(spark):
     assert df.withColumns(X.plain_features()).where("postal_match <> m or postal_prefix_match <> p").count() == 0
 
 
+def test_numbers_rise_with_ids(spark):
+    rows = [(f"S2-{i % 700}", f"name {i}", "", "US") for i in range(1000)] + [(None, "x", "", "US")]
+    got = B.numbered(B.prepare(spark.createDataFrame(rows, ENTITY).repartition(7))).select("entity_id", "uid").collect()
+    assert len(got) == 1001 and len({r["uid"] for r in got}) == 701
+    by_id = sorted((r for r in got if r["entity_id"]), key=lambda r: r["entity_id"])
+    assert [r["uid"] for r in by_id] == sorted(r["uid"] for r in by_id)
+
+
+def test_a_key_with_half_of_all_probes_is_split(spark):
+    """One key in every second record: the result is the same, and no task fetches more of its probes than allowed."""
+    source = [(f"S1-{i}", f"{'common' if i % 2 else f'rare{i % 50}'} zz{i % 97}", "", "US") for i in range(4000)]
+    target = [(f"S2-{i}", f"{'common' if i % 10 == 0 else f'rare{i % 50}'} yy{i % 97}", "", "US") for i in range(300)]
+    source, target = (B.numbered(B.prepare(spark.createDataFrame(x, ENTITY))) for x in (source, target))
+    one, many = B.BlockingConfig(channels=("tok",)), B.BlockingConfig(channels=("tok",), probes_per_task=150)
+    want = {tuple(r) for r in B.score_pairs(source, target, one).collect()}
+    assert {tuple(r) for r in B.score_pairs(source, target, many).collect()} == want and len(want) > 2000 * 30
+    probes = B.salted_probes(B._hashed_keys(source, many.channels, False), many)[0]
+    sizes = probes.groupBy("k", "salt").count().toPandas()["count"]
+    assert sizes.max() < 2 * 150 and (sizes > 100).sum() >= 10
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([("a", "x", 1, 0.95), ("a", "y", 2, 0.72), ("a", "z", 3, 0.69)], "s1_id string, tgt_id string, rank int, prob double")
     names = lambda rule: [r["tgt_id"] for r in D.decide(df, rule).orderBy("rank").collect()]

@@ -1,8 +1,9 @@
 """Candidate generation: keys of twelve channels, frequency pruning, weighted scores, top-K with a name reserve.
 
-An inverted index is an exploded table of (country, channel, key, entity); probing it is one equi-join. Keys are
-pruned by their frequency among targets before the join, which bounds how many rows a probe can match; adaptive
-execution splits what remains skewed. Sums have map-side partials, and ranking uses grouped limits.
+An inverted index is an exploded table of (country, channel, key, entity); probing it is one equi-join. Inside, entities
+go by numbers in the order of their ids, and keys by 64-bit hashes of country, channel and key. Keys are pruned by their
+frequency among targets before the join, which bounds how many rows a probe can match; keys with very many probes are
+split by a salt. Ids come back behind the ranking, which uses grouped limits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import text as T
+from weftlink.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,8 @@ class BlockingConfig:
     max_shingle_freq: int = 1500
     max_phonetic_freq: int = 400
     max_address_freq: int = 2000
+    #: probes of one key that one task takes
+    probes_per_task: int = 100_000
     channels: tuple[str, ...] = ("tok", "wp", "sn", "cmp", "sh", "ph", "cpd", "npc", "nat", "pcn", "at2", "pn")
 
     def __post_init__(self):
@@ -29,7 +33,7 @@ class BlockingConfig:
             raise ValueError("top_k must be 6 or more: six places are kept for the best names")
 
 
-#: channel -> (is a name channel, weight before the frequency is taken into account)
+# Channel -> (is a name channel, weight before the frequency is taken into account)
 CHANNELS = {"tok": (True, 3.5), "wp": (True, 5.0), "sn": (True, 5.5), "cmp": (True, 5.0), "sh": (True, 1.0), "ph": (True, 1.5), "cpd": (False, 6.0), "npc": (False, 4.5), "nat": (False, 4.0), "pcn": (False, 3.5), "at2": (False, 3.0), "pn": (False, 5.0)}
 NO_PHONETICS = tuple(c for c in CHANNELS if c not in ("ph", "pn"))
 
@@ -127,47 +131,98 @@ def weight() -> Column:
     return out
 
 
-def score_pairs(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
-    """(s1_id, tgt_id, name_score, addr_score) of prepared records that share a key which is not too common.
-
-    The targets of a key that stays are at most its cutoff, so they travel as one list. Probes fetch lists by key, one
-    exchange brings all lists of a left entity together, and there they are unpacked, summed and later ranked.
-    """
-    index = keys(targets, config.channels, True)
-    common = key_frequencies(index).where(F.col("n") <= cutoff(config)).withColumn("w", weight())
-    on = ["country", "channel", "key"]
-    probes = keys(queries, config.channels, False).groupBy("country", "entity_id", "channel", "key").agg(F.count("*").alias("times")).withColumnRenamed("entity_id", "s1_id")
-    postings = index.join(common, on).groupBy(*on).agg(F.first("w").alias("w"), F.collect_list("entity_id").alias("found"))
+def numbered(prepared: DataFrame) -> DataFrame:
+    """Prepared records, written once, with `uid`: numbers that rise with entity_id; records of one id share one."""
+    if "uid" in prepared.columns:
+        return prepared
+    ranged = prepared.repartitionByRange("entity_id").sortWithinPartitions("entity_id").withColumn("_at", F.monotonically_increasing_id())
+    # ranges hold whole ids, so this needs no exchange
+    return written(ranged.withColumn("uid", F.min("_at").over(Window.partitionBy("entity_id"))).drop("_at"), "records")
+
+
+def _hashed_keys(records: DataFrame, channels, index: bool) -> DataFrame:
+    """(uid, k, channel, times) of every key of a record; only a query's address keys count more than once."""
+    parts = []
+    for c in channels:
+        found, name = channel_keys(c), F.lit(c)
+        hashed = lambda k: F.xxhash64("country", name, k)  # noqa: B023, E731  called at once
+        once = index or CHANNELS[c][0]
+        times = lambda k: F.lit(1) if once else F.size(F.filter(found, lambda x: x == k))  # noqa: B023, E731
+        parts.append(F.transform(F.array_distinct(found), lambda k: F.struct(hashed(k).alias("k"), name.alias("channel"), times(k).alias("times"))))  # noqa: B023
+    return records.where("country is not null").select("uid", F.explode(F.concat(*parts)).alias("x")).select("uid", "x.*")
+
+
+def _postings(targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    """(k, is_name, w, found): the targets of every key that is not too common, so lists are no longer than the cutoff."""
+    index = _hashed_keys(targets, config.channels, True).drop("times")
+    common = index.groupBy("k", "channel").agg(F.count("*").alias("n")).where(F.col("n") > cutoff(config)).select("k")
+    lists = index.join(common, "k", "left_anti").groupBy("k").agg(F.first("channel").alias("channel"), F.collect_list("uid").alias("found"))
     is_name = F.col("channel").isin([c for c, (name, _) in CHANNELS.items() if name])
-    fetched = probes.join(postings, on).select("s1_id", is_name.alias("is_name"), (F.col("w") * F.col("times")).alias("w"), "found")
-    hits = fetched.repartition("s1_id").select("s1_id", "is_name", "w", F.explode("found").alias("tgt_id"))
-    return hits.groupBy("s1_id", "tgt_id").agg(
+    return lists.withColumn("n", F.size("found")).select("k", is_name.alias("is_name"), weight().alias("w"), "found")
+
+
+def salted_probes(probes: DataFrame, config: BlockingConfig) -> tuple[DataFrame, DataFrame]:
+    """(probes with `salt`, keys with the number of parts): a key with many probes is split into parts, each about as large as one task takes."""
+    busy = probes.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > config.probes_per_task)
+    busy = busy.select("k", F.ceil(F.col("n") / config.probes_per_task).cast("int").alias("parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int")
+    return probes.join(busy, "k", "left").withColumn("salt", salt).drop("parts"), busy
+
+
+def _scores(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    """(s1, tgt, name_score, addr_score) by number. Probes fetch whole lists by key; one exchange brings all lists of a left entity together, and there they are unpacked, summed and later ranked."""
+    probes, postings = _hashed_keys(queries, config.channels, False).drop("channel"), _postings(targets, config)
+    salted, busy = salted_probes(probes, config)
+    # the list of a split key goes to each part
+    spread = postings.join(busy, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    fetched = salted.join(spread, ["k", "salt"]).select(F.col("uid").alias("s1"), "is_name", (F.col("w") * F.col("times")).alias("w"), "found")
+    hits = fetched.repartition("s1").select("s1", "is_name", "w", F.explode("found").alias("tgt"))
+    return hits.groupBy("s1", "tgt").agg(
         F.round(F.coalesce(F.sum(F.when(F.col("is_name"), F.col("w"))), F.lit(0.0)), 9).alias("name_score"),
         F.round(F.coalesce(F.sum(F.when(~F.col("is_name"), F.col("w"))), F.lit(0.0)), 9).alias("addr_score"),
     )
 
 
+def _with_ids(scored: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """s1_id and tgt_id instead of the numbers."""
+    names = lambda records, number, name: records.groupBy(F.col("uid").alias(number)).agg(F.first("entity_id").alias(name))
+    both = scored.join(names(queries, "s1", "s1_id"), "s1").join(names(targets, "tgt", "tgt_id"), "tgt")
+    return both.select("s1_id", "tgt_id", *[c for c in scored.columns if c not in ("s1", "tgt")])
+
+
+def score_pairs(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    """(s1_id, tgt_id, name_score, addr_score) of prepared records that share a key which is not too common."""
+    queries, targets = numbered(queries), numbered(targets)
+    return _with_ids(_scores(queries, targets, config), queries, targets)
+
+
 def dual_evidence(scored: DataFrame) -> DataFrame:
     n, a = F.col("name_score"), F.col("addr_score")
     final = F.when((n > 0) & (a > 0), (n + a) * 3 + n * a).when(n > 0, n * 1.5).otherwise(a)
     return scored.withColumn("score", F.round(final, 9))
 
 
-def top_candidates(scored: DataFrame, top_k: int) -> DataFrame:
+def top_candidates(scored: DataFrame, top_k: int, s1: str = "s1_id", tgt: str = "tgt_id") -> DataFrame:
     """(s1_id, tgt_id, rank, score): the best top_k - 6 by score, six places for the best names, then by score again."""
-    by_score = Window.partitionBy("s1_id").orderBy(F.desc("score"), F.asc("tgt_id"))
-    by_name = Window.partitionBy("s1_id").orderBy(F.desc(F.col("name_score") > 0), F.desc("name_score"), F.asc("tgt_id"))
-    # one exchange on s1_id serves all three windows; a row beyond top_k by score and beyond six by name can't be chosen
+    by_score = Window.partitionBy(s1).orderBy(F.desc("score"), F.asc(tgt))
+    by_name = Window.partitionBy(s1).orderBy(F.desc(F.col("name_score") > 0), F.desc("name_score"), F.asc(tgt))
+    # one exchange on the left entity serves all three windows; a row beyond top_k by score and beyond six by name can't be chosen
     ranked = scored.withColumns({"rf": F.row_number().over(by_score), "rn": F.row_number().over(by_name)}).where((F.col("rf") <= top_k) | (F.col("rn") <= 6))
     bucket = F.when(F.col("rf") <= top_k - 6, 0).when((F.col("name_score") > 0) & (F.col("rn") <= 6), 1).otherwise(2)
-    order = Window.partitionBy("s1_id").orderBy("bucket", F.when(F.col("bucket") == 1, F.col("rn")).otherwise(F.col("rf")))
-    return ranked.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "tgt_id", "rank", "score")
+    order = Window.partitionBy(s1).orderBy("bucket", F.when(F.col("bucket") == 1, F.col("rn")).otherwise(F.col("rf")))
+    return ranked.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(s1, tgt, "rank", "score")
+
+
+def ranked_candidates(queries: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
+    """(s1_id, tgt_id, rank, score) of prepared records, best of all with the numbers of `numbered`; written once, for every later step to read."""
+    queries, targets = numbered(queries), numbered(targets)
+    ranked = top_candidates(dual_evidence(_scores(queries, targets, config)), config.top_k, "s1", "tgt")
+    return written(_with_ids(ranked, queries, targets), "candidates")
 
 
 def candidates(source1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     phonetic = bool({"ph", "pn"} & set(config.channels))
-    scored = score_pairs(prepare(source1, phonetic), prepare(targets, phonetic), config)
-    return top_candidates(dual_evidence(scored), config.top_k)
+    return ranked_candidates(prepare(source1, phonetic), prepare(targets, phonetic), config)
 
 
 def with_empty(source1: DataFrame, ranked: DataFrame, name: str = "candidate_entity_ids", id_col: str = "tgt_id") -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.operators.blocking import BlockingConfig, dual_evidence, prepare, score_pairs, top_candidates, with_empty
+from weftlink.operators.blocking import BlockingConfig, numbered, prepare, ranked_candidates, with_empty
 from weftlink.operators.decide import DecisionRule, decide
 from weftlink.operators.evaluate import candidate_recall, grid_sweep, roc_auc, truth_pairs
 from weftlink.operators.features import pair_features, pair_records
 from weftlink.operators.model import importances, label_pairs, predict, split_groups, train_matcher
+from weftlink.sources.tables import written
 from weftlink.sources.tsv import load_model, save_model, write_tsv
 
 MATCHES, CANDIDATES = "matching_results.tsv", "candidate_pairs.tsv"
@@ -31,25 +32,23 @@ class Report:
 
 def _prepared(source1: DataFrame, targets: DataFrame, config: BlockingConfig) -> tuple[DataFrame, DataFrame]:
     phonetic = bool({"ph", "pn"} & set(config.channels))
-    return prepare(source1, phonetic).persist(), prepare(targets, phonetic).persist()
+    return numbered(prepare(source1, phonetic)), numbered(prepare(targets, phonetic))
 
 
 def train(source1: DataFrame, targets: DataFrame, truth: DataFrame, path: str, config: BlockingConfig = BlockingConfig(), trees: int = 400, split: tuple[int, int] = (60, 20)) -> Report:
     """Candidates of the left entities with truth (s1_id, ids), a model of one part of them saved at path, and the best cell of the rule's grid on the last part."""
     searched = source1.join(truth.select(F.col("s1_id").alias("entity_id")), "entity_id", "left_semi")
     queries, index = _prepared(searched, targets, config)
-    ranked = top_candidates(dual_evidence(score_pairs(queries, index, config)), config.top_k).persist()
-    features = pair_features(pair_records(label_pairs(ranked, truth_pairs(truth)), queries, index)).persist()
+    ranked = ranked_candidates(queries, index, config)
+    features = pair_features(pair_records(label_pairs(ranked, truth_pairs(truth)), queries, index))
+    features = written(features, "features")
     learn, valid, test = split_groups(features, *split)
     model = train_matcher(learn, valid, trees)
     save_model(model, path)
-    scored = predict(model, test).persist()
+    scored = written(predict(model, test), "scored")
     best = grid_sweep(split_groups(truth, *split)[2], scored).where("best").first()
     recall = candidate_recall(truth, ranked, truth).first()["recall_pct"]
-    report = Report(recall, roc_auc(scored).first()["auc"], best["macro_f05"], DecisionRule(best["match"], best["singleton"], best["cap"]), importances(model))
-    for df in (scored, features, ranked, index, queries):
-        df.unpersist()
-    return report
+    return Report(recall, roc_auc(scored).first()["auc"], best["macro_f05"], DecisionRule(best["match"], best["singleton"], best["cap"]), importances(model))
 
 
 def generate(source1: DataFrame, targets: DataFrame, model: PipelineModel | str, folder: str, config: BlockingConfig = BlockingConfig(), rule: DecisionRule = DecisionRule()) -> None:
@@ -57,9 +56,7 @@ def generate(source1: DataFrame, targets: DataFrame, model: PipelineModel | str,
     if isinstance(model, str):
         model = load_model(model)
     queries, index = _prepared(source1, targets, config)
-    ranked = top_candidates(dual_evidence(score_pairs(queries, index, config)), config.top_k).persist()
+    ranked = ranked_candidates(queries, index, config)
     write_tsv(with_empty(source1, ranked), f"{folder}/{CANDIDATES}")
     matches = decide(predict(model, pair_features(pair_records(ranked, queries, index))), rule)
     write_tsv(with_empty(source1, matches, "matched_entity_ids"), f"{folder}/{MATCHES}")
-    for df in (ranked, index, queries):
-        df.unpersist()

@@ -21,6 +21,7 @@ from weftlink.operators import fixtures
 from weftlink.operators import model as M
 from weftlink.operators import sample as S
 from weftlink.operators import validate as V
+from weftlink.sources.tables import written
 from weftlink.sources.tsv import ids_of, parse_id_lists
 
 PLAIN = B.BlockingConfig(channels=B.NO_PHONETICS)
@@ -196,18 +197,19 @@ for _c in B.CHANNELS:
     _REGISTRY[f"score_channel_{_c}"] = _channel(_c)
 
 
-def _scored(spark, d, config=PLAIN):
+def _records(spark, d):
+    """Both sides, prepared, numbered and written."""
     s1, _, _ = fixtures.sources(spark, d)
-    return B.dual_evidence(B.score_pairs(B.prepare(s1), B.prepare(fixtures.targets(spark, d)), config))
+    return B.numbered(B.prepare(s1)), B.numbered(B.prepare(fixtures.targets(spark, d)))
 
 
 @_query
 def dual_evidence(spark, d):
-    return _scored(spark, d).select("s1_id", "tgt_id", F.round("score", 5).alias("score"))
+    return B.dual_evidence(B.score_pairs(*_records(spark, d), PLAIN)).select("s1_id", "tgt_id", F.round("score", 5).alias("score"))
 
 
 def _ranked(spark, d):
-    return B.top_candidates(_scored(spark, d), PLAIN.top_k)
+    return B.ranked_candidates(*_records(spark, d), PLAIN)
 
 
 @_query
@@ -231,8 +233,8 @@ def candidates_with_phonetics(spark, d):
 
 
 def _paired(spark, d):
-    s1, _, _ = fixtures.sources(spark, d)
-    return X.pair_records(_ranked(spark, d), B.prepare(s1), B.prepare(fixtures.targets(spark, d)))
+    records = _records(spark, d)
+    return X.pair_records(B.ranked_candidates(*records, PLAIN), *records)
 
 
 @_query
@@ -274,9 +276,9 @@ def group_split(spark, d):
 @_query
 def trained_matches(spark, d):
     """Training on one part of the entities, matches of the rest."""
-    labelled = M.label_pairs(_ranked(spark, d), E.truth_pairs(_truth(spark, d)))
-    s1, _, _ = fixtures.sources(spark, d)
-    features = X.pair_features(X.pair_records(labelled, B.prepare(s1), B.prepare(fixtures.targets(spark, d)))).persist()
+    records = _records(spark, d)
+    labelled = M.label_pairs(B.ranked_candidates(*records, PLAIN), E.truth_pairs(_truth(spark, d)))
+    features = written(X.pair_features(X.pair_records(labelled, *records)), "features")
     train, valid, test = M.split_groups(features, 60, 20)
     scored = M.predict(M.train_matcher(train, valid), test)
     return D.decide(scored).select("s1_id", "tgt_id", F.round("prob", 6).alias("prob"), "rank")
