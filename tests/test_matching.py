@@ -72,9 +72,21 @@ def test_postal_features(spark):
     assert df.withColumns(X.plain_features()).where("postal_match <> m or postal_prefix_match <> p").count() == 0
 
 
+def test_lists_rank_like_dataframes(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}xy" for a in "abcdef" for b in "ghijkl"]
+    rows = lambda p, n: [(f"{p}-{i}", " ".join(rng.choices(words, k=rng.randint(1, 4))), rng.choice(["", f"{rng.randint(1, 9)} {rng.choice(words)} {rng.choice(words)} 5600{rng.randint(10, 15)}"]), rng.choice(["US", "India", None])) for i in range(n)]
+    a, b = (B.records(spark.createDataFrame(x, ENTITY)) for x in (rows("S1", 150), rows("S2", 400)))
+    config = B.BlockingConfig(top_k=12, channels=B.NO_PHONETICS, max_token_freq=60)
+    want = B.top_candidates(B.dual_evidence(B.score_pairs(a, b, config)), 12)
+    got, want = (sorted(map(tuple, x.collect())) for x in (B.ranked_candidates(a, b, config), want))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) > 800
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-9)
+
+
 def test_numbers_rise_with_ids(spark):
     rows = [(f"S2-{i % 700}", f"name {i}", "", "US") for i in range(1000)] + [(None, "x", "", "US")]
-    got = B.numbered(B.prepare(spark.createDataFrame(rows, ENTITY).repartition(7))).select("entity_id", "uid").collect()
+    got = B.records(spark.createDataFrame(rows, ENTITY).repartition(7)).select("entity_id", "uid").collect()
     assert len(got) == 1001 and len({r["uid"] for r in got}) == 701
     by_id = sorted((r for r in got if r["entity_id"]), key=lambda r: r["entity_id"])
     assert [r["uid"] for r in by_id] == sorted(r["uid"] for r in by_id)
@@ -84,7 +96,7 @@ def test_a_key_with_half_of_all_probes_is_split(spark):
     """One key in every second record: the result is the same, and no task fetches more of its probes than allowed."""
     source = [(f"S1-{i}", f"{'common' if i % 2 else f'rare{i % 50}'} zz{i % 97}", "", "US") for i in range(4000)]
     target = [(f"S2-{i}", f"{'common' if i % 10 == 0 else f'rare{i % 50}'} yy{i % 97}", "", "US") for i in range(300)]
-    source, target = (B.numbered(B.prepare(spark.createDataFrame(x, ENTITY))) for x in (source, target))
+    source, target = (B.records(spark.createDataFrame(x, ENTITY)) for x in (source, target))
     one, many = B.BlockingConfig(channels=("tok",)), B.BlockingConfig(channels=("tok",), probes_per_task=150)
     want = {tuple(r) for r in B.score_pairs(source, target, one).collect()}
     assert {tuple(r) for r in B.score_pairs(source, target, many).collect()} == want and len(want) > 2000 * 30

@@ -3,13 +3,17 @@
 An inverted index is an exploded table of (country, channel, key, entity); probing it is one equi-join. Inside, entities
 go by numbers in the order of their ids, and keys by 64-bit hashes of country, channel and key. Keys are pruned by their
 frequency among targets before the join, which bounds how many rows a probe can match; keys with very many probes are
-split by a salt. Ids come back behind the ranking, which uses grouped limits.
+split by a salt. The lists that a left entity fetches, bounded by its keys and the cutoffs, are summed and ranked in one
+Arrow group without being unpacked into rows (score_pairs and top_candidates do the same as DataFrame operations, for all
+pairs). Ids come back behind the ranking.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,7 @@ def prepare(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii)
         T.address_numbers(F.col("business_address")).alias("numbers"),
         T.is_missing(F.col("business_address")).alias("is_empty"),
         T.compound_numbers(F.col("business_address")).alias("compounds"),
+        *[c for c in ("uid",) if c in df.columns],
     )
     out = out.withColumns({"tokens": T.name_tokens(F.col("name")), "postal": T.postal_code(F.col("address")), "addr_tokens": T.address_tokens(F.col("address"))})
     if not phonetic:
@@ -131,13 +136,21 @@ def weight() -> Column:
     return out
 
 
-def numbered(prepared: DataFrame) -> DataFrame:
-    """Prepared records, written once, with `uid`: numbers that rise with entity_id; records of one id share one."""
-    if "uid" in prepared.columns:
-        return prepared
-    ranged = prepared.repartitionByRange("entity_id").sortWithinPartitions("entity_id").withColumn("_at", F.monotonically_increasing_id())
+def numbered(df: DataFrame) -> DataFrame:
+    """df with `uid`: numbers that rise with entity_id; records of one id share one. They are fixed once the result is written."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as what follows costs more than its bytes tell
+    ranged = df.repartitionByRange(parts, "entity_id").sortWithinPartitions("entity_id").withColumn("_at", F.monotonically_increasing_id())
     # ranges hold whole ids, so this needs no exchange
-    return written(ranged.withColumn("uid", F.min("_at").over(Window.partitionBy("entity_id"))).drop("_at"), "records")
+    return ranged.withColumn("uid", F.min("_at").over(Window.partitionBy("entity_id"))).drop("_at")
+
+
+def records(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii) -> DataFrame:
+    """Prepared records with `uid`, written once."""
+    return written(prepare(numbered(df), phonetic, transliteration), "records")
+
+
+def _known(prepared: DataFrame) -> DataFrame:
+    return prepared if "uid" in prepared.columns else written(numbered(prepared), "records")
 
 
 def _hashed_keys(records: DataFrame, channels, index: bool) -> DataFrame:
@@ -169,13 +182,17 @@ def salted_probes(probes: DataFrame, config: BlockingConfig) -> tuple[DataFrame,
     return probes.join(busy, "k", "left").withColumn("salt", salt).drop("parts"), busy
 
 
-def _scores(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
-    """(s1, tgt, name_score, addr_score) by number. Probes fetch whole lists by key; one exchange brings all lists of a left entity together, and there they are unpacked, summed and later ranked."""
+def _fetched(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    """(s1, is_name, w, found): the lists of targets that a left entity's keys lead to, by number, and what each counts."""
     probes, postings = _hashed_keys(queries, config.channels, False).drop("channel"), _postings(targets, config)
     salted, busy = salted_probes(probes, config)
     # the list of a split key goes to each part
     spread = postings.join(busy, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    fetched = salted.join(spread, ["k", "salt"]).select(F.col("uid").alias("s1"), "is_name", (F.col("w") * F.col("times")).alias("w"), "found")
+    return salted.join(spread, ["k", "salt"]).select(F.col("uid").alias("s1"), "is_name", (F.col("w") * F.col("times")).alias("w"), "found")
+
+
+def _scores(fetched: DataFrame) -> DataFrame:
+    """(s1, tgt, name_score, addr_score) of all pairs; one exchange brings the lists of a left entity together, where they are unpacked and summed."""
     hits = fetched.repartition("s1").select("s1", "is_name", "w", F.explode("found").alias("tgt"))
     return hits.groupBy("s1", "tgt").agg(
         F.round(F.coalesce(F.sum(F.when(F.col("is_name"), F.col("w"))), F.lit(0.0)), 9).alias("name_score"),
@@ -192,8 +209,8 @@ def _with_ids(scored: DataFrame, queries: DataFrame, targets: DataFrame) -> Data
 
 def score_pairs(queries: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
     """(s1_id, tgt_id, name_score, addr_score) of prepared records that share a key which is not too common."""
-    queries, targets = numbered(queries), numbered(targets)
-    return _with_ids(_scores(queries, targets, config), queries, targets)
+    queries, targets = _known(queries), _known(targets)
+    return _with_ids(_scores(_fetched(queries, targets, config)), queries, targets)
 
 
 def dual_evidence(scored: DataFrame) -> DataFrame:
@@ -202,27 +219,51 @@ def dual_evidence(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round(final, 9))
 
 
-def top_candidates(scored: DataFrame, top_k: int, s1: str = "s1_id", tgt: str = "tgt_id") -> DataFrame:
+def top_candidates(scored: DataFrame, top_k: int) -> DataFrame:
     """(s1_id, tgt_id, rank, score): the best top_k - 6 by score, six places for the best names, then by score again."""
-    by_score = Window.partitionBy(s1).orderBy(F.desc("score"), F.asc(tgt))
-    by_name = Window.partitionBy(s1).orderBy(F.desc(F.col("name_score") > 0), F.desc("name_score"), F.asc(tgt))
-    # one exchange on the left entity serves all three windows; a row beyond top_k by score and beyond six by name can't be chosen
+    by_score = Window.partitionBy("s1_id").orderBy(F.desc("score"), F.asc("tgt_id"))
+    by_name = Window.partitionBy("s1_id").orderBy(F.desc(F.col("name_score") > 0), F.desc("name_score"), F.asc("tgt_id"))
+    # one exchange on s1_id serves all three windows; a row beyond top_k by score and beyond six by name can't be chosen
     ranked = scored.withColumns({"rf": F.row_number().over(by_score), "rn": F.row_number().over(by_name)}).where((F.col("rf") <= top_k) | (F.col("rn") <= 6))
     bucket = F.when(F.col("rf") <= top_k - 6, 0).when((F.col("name_score") > 0) & (F.col("rn") <= 6), 1).otherwise(2)
-    order = Window.partitionBy(s1).orderBy("bucket", F.when(F.col("bucket") == 1, F.col("rn")).otherwise(F.col("rf")))
-    return ranked.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(s1, tgt, "rank", "score")
+    order = Window.partitionBy("s1_id").orderBy("bucket", F.when(F.col("bucket") == 1, F.col("rn")).otherwise(F.col("rf")))
+    return ranked.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "tgt_id", "rank", "score")
+
+
+def _nine_digits(x: np.ndarray) -> np.ndarray:
+    """round(x, 9) of numbers that are not negative; of those a rounding error from a half, the last digit may differ from Spark's."""
+    return np.floor(x * 1e9 + 0.5) / 1e9
+
+
+def _best_of_lists(top_k: int):
+    """score_pairs, dual_evidence and top_candidates of one left entity: its lists are at most as many as its keys, each no longer than a cutoff."""
+
+    def run(lists: pa.Table) -> pa.Table:
+        found = lists.column("found").combine_chunks()
+        size, w, is_name = np.asarray(found.value_lengths()), lists.column("w").to_numpy(), lists.column("is_name").to_numpy()
+        tgt, at = np.unique(found.flatten().to_numpy(), return_inverse=True)  # rising, so that stable sorts leave ties by id
+        name = _nine_digits(np.bincount(at, np.repeat(np.where(is_name, w, 0.0), size)))
+        addr = _nine_digits(np.bincount(at, np.repeat(np.where(is_name, 0.0, w), size)))
+        score = _nine_digits(np.where((name > 0) & (addr > 0), (name + addr) * 3 + name * addr, np.where(name > 0, name * 1.5, addr)))
+        by_score, by_name = np.argsort(-score, kind="stable")[:top_k], np.argsort(-name, kind="stable")[:6]
+        order = np.concatenate([by_score[: top_k - 6], by_name[name[by_name] > 0], by_score[top_k - 6 :]])
+        order = order[np.sort(np.unique(order, return_index=True)[1])][:top_k]
+        n = len(order)
+        return pa.table({"s1": pa.array(np.full(n, lists.column("s1")[0].as_py())), "tgt": tgt[order], "rank": np.arange(1, n + 1, dtype=np.int32), "score": score[order]})
+
+    return run
 
 
 def ranked_candidates(queries: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
-    """(s1_id, tgt_id, rank, score) of prepared records, best of all with the numbers of `numbered`; written once, for every later step to read."""
-    queries, targets = numbered(queries), numbered(targets)
-    ranked = top_candidates(dual_evidence(_scores(queries, targets, config)), config.top_k, "s1", "tgt")
+    """(s1_id, tgt_id, rank, score) of prepared records, best of `records`; written once, for every later step to read."""
+    queries, targets = _known(queries), _known(targets)
+    ranked = _fetched(queries, targets, config).groupBy("s1").applyInArrow(_best_of_lists(config.top_k), "s1 long, tgt long, rank int, score double")
     return written(_with_ids(ranked, queries, targets), "candidates")
 
 
 def candidates(source1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     phonetic = bool({"ph", "pn"} & set(config.channels))
-    return ranked_candidates(prepare(source1, phonetic), prepare(targets, phonetic), config)
+    return ranked_candidates(records(source1, phonetic), records(targets, phonetic), config)
 
 
 def with_empty(source1: DataFrame, ranked: DataFrame, name: str = "candidate_entity_ids", id_col: str = "tgt_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.operators.blocking import BlockingConfig, numbered, prepare, ranked_candidates, with_empty
+from weftlink.operators.blocking import BlockingConfig, ranked_candidates, records, with_empty
 from weftlink.operators.decide import DecisionRule, decide
 from weftlink.operators.evaluate import candidate_recall, grid_sweep, roc_auc, truth_pairs
 from weftlink.operators.features import pair_features, pair_records
@@ -32,7 +32,7 @@ class Report:
 
 def _prepared(source1: DataFrame, targets: DataFrame, config: BlockingConfig) -> tuple[DataFrame, DataFrame]:
     phonetic = bool({"ph", "pn"} & set(config.channels))
-    return numbered(prepare(source1, phonetic)), numbered(prepare(targets, phonetic))
+    return records(source1, phonetic), records(targets, phonetic)
 
 
 def train(source1: DataFrame, targets: DataFrame, truth: DataFrame, path: str, config: BlockingConfig = BlockingConfig(), trees: int = 400, split: tuple[int, int] = (60, 20)) -> Report:

@@ -187,7 +187,7 @@ def _channel(channel: str) -> Query:
         s1, _, _ = fixtures.sources(spark, d)
         config = B.BlockingConfig(channels=(channel,))
         phonetic = channel in ("ph", "pn")
-        scored = B.score_pairs(B.prepare(s1, phonetic), B.prepare(fixtures.targets(spark, d), phonetic), config)
+        scored = B.score_pairs(B.records(s1, phonetic), B.records(fixtures.targets(spark, d), phonetic), config)
         return scored.select("s1_id", "tgt_id", F.round("name_score", 6).alias("name_score"), F.round("addr_score", 6).alias("addr_score"))
 
     return run
@@ -200,7 +200,7 @@ for _c in B.CHANNELS:
 def _records(spark, d):
     """Both sides, prepared, numbered and written."""
     s1, _, _ = fixtures.sources(spark, d)
-    return B.numbered(B.prepare(s1)), B.numbered(B.prepare(fixtures.targets(spark, d)))
+    return B.records(s1), B.records(fixtures.targets(spark, d))
 
 
 @_query
