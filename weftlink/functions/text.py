@@ -140,6 +140,51 @@ def soundex_keys(tokens: Column) -> Column:
     return F.transform(good, lambda t: F.concat(F.lit("sx:"), F.soundex(t)))
 
 
+# Philips' published rules (1990), the first that fits a letter, seen with the two before and the four behind it.
+METAPHONE = [
+    ("b", [(r"^.mb ", ""), (r"", "B")]),
+    ("c", [(r"^.sch", "K"), (r"^..ch", "X"), (r"^..cia", "X"), (r"^.sc[eiy]", ""), (r"^..c[eiy]", "S"), (r"", "K")]),
+    ("d", [(r"^..dg[eiy]", "J"), (r"", "T")]),
+    ("g", [(r"^[^d]dg[eiy]", ""), (r"^..gh[^ aeiou]", ""), (r"^..gn(ed)? ", ""), (r"^..g[eiy]", "J"), (r"", "K")]),
+    ("h", [(r"^.[^cgpst]h[aeiou]", "H"), (r"", "")]),
+    ("k", [(r"^.ck", ""), (r"", "K")]),
+    ("p", [(r"^..ph", "F"), (r"", "P")]),
+    ("s", [(r"^..s(h|i[ao])", "X"), (r"", "S")]),
+    ("t", [(r"^..th", "0"), (r"^..ti[ao]", "X"), (r"^..tch", ""), (r"", "T")]),
+    ("w", [(r"^..w[aeiou]", "W"), (r"", "")]),
+    ("y", [(r"^..y[aeiou]", "Y"), (r"", "")]),
+]
+
+
+def metaphone(word: Column) -> Column:
+    """Metaphone code of a lower-case ASCII word; other characters are left out."""
+    w = F.regexp_replace(word, "[^a-z]", "")
+    for old, new in ((r"^(?:[kgp](?=n)|w(?=r)|a(?=e))", ""), ("^x", "s"), ("^wh", "w")):
+        w = F.regexp_replace(w, old, new)
+    seen = F.concat(F.lit("  "), w, F.lit("    "))
+
+    def code(i: Column) -> Column:
+        near = F.substring(seen, i, F.lit(7))
+        c = F.substring(near, 3, 1)
+        out = F.when((c == F.substring(near, 2, 1)) & (c != "c"), "").when(c.isin(*"aeiou"), F.when(F.substring(near, 2, 1) == " ", F.upper(c)).otherwise(""))
+        for letter, rules in METAPHONE:
+            each = F
+            for pattern, sound in rules:
+                each = each.when(near.rlike(pattern), sound) if pattern else each.otherwise(sound)
+            out = out.when(c == letter, each)
+        return out.when(c == "q", "K").when(c == "v", "F").when(c == "x", "KS").when(c == "z", "S").otherwise(F.upper(c))
+
+    return F.when(w == "", "").when(w.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(1), F.length(w)), code), ""))
+
+
+def phonetic_keys(tokens: Column) -> Column:
+    """Distinct Soundex and, from two letters on, Metaphone keys of the tokens that are words."""
+    good = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
+    codes = F.transform(good, lambda t: F.struct(t.alias("t"), metaphone(t).alias("m")))
+    both = F.transform(codes, lambda x: F.when(F.length(x["m"]) >= 2, F.array(F.concat(F.lit("sx:"), F.soundex(x["t"])), F.concat(F.lit("mp:"), x["m"]))).otherwise(F.array(F.concat(F.lit("sx:"), F.soundex(x["t"])))))
+    return F.array_distinct(F.flatten(both))
+
+
 def postal_code(clean: Column) -> Column:
     return F.nullif(F.regexp_extract(clean, r"\b[0-9]{5,6}\b", 0), F.lit(""))
 

@@ -55,14 +55,7 @@ def prepare(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii)
         *[c for c in ("uid",) if c in df.columns],
     )
     out = out.withColumns({"tokens": T.name_tokens(F.col("name")), "postal": T.postal_code(F.col("address")), "addr_tokens": T.address_tokens(F.col("address"))})
-    if not phonetic:
-        return out.withColumn("phonetic", F.array().cast("array<string>"))
-    from weftlink.functions.kernels import metaphone_udf
-
-    good = F.filter("tokens", lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
-    out = out.withColumn("_good", good).withColumn("_codes", metaphone_udf("_good"))
-    both = F.zip_with("_good", "_codes", lambda t, m: F.when(F.length(m) >= 2, F.array(F.concat(F.lit("sx:"), F.soundex(t)), F.concat(F.lit("mp:"), m))).otherwise(F.array(F.concat(F.lit("sx:"), F.soundex(t)))))
-    return out.withColumn("phonetic", F.array_distinct(F.flatten(both))).drop("_good", "_codes")
+    return out.withColumn("phonetic", T.phonetic_keys(F.col("tokens")) if phonetic else F.array().cast("array<string>"))
 
 
 def _pairs(items: Column, fmt) -> Column:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.functions import kernels as K
 from weftlink.functions import text as T
 from weftlink.operators import blocking as B
 from weftlink.operators import decide as D
@@ -150,7 +149,7 @@ def soundex_keys(spark, d):
 
 @_query
 def metaphone_keys(spark, d):
-    return _prepared(spark, d).select("entity_id", F.array_join(K.metaphone_udf("tokens"), "|").alias("keys"))
+    return _prepared(spark, d).select("entity_id", F.array_join(F.transform("tokens", T.metaphone), "|").alias("keys"))
 
 
 @_query

@@ -1,10 +1,15 @@
-"""DuckDB SQL for the rows of the queries, written from the same definitions."""
+"""DuckDB SQL for the rows of the queries, with all fixed values stated here again; nothing is taken from the library."""
 
 from __future__ import annotations
 
-from weftlink.functions import text as T
-from weftlink.operators import blocking as B
-from weftlink.operators import evaluate as E
+# Patterns, words, weights and grids of the definitions.
+_DOMAIN = r"\b(www\.|https?://|\.com|\.in|\.org|\.net|\.co|\.fr)\b"
+_LEGAL = r"\b(pvt|ltd|limited|private|inc|incorporated|corp|corporation|llc|llp|sarl|sas|sasu|sa|eurl|sci|snc|co|company|enterprises|enterprise|industries|industry|services|service|associates|group|holdings)\b"
+_COMPOUND = r"\b[A-Za-z0-9]+[-/][A-Za-z0-9/-]+\b"
+_GENERIC_WORDS = "road rd street st avenue ave lane ln drive dr block near opp floor unit apt suite building bldg rue boulevard blvd terrace court ct highway hwy parkway pkwy way place null none"
+_NAME_WEIGHTS = {"tok": 3.5, "wp": 5.0, "sn": 5.5, "cmp": 5.0, "sh": 1.0, "ph": 1.5}
+_ADDRESS_WEIGHTS = {"cpd": 6.0, "npc": 4.5, "nat": 4.0, "pcn": 3.5, "at2": 3.0, "pn": 5.0}
+_MATCH, _SINGLETON, _CAP = "0.70, 0.75, 0.80, 0.85, 0.88, 0.90, 0.92, 0.95", "0.60, 0.70, 0.75, 0.80, 0.85", "4, 5, 6, 8"
 
 _BASE = """base as (select c_custkey k, split_part(p_name, ' ', 1) w1, split_part(p_name, ' ', 2) w2, lower(c_mktsegment) seg,
   cast(100 + (c_custkey * 37) % 900 as varchar) num, lower(replace(n_name, '_', ' ')) nat, cast(10000 + (c_custkey * 7919) % 80000 as varchar) pc,
@@ -33,19 +38,19 @@ def _fold(x: str) -> str:
 
 
 def _domains(x: str) -> str:
-    return f"regexp_replace({x}, '{T.DOMAIN_PATTERN}', ' ', 'g')"
+    return f"regexp_replace({x}, '{_DOMAIN}', ' ', 'g')"
 
 
 _PLAIN = "strip_accents(replace(text, 'ß', 'ss'))"
 
 
 def _norm(x: str) -> str:
-    y = _collapse(f"regexp_replace({_domains(_fold(f'lower(strip_accents({x}))'))}, '{T.LEGAL_PATTERN}', ' ', 'g')")
+    y = _collapse(f"regexp_replace({_domains(_fold(f'lower(strip_accents({x}))'))}, '{_LEGAL}', ' ', 'g')")
     y = f"trim(regexp_replace(regexp_replace({y}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
     return f"case when {x} is null or {x} in ('', 'nan', 'None') then '' else {y} end"
 
 
-_GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_ADDRESS_WORDS)
+_GENERIC = ", ".join(f"'{w}'" for w in _GENERIC_WORDS.split())
 _MISSING = "(business_address is null or business_address in ('', 'nan', 'None'))"
 
 _RECORDS = f"""clean as (select *, {_norm("business_name")} as name, {_norm("business_address")} as address from everyone),
@@ -54,7 +59,7 @@ rec as (select entity_id, country, name, address, {_MISSING} is_empty,
   case when {_MISSING} then [] else list_filter(regexp_extract_all(business_address, '[0-9]+'), lambda n: length(n) <= 6)[1:3] end numbers,
   nullif(regexp_extract(address, '\\b[0-9]{{5,6}}\\b'), '') postal,
   list_filter(string_split(address, ' '), lambda t: length(t) >= 3 and t not in ({_GENERIC}) and not regexp_full_match(t, '[0-9]+')) addr_tokens,
-  list_filter(list_transform(regexp_extract_all(business_address, '{T.COMPOUND_PATTERN}'), lambda m: lower(m)), lambda m: regexp_matches(m, '[0-9]')) compounds
+  list_filter(list_transform(regexp_extract_all(business_address, '{_COMPOUND}'), lambda m: lower(m)), lambda m: regexp_matches(m, '[0-9]')) compounds
   from clean)"""
 
 _SHINGLES = """list_sort(list_distinct(list_concat(
@@ -71,20 +76,25 @@ _KEYS = {
     "npc": "case when postal is not null then list_transform(numbers, lambda n: 'npc:' || n || '_' || postal) else [] end",
     "nat": "flatten(list_transform(numbers, lambda n: list_transform(addr_tokens[1:4], lambda t: 'nat:' || n || '_' || t)))",
     "pcn": "case when postal is not null and len(tokens) > 0 then ['pcn:' || postal || '_' || tokens[1][1:3]] else [] end",
+    "ph": "phonetic",
+    "pn": "flatten(list_transform(numbers[1:2], lambda n: list_transform(phonetic[1:2], lambda p: 'pn:' || p || '_' || n)))",
     "at2": "flatten(list_transform(addr_tokens[1:3], lambda x, i: list_transform(addr_tokens[1:3][i + 1:], lambda y: 'at2:' || least(x, y) || '_' || greatest(x, y))))",
 }
-_CUTOFF = "case when channel in ('tok', 'wp', 'sn', 'cmp') then 3000 when channel = 'sh' then 1500 else 2000 end"
-_WEIGHT = "case channel " + " ".join(f"when '{c}' then {f'{w} / log2(2 + n)' if name else w}" for c, (name, w) in B.CHANNELS.items()) + " end"
+_CUTOFF = "case when channel in ('tok', 'wp', 'sn', 'cmp') then 3000 when channel = 'sh' then 1500 when channel = 'ph' then 400 else 2000 end"
+_WEIGHT = "case channel " + " ".join(f"when '{c}' then {w} / log2(2 + n)" for c, w in _NAME_WEIGHTS.items()) + " " + " ".join(f"when '{c}' then {w}" for c, w in _ADDRESS_WEIGHTS.items()) + " end"
 
 
-def _scoring(channels) -> str:
-    index = " union all ".join(f"select country, entity_id, '{c}' channel, unnest(list_distinct({_KEYS[c]})) as key from rec where entity_id not like 'S1-%'" for c in channels)
-    probe = " union all ".join(f"select country, entity_id, '{c}' channel, unnest({f'list_distinct({_KEYS[c]})' if B.CHANNELS[c][0] else _KEYS[c]}) as key from rec where entity_id like 'S1-%'" for c in channels)
+_NAMES = ", ".join(f"'{c}'" for c in _NAME_WEIGHTS)
+
+
+def _scoring(channels, records: str = "rec") -> str:
+    index = " union all ".join(f"select country, entity_id, '{c}' channel, unnest(list_distinct({_KEYS[c]})) as key from {records} where entity_id not like 'S1-%'" for c in channels)
+    probe = " union all ".join(f"select country, entity_id, '{c}' channel, unnest({f'list_distinct({_KEYS[c]})' if c in _NAME_WEIGHTS else _KEYS[c]}) as key from {records} where entity_id like 'S1-%'" for c in channels)
     return f"""idx as ({index}), probe as ({probe}),
 freq as (select country, channel, key, count(*) n from idx group by all having count(*) <= {_CUTOFF}),
 scored as (select p.entity_id s1_id, i.entity_id tgt_id,
-  round(coalesce(sum(case when channel in ('tok', 'wp', 'sn', 'cmp', 'sh') then {_WEIGHT} end), 0), 9) name_score,
-  round(coalesce(sum(case when channel not in ('tok', 'wp', 'sn', 'cmp', 'sh') then {_WEIGHT} end), 0), 9) addr_score
+  round(coalesce(sum(case when channel in ({_NAMES}) then {_WEIGHT} end), 0), 9) name_score,
+  round(coalesce(sum(case when channel not in ({_NAMES}) then {_WEIGHT} end), 0), 9) addr_score
   from probe p join freq using (country, channel, key) join idx i using (country, channel, key) group by 1, 2)"""
 
 
@@ -130,7 +140,38 @@ def _soundex(t: str) -> str:
     return f"case when regexp_matches({t}, '^[a-z]') then upper({t}[1]) || rpad(replace(({x})[2:], '0', ''), 3, '0')[1:3] else {t} end"
 
 
-_ALL = tuple(c for c in B.CHANNELS if c in _KEYS)
+_VOWELS, _SOFT = "('a', 'e', 'i', 'o', 'u')", "('e', 'i', 'y')"
+
+# a letter s[3] with two before it and four behind, blanks beyond the word
+_LETTER = f"""case when s[3] = s[2] and s[3] <> 'c' then ''
+  when s[3] in {_VOWELS} then case when s[2] = ' ' then upper(s[3]) else '' end
+  when s[3] = 'b' then case when s[2] = 'm' and s[4] = ' ' then '' else 'B' end
+  when s[3] = 'c' then case when s[4] = 'h' and s[2] = 's' then 'K' when s[4] = 'h' or s[4:5] = 'ia' then 'X' when s[4] in {_SOFT} then case when s[2] = 's' then '' else 'S' end else 'K' end
+  when s[3] = 'd' then case when s[4] = 'g' and s[5] in {_SOFT} then 'J' else 'T' end
+  when s[3] = 'g' then case when s[2] = 'd' and s[1] <> 'd' and s[4] in {_SOFT} then '' when s[4] = 'h' and s[5] <> ' ' and s[5] not in {_VOWELS} then ''
+    when s[4:5] = 'n ' or s[4:7] = 'ned ' then '' when s[4] in {_SOFT} then 'J' else 'K' end
+  when s[3] = 'h' then case when s[4] in {_VOWELS} and s[2] not in ('c', 'g', 'p', 's', 't') then 'H' else '' end
+  when s[3] = 'k' then case when s[2] = 'c' then '' else 'K' end
+  when s[3] = 'p' then case when s[4] = 'h' then 'F' else 'P' end
+  when s[3] = 'q' then 'K'
+  when s[3] = 's' then case when s[4] = 'h' or s[4:5] in ('io', 'ia') then 'X' else 'S' end
+  when s[3] = 't' then case when s[4] = 'h' then '0' when s[4:5] in ('ia', 'io') then 'X' when s[4:5] = 'ch' then '' else 'T' end
+  when s[3] = 'v' then 'F' when s[3] in ('w', 'y') then case when s[4] in {_VOWELS} then upper(s[3]) else '' end
+  when s[3] = 'x' then 'KS' when s[3] = 'z' then 'S' else upper(s[3]) end"""
+
+
+def _metaphone(t: str) -> str:
+    bare = f"regexp_replace({t}, '[^a-z]', '', 'g')"
+    begun = "case when w[1:2] in ('kn', 'gn', 'pn', 'wr', 'ae') then w[2:] when w[1] = 'x' then 's' || w[2:] when w[1:2] = 'wh' then 'w' || w[3:] else w end"
+    return f"""list_transform(list_transform([{bare}], lambda w: {begun}), lambda w: array_to_string(list_transform(list_transform(range(1, length(w) + 1), lambda i: ('  ' || w || '    ')[i:i + 6]), lambda s: {_LETTER}), ''))[1]"""
+
+
+_HEARD = f"""coded as (select *, flatten(list_transform(list_filter(tokens, lambda t: length(t) >= 3 and not regexp_full_match(t, '[0-9]+')),
+  lambda t: list_filter(['sx:' || {_soundex('t')}, 'mp:' || {_metaphone('t')}], lambda k: k[1:3] = 'sx:' or length(k) >= 5))) codes from rec),
+heard as (select *, list_filter(codes, lambda c, i: list_position(codes, c) = i) phonetic from coded)"""
+
+_EVERY = tuple(_KEYS)
+_ALL = tuple(c for c in _EVERY if c not in ("ph", "pn"))
 
 
 def _with(*parts: str) -> str:
@@ -202,7 +243,7 @@ ordered as (select y, rank() over (order by prob) + (count(*) over (partition by
 select round((sum(case when y = 1 then r end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) auc, cast(sum(y) as bigint) pos, cast(count(*) - sum(y) as bigint) neg from ordered""",
         "threshold_sweep": _sweep("select i / 100 threshold from range(40, 100, 5) r(i)", "threshold", "prob >= threshold", "threshold"),
         "grid_sweep": _sweep(
-            f"select m.v \"match\", s.v singleton, cast(c.v as int) cap from (select cast(unnest([{', '.join(map(str, E.MATCH_GRID))}]) as double) v) m, (select cast(unnest([{', '.join(map(str, E.SINGLETON_GRID))}]) as double) v) s, (select unnest([{', '.join(map(str, E.CAP_GRID))}]) v) c",
+            f"select m.v \"match\", s.v singleton, cast(c.v as int) cap from (select cast(unnest([{_MATCH}]) as double) v) m, (select cast(unnest([{_SINGLETON}]) as double) v) s, (select unnest([{_CAP}]) v) c",
             '"match", singleton, cap',
             'best >= singleton and prob >= "match" and place <= cap',
             '"match", singleton, cap',
@@ -221,6 +262,9 @@ select distinct s1 item from last where not exists (select 1 from truth where s1
         "sampled_truth": sampled + "select s1_id source1_entity_id, ids matched_entity_ids from truth where s1_id in (select entity_id from sampled)",
         "sampled_targets": sampled + "select * from targets where entity_id in (select tgt_id from links where s1_id in (select entity_id from sampled)) union select * from (select * from targets order by entity_id limit 200)",
     }
-    for c in _ALL:
-        sql[f"score_channel_{c}"] = _with(_RECORDS, _scoring((c,))) + "select s1_id, tgt_id, round(name_score, 6) name_score, round(addr_score, 6) addr_score from scored"
+    sql["metaphone_keys"] = rec + f"select entity_id, array_to_string(list_transform(tokens, lambda t: {_metaphone('t')}), '|') as keys from rec"
+    sql["candidates_with_phonetics"] = _with(_RECORDS, _HEARD, _scoring(_EVERY, "heard"), _FINAL, _TOP) + 'select s1_id, tgt_id, "rank", round(score, 5) score from ranked'
+    for c in _EVERY:
+        records = (_RECORDS, _HEARD, _scoring((c,), "heard")) if c in ("ph", "pn") else (_RECORDS, _scoring((c,)))
+        sql[f"score_channel_{c}"] = _with(*records) + "select s1_id, tgt_id, round(name_score, 6) name_score, round(addr_score, 6) addr_score from scored"
     return sql
