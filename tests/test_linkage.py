@@ -19,9 +19,14 @@ def test_training_and_inference_give_valid_files(spark, tmp_path):
     targets = others[0].unionByName(others[1])
     report = linkage.train(source1, targets, truth, f"{tmp_path}/model", config, trees=4)
     assert report.recall_pct > 95 and report.auc > 0.9 and report.macro_f05 > 0.5 and len(report.importances) == 20
+    assert [s.name for s in report.stages] == ["records", "records", "candidates", "features", "model", "scored"]
+    assert report.stages[0].rows == s1.count() and report.stages[2].rows == report.stages[3].rows > 0 and all(s.seconds > 0 for s in report.stages)
     linkage.generate(source1, targets, f"{tmp_path}/model", f"{tmp_path}/out", config, report.rule)
     errors, warnings = V.validate_outputs(spark, f"{tmp_path}/out/{linkage.MATCHES}", f"{tmp_path}/out/{linkage.CANDIDATES}", str(tmp_path), True)
     assert (errors, warnings) == ([], [])
+    lines = (tmp_path / "out" / linkage.MATCHES).read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and lines[1:] == sorted(lines[1:]) and lines.count(lines[0]) == 1
+    assert V.main(["-m", f"{tmp_path}/out/{linkage.MATCHES}", "-c", f"{tmp_path}/out/{linkage.CANDIDATES}", "-t", str(tmp_path), "--check-ids"]) == 0
     found = tsv.read_tsv(spark, f"{tmp_path}/out/{linkage.MATCHES}", tsv.GROUND_TRUTH)
     assert found.count() == s1.count() and found.where("matched_entity_ids <> ''").count() > 50
 

@@ -153,21 +153,48 @@ def test_sweeps_against_brute_force(spark):
     assert got == pytest.approx({k / 100: macro(lambda own: {x for p, x in own if p >= k / 100}) for k in range(40, 100, 5)}, abs=2e-6)  # noqa: B023
 
 
-def test_training_and_model_files(spark, tmp_path):
+def training_pairs(spark, n=400, noise=0.0):
     rng = random.Random(3)
     rows = []
-    for i in range(400):
+    for i in range(n):
         y = i % 2
-        rows.append((f"s{i // 4}", f"t{i}", 1 + i % 4, y, *[float(y) * (j == 0) + rng.random() for j in range(len(X.FEATURE_NAMES))]))
+        seen = y if rng.random() >= noise else 1 - y
+        rows.append((f"s{i // 4}", f"t{i}", 1 + i % 4, y, *[float(seen) * (j == 0) + rng.random() for j in range(len(X.FEATURE_NAMES))]))
     cols = ["s1_id string", "tgt_id string", "place int", "label int", *[f"{c} float" for c in X.FEATURE_NAMES]]
-    df = spark.createDataFrame(rows, ", ".join(cols))
-    train, valid, test = M.split_groups(df, 60, 20)
+    return spark.createDataFrame(rows, ", ".join(cols))
+
+
+def test_training_and_model_files(spark, tmp_path):
+    train, valid, test = M.split_groups(training_pairs(spark), 60, 20)
     assert train.join(test, "s1_id").count() == 0
     model = M.train_matcher(train, valid, trees=5)
     tsv.save_model(model, f"{tmp_path}/model")
     scored = M.predict(tsv.load_model(f"{tmp_path}/model"), test)
     assert E.roc_auc(scored).first()["auc"] > 0.9
-    assert M.importances(model)[0][0] == "name_ratio"
+    gains = M.importances(model)
+    nodes = M.tree_nodes(model)
+    inner = nodes[nodes["left"] >= 0]
+    assert gains[0][0] == "name_ratio" and len(gains) == 20
+    assert sum(g for _, g in gains) == pytest.approx((inner["gain"] * inner["weight"]).sum())
+
+
+def test_boosting_ends_at_the_best_area(spark):
+    assert M.best_prefix([0.5, 0.9, 0.8, 0.9, 0.8], 3) == (2, True)  # the area peaks while a loss might still fall
+    assert M.best_prefix([0.5, 0.9, 0.8, 0.95, 0.8], 3) == (4, False)
+    assert M.best_prefix([None, None], 3) == (0, False)
+    train, valid, _ = M.split_groups(training_pairs(spark, 800, 0.35), 50, 40)
+    train, valid = train.persist(), valid.persist()
+    whole = M.train_matcher(train, None, trees=12)
+    aucs = M.prefix_auc(M.prefix_margins(whole, valid))
+    assert len(aucs) == 12
+    for k in (1, 5, 12):
+        scored = M.predict(M.first_trees(whole, k), valid)
+        assert E.roc_auc(scored).first()["auc"] == pytest.approx(aucs[k - 1], abs=1e-6)
+    cut = M.train_matcher(train, valid, trees=12, patience=2)
+    best, _ = M.best_prefix(aucs, 2)
+    assert cut.stages[-1].getNumTrees == best
+    again = M.predict(cut, valid).select("tgt_id", "prob").collect()
+    assert again == M.predict(M.first_trees(whole, best), valid).select("tgt_id", "prob").collect()
 
 
 def test_samples(spark):

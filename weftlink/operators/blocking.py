@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import text as T
-from weftlink.sources.tables import written
+from weftlink.sources.tables import Stage, written
 
 
 @dataclass(frozen=True)
@@ -137,9 +137,9 @@ def numbered(df: DataFrame) -> DataFrame:
     return ranged.withColumn("uid", F.min("_at").over(Window.partitionBy("entity_id"))).drop("_at")
 
 
-def records(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii) -> DataFrame:
+def records(df: DataFrame, phonetic: bool = False, transliteration=T.any_ascii, stages: list[Stage] | None = None) -> DataFrame:
     """Prepared records with `uid`, written once."""
-    return written(prepare(numbered(df), phonetic, transliteration), "records")
+    return written(prepare(numbered(df), phonetic, transliteration), "records", stages)
 
 
 def _known(prepared: DataFrame) -> DataFrame:
@@ -247,11 +247,11 @@ def _best_of_lists(top_k: int):
     return run
 
 
-def ranked_candidates(queries: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
+def ranked_candidates(queries: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig(), stages: list[Stage] | None = None) -> DataFrame:
     """(s1_id, tgt_id, rank, score) of prepared records, best of `records`; written once, for every later step to read."""
     queries, targets = _known(queries), _known(targets)
     ranked = _fetched(queries, targets, config).groupBy("s1").applyInArrow(_best_of_lists(config.top_k), "s1 long, tgt long, rank int, score double")
-    return written(_with_ids(ranked, queries, targets), "candidates")
+    return written(_with_ids(ranked, queries, targets), "candidates", stages)
 
 
 def candidates(source1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:

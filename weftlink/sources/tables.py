@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -23,8 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[spark.sparkContext.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written under a name of its own and read again."""
+@dataclass(frozen=True)
+class Stage:
+    """What writing a table took."""
+
+    name: str
+    rows: int
+    seconds: float
+
+
+def written(df: DataFrame, name: str, stages: list[Stage] | None = None) -> DataFrame:
+    """df, written under a name of its own and read again. stages gets the rows, counted on their way, and the seconds."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    schema, began = df.schema, time.perf_counter()
+    if stages is not None:
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:12]}")
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if stages is not None:
+        stages.append(Stage(name, seen.get["rows"], round(time.perf_counter() - began, 3)))
+    return df.sparkSession.read.schema(schema).parquet(path)

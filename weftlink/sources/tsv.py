@@ -21,6 +21,27 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_OPTIONS, emptyValue="", nullValue="").csv(path)
 
 
+def write_tsv_file(df: DataFrame, path: str, order: str) -> None:
+    """One file with one header, sorted by `order`: ranges are written by their tasks, then joined by the file system in their order, stream by stream."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").options(**_OPTIONS | {"header": "false"}, emptyValue="", nullValue="").csv(parts)
+    hadoop = spark._jvm.org.apache.hadoop
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    try:
+        out.write(("\t".join(df.columns) + "\n").encode())
+        for part in sorted(x.getPath().toString() for x in fs.listStatus(source) if x.getPath().getName().startswith("part-")):
+            held = fs.open(hadoop.fs.Path(part))
+            try:
+                hadoop.io.IOUtils.copyBytes(held, out, 4 << 20, False)
+            finally:
+                held.close()
+    finally:
+        out.close()
+    fs.delete(source, True)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct trimmed first fields of non-blank lines behind the header."""
     return ids_of(read_lines(spark, path).where(F.col("line") > 1))
