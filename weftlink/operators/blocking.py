@@ -251,7 +251,8 @@ def ranked_candidates(queries: DataFrame, targets: DataFrame, config: BlockingCo
     """(s1_id, tgt_id, rank, score) of prepared records, best of `records`; written once, for every later step to read."""
     queries, targets = _known(queries), _known(targets)
     ranked = _fetched(queries, targets, config).groupBy("s1").applyInArrow(_best_of_lists(config.top_k), "s1 long, tgt long, rank int, score double")
-    return written(_with_ids(ranked, queries, targets), "candidates", stages)
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as features cost more than their pairs' bytes tell
+    return written(_with_ids(ranked, queries, targets).repartition(parts, "s1_id"), "candidates", stages)
 
 
 def candidates(source1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
