@@ -71,6 +71,53 @@ def test_gradients():
         toxicity.f32 = old
 
 
+def plain_logit(model, words):
+    """One window, word by word and number by number, from the definitions of a gated recurrent unit and of attention."""
+    h, e, p = toxicity.HIDDEN, toxicity.EMBED, {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    inputs = []
+    for w in words:
+        name = tokens.scan(*tokens.column_bytes(pa.array([w])), tokens.PUNCT, lower=True).hashes[0]
+        row = model.vocab.tolist().index(name) + 1 if name in model.vocab else 0
+        marked, grams = b"^" + w.encode() + b"$", []
+        for n in (3, 5):
+            codes = np.array([int.from_bytes(marked[i : i + n], "big") for i in range(len(marked) - n + 1)], np.uint64)
+            grams += (tokens.mix(codes, n) >> np.uint64(64 - toxicity.GRAM_BITS)).tolist()
+        inputs.append(np.concatenate([p["word"][row], p["gram"][grams].mean(0) if grams else np.zeros(e)]))
+
+    def side(order, u, columns):
+        state, out = np.zeros(h), {}
+        for t in order:
+            g = inputs[t] @ p["wx"][:, columns] + p["bx"][columns]
+            z, r = sigmoid(g[:h] + state @ u[:, :h]), sigmoid(g[h : 2 * h] + state @ u[:, h : 2 * h])
+            new = np.tanh(g[2 * h :] + r * (state @ u[:, 2 * h :]))
+            state = z * state + (1 - z) * new
+            out[t] = state
+        return out
+
+    n = len(words)
+    ahead, back = side(range(n), p["uf"], slice(0, 3 * h)), side(range(n - 1, -1, -1), p["ub"], slice(3 * h, 6 * h))
+    both = [np.concatenate([ahead[t], back[t]]) for t in range(n)]
+    energy = np.array([np.tanh(x @ p["wa"]) @ p["va"] for x in both])
+    share = np.exp(energy - energy.max())
+    return float(sum(a * x for a, x in zip(share / share.sum(), both)) @ p["wo"] + p["bo"][0])
+
+
+def test_scores_against_a_plain_pass():
+    rng = random.Random(2)
+    docs, labels = sample(120)
+    model = toxicity.train([t for _, t, _ in docs], [y for _, y in labels])
+    texts = [" ".join(rng.choices(["abc", "rotten", "é", "a", "vilestxyl", "kkk", "zzzzz"], k=n)) for n in (1, 2, 30, 48, 49, 61, 100)]
+    got = toxicity.score_texts(model, *tokens.column_bytes(pa.array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        words, starts = text.split(), [0]
+        while starts[-1] + toxicity.WINDOW < len(words):
+            starts.append(starts[-1] + toxicity.STRIDE)
+        best = max(plain_logit(model, words[s : s + toxicity.WINDOW]) for s in starts)
+        a, b = model.scale
+        assert abs(score - 1 / (1 + np.exp(-(a * best + b)))) < 1e-4
+
+
 def test_one_class_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", ""), (2, "c", "")], DOCS)
     model = train_toxicity_model(df, spark.createDataFrame([(1, 0), (2, 0)], LABELS), ~held_out("doc_id", 4, 2))

@@ -11,6 +11,9 @@ Learning takes at most PER_CLASS labelled documents of each class, whole texts,
 Labels are those of documents, so windows of toxic documents are chosen in rounds: first by log odds of their
 words and grams, then by the network's own scores.
 Null, empty and wordless texts score 0. Where only one class was labelled, every score is 0.
+A score depends on the row's own text and the model alone: rows without an id, of one id, or equal are scored each, and
+other columns are ignored. Labels without an id, or other than 0 and 1, teach nothing; repeated ones count once, and an
+id labelled both 0 and 1 is toxic. All texts of a chosen id are learned from, so rows that share an id add to the bound.
 """
 
 from __future__ import annotations
