@@ -70,7 +70,7 @@ def test_empty_tables(spark):
 
 def brute_longest(text, items):
     """(words, first word) of the longest common run that holds a window."""
-    best, first, w = 0, None, words(text)
+    best, first, w = 0, -1, words(text)
     for _, t in items:
         v, before = words(t), [0] * (len(w) + 1)
         for x in v:
@@ -148,5 +148,5 @@ def test_longest_matches_of_repetitive_texts():
     tests = suffix_search.make_tests(list(range(len(items))), items, 10)
     w = suffix_search.tokens.scan(*suffix_search.tokens.column_bytes(pa.array(texts)), suffix_search.tokens.PUNCT, lower=True)
     found = suffix_search.scan_shard(tests, w)
-    got = [(n, p - b if n else None) for n, p, b in zip(found.longest.tolist(), found.first.tolist(), w.bounds.tolist())]
+    got = [(n, p - b if n else -1) for n, p, b in zip(found.longest.tolist(), found.first.tolist(), w.bounds.tolist())]
     assert got == [brute_longest(t, list(enumerate(items))) for t in texts]

@@ -276,7 +276,7 @@ def _block(tests, first: bool, last: bool):
                 ids = batch.column(0).slice(a, b - a)
                 if last:
                     sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-                    yield rows(_OUT, [ids, n, n_hit, [len(x) for x in items], sha, n_hit > 0, longest, pa.array(start, mask=longest == 0)])
+                    yield rows(_OUT, [ids, n, n_hit, [len(x) for x in items], sha, n_hit > 0, longest, start])
                 else:
                     bits = [np.packbits(hit[w.bounds[k] : w.bounds[k + 1]]).tobytes() if n_hit[k] else b"" for k in range(b - a)]
                     yield rows(_STATE, [ids, batch.column(1).slice(a, b - a), n, bits, items, longest, start])
@@ -295,7 +295,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words, 0 where no window occurs), longest_first_word (the first of those that begin such a match, from 0; null without)."""
+    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words, 0 where no window occurs), longest_first_word (the first of those that begin such a match, from 0; -1 without)."""
     spark = docs.sparkSession
     items, blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
     state = id_and_text(docs, id_col, text_col)
