@@ -30,9 +30,9 @@ from weftlink.llm.tokens import mix
 PER_CLASS = 300
 LANDMARKS = 128
 ORDERS = 4
-SLOT_BITS = 22
-BATCH_CHARS = 400_000
-BATCH_CELLS = 4_000_000
+SLOT_BITS = 20
+BATCH_CHARS = 150_000
+BATCH_CELLS = 2_000_000
 RIDGE = 1e-2
 UNKNOWN = "und"
 
