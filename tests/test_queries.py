@@ -10,7 +10,7 @@ from weftlink.streaming.arrivals import stream_candidates
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["normalize_name", "address_anchors", "metaphone_keys", "score_channel_wp", "score_channel_ph", "score_channel_pn", "candidates_with_phonetics", "topk_candidates", "plain_features", "macro_f05", "threshold_sweep", "grid_sweep", "roc_auc", "candidate_recall", "validator_outside_candidates", "sampled_targets"]
+QUICK = ["normalize_name", "address_anchors", "metaphone_keys", "score_channel_wp", "score_channel_ph", "score_channel_pn", "candidates_with_phonetics", "topk_candidates", "plain_features", "macro_f05", "threshold_sweep", "grid_sweep", "roc_auc", "candidate_recall", "validator_outside_candidates", "validator_findings", "sampled_targets"]
 
 
 @pytest.fixture(scope="module")

@@ -59,3 +59,32 @@ def test_written_lists_are_valid(spark, folder):
     assert part.read_text() == HEAD + "S1-1\tS2-1\nS1-2\t\n"
     back = tsv.read_tsv(spark, f"{folder}/out", tsv.GROUND_TRUTH)
     assert tsv.parse_id_lists(back, *tsv.GROUND_TRUTH.names).where(F.size("ids") == 0).count() == 1
+
+
+def test_all_findings_in_one_pass(spark, folder):
+    """Both files are sent by one exchange and summed by another; an id of all lists and an entity of all rows are summed before."""
+    rows = spark.range(3000).select(F.col("id").alias("line"), F.when(F.col("id") % 3 == 0, F.lit("S1-1")).otherwise(F.concat(F.lit("S1-"), "id")).alias("s1"), F.array(F.lit("S2-1"), F.lit("S1-9"), F.concat(F.lit("X"), F.col("id") % 7)).alias("ids"))
+    required = spark.createDataFrame([("S1-1",), ("S1-1",), ("S1-x",)], "entity_id string")
+    found = V.summary(V.offences({n: V.row_messages(rows, n) for n in ("matching", "candidate")}, required, required.select(F.lit("S2-2").alias("entity_id"))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    got = {(r["file"], r["rule"]): (r["n"], r["examples"]) for r in found.collect()}
+    others = sorted(f"S1-{i}" for i in range(3000) if i % 3)
+    want = {"rows": (3000, []), V.SEVERAL: (1, ["S1-1"]), V.SELF: (1, ["S1-9"]), V.PREFIX: (7, [f"X{i}" for i in range(5)]), V.MISSING: (1, ["S1-x"]), V.EXTRA: (1999, [i for i in others if i != "S1-1"][:5]), V.UNKNOWN: (1, ["S2-1"])}
+    assert got == {(f, r): v for f in ("matching", "candidate") for r, v in want.items()}
+
+
+def test_rows_of_an_entity_that_repeats(spark):
+    """The last row is compared with the candidates; an entity without a candidate row has none; empty files give no findings."""
+    rows = lambda *r: spark.createDataFrame(list(r), "line long, s1 string, ids array<string>")
+    matching = rows((2, "S1-1", ["S2-1"]), (3, "S1-1", ["S2-9"]), (4, "S1-2", ["S2-1"]), (5, "S1-3", []), (6, "S1-4", ["S2-2", "S2-2"]))
+    candidate = rows((2, "S1-1", ["S2-1"]), (2, "S1-4", ["S2-2"]))
+    assert {r["item"] for r in V.outside_candidates(matching, candidate).collect()} == {"S1-1", "S1-2"}
+    assert {r["item"] for r in V.repeated_ids(matching).collect()} == {"S1-4"}
+    assert V.summary(V.offences({"matching": V.row_messages(matching.limit(0), "matching")})).collect() == []
+
+
+def test_files_that_are_no_lists(spark, folder):
+    (folder / "candidate.tsv").write_bytes(b"source1_entity_id\tcandidate_entity_ids\nS1-1\t\xff\n")
+    assert check(spark, folder, HEAD + "\nS1-1\tS2-1\noops\n") == (["not UTF-8 text", "no tab", "required entity missing"], [])
+    assert V.validate_outputs(spark, f"{folder}/matching.tsv", f"{folder}/none.tsv", str(folder))[1] == [("ids", "existence isn't checked", 1, []), ("candidate", "not found", 1, [])]

@@ -369,6 +369,10 @@ def _faulty_rows(spark, d):
     return once.unionByName(once.where("line % 47 = 1").withColumn("line", F.col("line") + 1_000_000_000).withColumn("ids", F.array(F.lit("S2-1"))))
 
 
+def _candidate_rows(spark, d):
+    return fixtures.ground_truth(spark, d).select(F.lit(1).alias("line"), F.col("source1_entity_id").alias("s1"), F.split("matched_entity_ids", ",").alias("ids"))
+
+
 @_query
 def validator_duplicate_rows(spark, d):
     return V.duplicate_rows(_faulty_rows(spark, d))
@@ -406,8 +410,14 @@ def validator_extra_rows(spark, d):
 
 @_query
 def validator_outside_candidates(spark, d):
-    cand = fixtures.ground_truth(spark, d).select(F.lit(1).alias("line"), F.col("source1_entity_id").alias("s1"), F.split("matched_entity_ids", ",").alias("ids"))
-    return V.outside_candidates(_faulty_rows(spark, d), cand)
+    return V.outside_candidates(_faulty_rows(spark, d), _candidate_rows(spark, d))
+
+
+@_query
+def validator_findings(spark, d):
+    """All rules over both lists at once."""
+    sent = {"matching": V.row_messages(_faulty_rows(spark, d), "matching"), "candidate": V.row_messages(_candidate_rows(spark, d), "candidate")}
+    return V.summary(V.offences(sent, fixtures.sources(spark, d)[0], fixtures.targets(spark, d))).withColumn("examples", _join("examples"))
 
 
 @_query

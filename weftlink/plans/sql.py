@@ -257,6 +257,20 @@ select round((sum(case when y = 1 then r end) - sum(y) * (sum(y) + 1) / 2.0) / (
         "validator_extra_rows": faulty + "select distinct s1 item from faulty where s1 not in (select entity_id from s1)",
         "validator_outside_candidates": faulty + """, last as (select s1, unnest(ids) id from faulty qualify row_number() over (partition by s1 order by line desc) = 1)
 select distinct s1 item from last where not exists (select 1 from truth where s1_id = s1 and list_contains(string_split(ids, ','), id))""",
+        "validator_findings": faulty + """, lists as (select 'matching' file, line, s1, ids from faulty union all select 'candidate', 1, s1_id, string_split(ids, ',') from truth),
+items as (select distinct file, unnest(ids) item from lists),
+last as (select s1, unnest(ids) id from faulty qualify row_number() over (partition by s1 order by line desc) = 1),
+broken as (select file, 'entity on several rows' rule, 'error' severity, s1 item from lists group by file, s1 having count(*) > 1
+  union all select distinct file, 'id repeated in a list', 'error', s1 from lists where len(ids) <> len(list_distinct(ids))
+  union all select file, 'source-1 id in a list', 'error', item from items where item like 'S1-%'
+  union all select file, 'id without S2- or S3-', 'error', item from items where not regexp_matches(item, '^S[123]-')
+  union all select file, 'unknown id', 'error', item from items where regexp_matches(item, '^S[23]-') and item not in (select entity_id from targets)
+  union all select f.file, 'required entity missing', 'error', r.entity_id from s1 r, (select distinct file from lists) f where not exists (select 1 from lists l where l.file = f.file and l.s1 = r.entity_id)
+  union all select distinct file, 'entity not asked for', 'error', s1 from lists where s1 not in (select entity_id from s1)
+  union all select distinct 'matching', 'match is no candidate', 'warning', s1 from last where not exists (select 1 from truth where s1_id = s1 and list_contains(string_split(ids, ','), id)))
+select file, rule, severity, count(*) n, array_to_string(list_sort(list(item))[1:5], '|') examples from broken group by 1, 2, 3
+union all select file, 'rows', 'info', count(*), '' from lists group by 1
+union all select file, 'empty rows', 'info', count(*), '' from lists where len(ids) = 0 group by 1""",
         "validator_counts": faulty + "select count(*) n_rows, cast(count(*) filter (len(ids) = 0) as bigint) n_empty, cast(count(*) filter (len(ids) > 0) as bigint) n_listed from faulty",
         "validation_sample": sampled + "select entity_id, business_name, business_address, country from sampled",
         "sampled_truth": sampled + "select s1_id source1_entity_id, ids matched_entity_ids from truth where s1_id in (select entity_id from sampled)",

@@ -47,8 +47,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return ids_of(read_lines(spark, path).where(F.col("line") > 1))
 
 
+def first_fields(lines: DataFrame) -> DataFrame:
+    """Trimmed first fields of non-blank lines, repeats included."""
+    return lines.where(F.trim("value") != "").select(F.trim(F.substring_index("value", "\t", 1)).alias("entity_id"))
+
+
 def ids_of(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("value") != "").select(F.trim(F.substring_index("value", "\t", 1)).alias("entity_id")).distinct()
+    return first_fields(lines).distinct()
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
