@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from weftlink.llm import tokens, toxicity
 from weftlink.llm.language_id import held_out
@@ -126,6 +127,18 @@ def test_one_class_and_empty(spark):
     assert score_toxicity(df.limit(0), model).collect() == []
 
 
+def test_repeated_rows_do_not_fill_the_sample(spark, monkeypatch):
+    """Rows of one id, in either table, are one document to learn from; an id of both labels is toxic."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 3)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: list(zip(texts, labels, strict=True)))
+    docs = spark.createDataFrame([(i, f"text {i}", "") for i in range(8)] + [(0, t, "") for t in ("a", "", None, "b")] * 50, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(i, i % 2) for i in (0, 1)] * 200 + [(2, 1), (None, 1), (3, None), (3, 7)], LABELS)
+    got = train_toxicity_model(docs, labels, F.lit(True))
+    assert sorted(y for _, y in got) == [0, 0, 0, 1, 1, 1] and len({t for t, _ in got}) == 6
+    by_text = dict(got)
+    assert by_text["a"] == 0 and "text 0" not in by_text and by_text.get("text 2", 1) == 1
+
+
 def test_passages_are_whole_in_a_window_at_every_offset():
     longest, n = toxicity.WINDOW - toxicity.STRIDE + 1, 200
     assert longest >= 0.75 * toxicity.WINDOW

@@ -13,7 +13,7 @@ words and grams, then by the network's own scores.
 Null, empty and wordless texts score 0. Where only one class was labelled, every score is 0.
 A score depends on the row's own text and the model alone: rows without an id, of one id, or equal are scored each, and
 other columns are ignored. Labels without an id, or other than 0 and 1, teach nothing; repeated ones count once, and an
-id labelled both 0 and 1 is toxic. All texts of a chosen id are learned from, so rows that share an id add to the bound.
+id labelled both 0 and 1 is toxic. Of rows that share a chosen id the smallest text that isn't empty is learned from.
 """
 
 from __future__ import annotations
@@ -308,7 +308,7 @@ def score_texts(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> n
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, trainable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """trainable: a condition on labels' id column. The chosen ids are at most 2 * PER_CLASS, so they go to every task."""
     spark = docs.sparkSession
-    named = labels.where(trainable).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    named = labels.where(trainable).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     ids = {}
     for y in (0, 1):
         for r in named.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(PER_CLASS).collect():
@@ -319,8 +319,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, trainable, id_col:
         for b in batches:
             yield b.filter(pa.array(np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), wanted.value) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
 
-    got = id_and_text(docs, id_col, text_col).mapInArrow(chosen, "_id long, _text string").collect()
-    got = sorted((r["_id"], r["_text"]) for r in got if r["_text"])
+    got = id_and_text(docs, id_col, text_col).mapInArrow(chosen, "_id long, _text string").where("_text <> ''").groupBy("_id").agg(F.min("_text").alias("_text"))
+    got = sorted((r["_id"], r["_text"]) for r in got.collect())
     return train([t for _, t in got], [ids[i] for i, _ in got])
 
 
