@@ -112,3 +112,21 @@ def test_normalisation_takes_every_script_without_python(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.normalize_text(F.col("t")).alias("n"))
     assert {r["t"]: r["n"] for r in df.collect()} == cases
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_metaphone_strips_a_word_once(spark):
+    """Not anew for every rule of every letter."""
+    words = spark.createDataFrame([("knight",), ("",), (None,), ("42",)], "w string").select(T.metaphone(F.col("w")).alias("code"))
+    assert words._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4
+    assert [r["code"] for r in words.collect()] == ["NT", "", None, ""]
+
+
+def test_inputs_are_spread_by_their_rows(spark, tmp_path):
+    """A narrow table of many rows is dealt out by rows, not by its few bytes."""
+    from weftlink.operators import fixtures
+
+    data = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{data}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey")):
+        spark.range(12_000).join(spark.read.parquet(f"{data}/{table}.parquet").drop(key).limit(1)).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert fixtures.sources(spark, str(tmp_path))[0].rdd.getNumPartitions() == 3
