@@ -202,3 +202,22 @@ def test_samples(spark):
     assert S.first_per_country(df, 2).count() == 4
     links = spark.createDataFrame([("S1-9",)], "tgt_id string")
     assert {r["entity_id"] for r in S.targets_with_distractors(df, links, 2).collect()} == {"S1-9", "S1-0", "S1-1"}
+
+
+def test_a_left_entitys_lists_are_summed_in_groups_of_many(spark):
+    """Neither a Python group for each left entity, nor pairs that are shuffled to look up their ids, nor keys that are made twice."""
+    rows = [(f"S{1 + i % 2}-{i}", f"name{i % 40} word{i % 7}", "", "US") for i in range(1200)]
+    a, b = (B.records(spark.createDataFrame([r for r in rows if r[0].startswith(p)], ENTITY)) for p in ("S1", "S2"))
+    config = B.BlockingConfig(channels=("tok",))
+    fetched = B._fetched(a, b, config)
+    assert fetched.select("bucket").distinct().count() == 3 and fetched.rdd.getNumPartitions() == 1
+    plan = B.score_pairs(a, b, config)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Join") and "transform(" not in plan
+
+
+def test_any_id_comes_back(spark):
+    ids = ["S2-1", "a\nb", "a\\nb", "\\", "\\0", "", None, "é\\\n"]
+    a = B.records(spark.createDataFrame([("S1\n1", "rare", "", "US"), (None, "rare", "", "US")], ENTITY))
+    b = B.records(spark.createDataFrame([(i, "rare", "", "US") for i in ids], ENTITY))
+    got = B.score_pairs(a, b, B.BlockingConfig(channels=("tok",))).collect()
+    assert {(r["s1_id"], r["tgt_id"]) for r in got} == {(s, t) for s in ("S1\n1", None) for t in ids} and len(got) == 2 * len(ids)
