@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from weftlink.operators import blocking as B
@@ -221,3 +222,43 @@ def test_any_id_comes_back(spark):
     b = B.records(spark.createDataFrame([(i, "rare", "", "US") for i in ids], ENTITY))
     got = B.score_pairs(a, b, B.BlockingConfig(channels=("tok",))).collect()
     assert {(r["s1_id"], r["tgt_id"]) for r in got} == {(s, t) for s in ("S1\n1", None) for t in ids} and len(got) == 2 * len(ids)
+
+
+def test_lists_travel_as_bytes_without_gaps(spark):
+    """Targets' numbers lie 2**33 apart between partitions; in lists they take four bytes, and ranks and ids are the same with eight."""
+    rows = [(f"S{1 + i % 2}-{i}", f"name{i % 40} word{i % 7}", "", "US") for i in range(1200)]
+    a, b = (B.records(spark.createDataFrame([r for r in rows if r[0].startswith(p)], ENTITY)) for p in ("S1", "S2"))
+    config = B.BlockingConfig(channels=("tok",))
+    step, width = B._step(b)
+    uids = {r["uid"] for r in b.select("uid").collect()}
+    assert width == 4 and max(uids) > 1 << 33 and step >= 600 // 8
+    sizes = set()
+    for numbering in ((step, 4), (step, 8), (B.PLACES, 8)):
+        found = B._fetched(a, b, config, numbering=numbering)
+        lists = [B._numbers([bytes(r["found"])], numbering[1]) for r in found.select("found").distinct().collect()]
+        assert all((x[1:] > x[:-1]).all() for x in lists)
+        assert {int(n) // numbering[0] * B.PLACES + int(n) % numbering[0] for x in lists for n in x} == uids
+        sizes.add(frozenset(map(len, lists)))
+    assert len(sizes) == 1
+    assert B._step(b.where("false")) == (1, 4)
+
+
+def test_a_querys_repeated_address_keys_are_rows(spark):
+    row = ("x", "Alpha Alpha", "Flat 12, 12 MG Road, Near SBI ATM, Bengaluru 560001", "India")
+    df = B.records(spark.createDataFrame([row], ENTITY))
+    keys = lambda index: B._hashed_keys(df, ("tok", "npc"), index)
+    count = lambda index: {c: sorted(r["n"] for r in keys(index).where(F.col("channel") == c).groupBy("k").agg(F.count("*").alias("n")).collect()) for c in ("tok", "npc")}
+    assert count(False) == {"tok": [1], "npc": [1, 2]} and count(True) == {"tok": [1], "npc": [1, 1]}
+
+
+def test_best_of_runs_against_sorting():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sizes = rng.integers(1, 900, 5)
+        begin, top_k = np.cumsum(sizes) - sizes, int(rng.integers(6, 30))
+        score = np.round(rng.random(sizes.sum()), int(rng.integers(0, 4)))
+        name = np.round(rng.random(len(score)), 1) * (rng.random(len(score)) < 0.5)
+        at, run, rank = B._chosen(name, score, begin, top_k)
+        for r, (b, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
+            want = chosen([(i, name[i], 0.0, score[i]) for i in range(b, b + n)], top_k)
+            assert at[run == r].tolist() == want and rank[run == r].tolist() == list(range(1, len(want) + 1))
