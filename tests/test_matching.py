@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import importlib
 import random
 
 import numpy as np
@@ -262,3 +263,10 @@ def test_best_of_runs_against_sorting():
         for r, (b, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
             want = chosen([(i, name[i], 0.0, score[i]) for i in range(b, b + n)], top_k)
             assert at[run == r].tolist() == want and rank[run == r].tolist() == list(range(1, len(want) + 1))
+
+
+def test_six_digits_like_round(spark):
+    df = spark.range(0, 40000).select((F.col("id") * 0.000123457 + F.lit(0.0)).alias("x"), F.lit(0.0).alias("y")).select(F.round("x", 9).alias("x"), "y")
+    six = importlib.import_module("weftlink.plans.queries")._six_digits
+    assert df.where((F.abs(six("x") - F.round("x", 6)) > 1.1e-6) | (six("y") != 0)).count() == 0
+    assert df.where((six("x") != F.round("x", 6)) & (F.pmod(F.round(F.col("x") * 1e9), F.lit(1000)) != 500)).count() == 0
