@@ -147,3 +147,18 @@ def test_passages_are_whole_in_a_window_at_every_offset():
     words = tokens.scan(*tokens.column_bytes(pa.array([f"bad{k}" for k in range(longest)])), tokens.PUNCT, lower=True).hashes
     whole = np.isin(np.append(t.hashes, np.uint64(0))[t.windows], words).sum(1) == longest
     assert set(t.doc[whole].tolist()) == set(range(len(texts)))
+
+
+def test_windows_score_as_in_training():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["ab", "cde", "fghi", "xyzzy", "q"], k=n)) for n in (1, 3, 47, 48, 49, 60, 200)] + ["", " . "]
+    r = lambda *s: np.random.default_rng(len(s)).standard_normal(s).astype(np.float32)
+    h, e = toxicity.HIDDEN, toxicity.EMBED
+    p = {"word": r(1, e), "gram": r(1 << toxicity.GRAM_BITS, e), "wx": r(2 * e, 6 * h), "bx": r(6 * h), "uf": r(h, 3 * h), "ub": r(h, 3 * h) * 2, "wa": r(2 * h, h), "va": r(h), "wo": r(2 * h), "bo": r(1)}
+    model = toxicity.Model(np.zeros(0, np.uint64), p)
+    t = toxicity.read(*tokens.column_bytes(pa.array(texts, pa.large_string())))
+    x = toxicity._vectors(model, t, np.arange(len(t.hashes)))
+    got = toxicity.window_logits(model, t)
+    assert len(got) == len(t.windows) and np.abs(got - toxicity._forward(model, x, t.windows)[0]).max() < 1e-4
+    # numpy's tanh takes about four times as long as its exp: none may be left where every text is scored
+    assert not {"tanh", "_layer", "_forward"} & {*toxicity.window_logits.__code__.co_names, *toxicity._states.__code__.co_names}
