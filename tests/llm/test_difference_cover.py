@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import types as T
+from weftlink.llm import routed
 from weftlink.llm.difference_cover import suffix_array, suffix_array_dedup, without_repeats
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("doc", T.StringType())])
@@ -85,3 +87,19 @@ def test_repeated_and_missing_ids(spark):
     assert got == want
     kept = sorted(without_repeats(df).select("doc_id", "text").collect(), key=str)
     assert [tuple(r) for r in kept] == sorted([(1, ""), (2, ""), (2, "unique " + "xyz" * 60), (None, "own text"), (None, ""), (None, ""), (7, None), (7, "")], key=lambda r: str(Row(doc_id=r[0], text=r[1])))
+
+
+def test_runs_are_laid_out_a_few_at_a_time():
+    size, window = 1000, 200
+    many = 4000
+    units = np.random.default_rng(5).integers(0, 256, many * size, dtype=np.uint8)
+    anchor, content = (np.arange(many, dtype=np.uint64) for _ in range(2))
+    order = np.random.default_rng(6).permutation(many)
+    tracemalloc.start()
+    windows, flat, starts, place, _ = routed.distinct_runs(anchor[order], content, np.full(many, size - window + 1), units, np.arange(many), window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(units)  # places of all units at once take 8 bytes and more for each
+    assert len(flat) == starts[-1] == len(units) and set(windows) == {size - window + 1}
+    for i in (0, 1, 17, many - 1):
+        assert flat[starts[place[i]] : starts[place[i] + 1]].tolist() == units[i * size : (i + 1) * size].tolist()

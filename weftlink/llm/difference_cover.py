@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import routed, tokens
-from weftlink.llm.sessions import id_and_text, released, row_key
+from weftlink.llm.sessions import id_and_text, released, released_group, row_key
 
 WINDOW, GRAM = 200, 24
-SHARD = 900_000
+SHARD = 500_000
+#: Bytes of texts whose windows are laid out at a time, at over 100 bytes each.
+SLICE = 500_000
 #: A document is known by its row's key.
 WHO = (np.int64,)
 
@@ -97,8 +99,8 @@ def repeated_windows(units: np.ndarray, starts: np.ndarray, windows: np.ndarray,
     """Flags of all windows, run after run: the window's bytes start a second time; many: the run stands at several places."""
     size = np.diff(starts)
     # runs side by side, a separator behind each
-    text = np.ones(starts[-1] + len(size), np.int64)
-    text[routed.take_units(starts[:-1] + np.arange(len(size)), size)] = units.astype(np.int64) + 2
+    text = np.ones(starts[-1] + len(size), np.int16)
+    text[routed.take_units(starts[:-1] + np.arange(len(size)), size)] = units.astype(np.int16) + 2
     sa = suffix_array(text)
     begin = starts[:-1] + np.arange(len(size))
     is_window = np.zeros(len(text), bool)
@@ -130,7 +132,7 @@ def _slices(gram: int):
     def of(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for a, b, data, off in tokens.slices(batch.column(1)):
+            for a, b, data, off in tokens.slices(batch.column(1), SLICE):
                 yield {"who": (keys[a:b],), "bounds": off, "units": data, "grams": tokens.mix(tokens.rolling(data, gram), 31)}
 
     return of
@@ -150,8 +152,8 @@ def _shard(window: int, buckets: int):
         flags = [repeated_windows(units[starts[a] : starts[b]], starts[a : b + 1] - starts[a], windows[a:b], many[a:b], window) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         flags = np.concatenate(flags) if flags else np.zeros(0, bool)
         own = np.concatenate([[0], np.cumsum(windows)])
-        take = routed.take_units(own[place], windows[place])
-        return routed.span_rows(*routed.spans_of(flags[take], np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets=buckets)
+        placed = routed.taken(flags, own[place], windows[place])
+        return routed.span_rows(*routed.spans_of(placed, np.concatenate([[0], np.cumsum(windows[place])]), window, doc, first), buckets=buckets)
 
     return run
 
@@ -198,7 +200,7 @@ def _found(plain: DataFrame, window: int, gram: int) -> tuple[DataFrame, int]:
     slices = _slices(gram)
     bits = spark.sparkContext.broadcast(routed.repeated_filter(plain, slices, buckets, window - gram + 1))
     sent = plain.mapInArrow(released(routed.send(slices, bits, buckets, window, gram)), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
-    return sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA), buckets
+    return sent.groupBy("bucket").applyInArrow(released_group(_shard(window, buckets)), routed.BLOB_SCHEMA), buckets
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftlink.llm import routed, tokens
-from weftlink.llm.sessions import id_and_text, released, row_key
+from weftlink.llm.sessions import id_and_text, released, released_group, row_key
 
 WINDOW, GRAM = 13, 4
 SHARD = 1_500_000
@@ -217,6 +217,6 @@ def fm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     slices, own = _slices(gram), plain.where("_id is not null")
     bits = spark.sparkContext.broadcast(routed.repeated_filter(own, slices, buckets, window - gram + 1))
     sent = own.mapInArrow(released(routed.send(slices, bits, buckets, window, gram)), routed.BLOB_SCHEMA).repartition(buckets, "bucket")
-    spans = sent.groupBy("bucket").applyInArrow(_shard(window, buckets), routed.BLOB_SCHEMA)
+    spans = sent.groupBy("bucket").applyInArrow(released_group(_shard(window, buckets)), routed.BLOB_SCHEMA)
     out = routed.cut_documents(plain, spans, buckets, WHO, _finish(keep_text), _OUT).withColumnRenamed("doc", id_col)
     return out if keep_text else out.drop("kept")

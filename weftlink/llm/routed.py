@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
-from weftlink.llm.sessions import dealt, pack, released, rows, unpack_all
+from weftlink.llm.sessions import dealt, give_back, pack, released, released_group, rows, unpack_all
 
 FILTER_BITS = 27
 PARTS = 64
 FLUSH_ANCHORS = 2_000_000
 FLUSH_UNITS = 4_000_000
 BUCKET_BYTES = 16_000_000
+#: Units whose places are laid out at a time; a place takes 8 bytes, a unit 1.
+TAKE_UNITS = 500_000
 
 _BLOBS = [("bucket", pa.int32()), ("blob", pa.binary())]
 BLOB_SCHEMA = "bucket int, blob binary"
@@ -126,9 +128,9 @@ def _bits(table: pa.Table) -> pa.Table:
 
 
 def repeated_filter(docs: DataFrame, slices_of: Callable, buckets: int, width: int) -> np.ndarray:
-    found = docs.mapInArrow(released(_count(slices_of, buckets, width)), BLOB_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, BLOB_SCHEMA)
+    found = docs.mapInArrow(released(_count(slices_of, buckets, width)), BLOB_SCHEMA).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(released_group(_repeated), BLOB_SCHEMA)
     out = np.zeros((PARTS, (1 << FILTER_BITS) // PARTS // 8), np.uint8)
-    for r in found.groupBy("bucket").applyInArrow(_bits, BLOB_SCHEMA).toLocalIterator():
+    for r in found.groupBy("bucket").applyInArrow(released_group(_bits), BLOB_SCHEMA).toLocalIterator():
         out[r["bucket"]] = np.frombuffer(bytes(r["blob"]), np.uint8)
     return out.ravel()
 
@@ -173,6 +175,18 @@ def take_units(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
+def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[take_units(starts, sizes)], laid out for some stretches at a time."""
+    ends = np.cumsum(sizes)
+    out, i = np.empty(ends[-1] if len(ends) else 0, values.dtype), 0
+    while i < len(sizes):
+        begin = ends[i] - sizes[i]
+        j = max(i + 1, int(np.searchsorted(ends, begin + TAKE_UNITS, "right")))
+        out[begin : ends[j - 1]] = values[take_units(starts[i:j], sizes[i:j])]
+        i = j
+    return out
+
+
 def distinct_runs(anchor, content, windows, units, run, window: int):
     """Equal runs become one: (windows, units side by side, their starts, new run of each place), in the order of anchors."""
     size = windows + window - 1
@@ -183,7 +197,7 @@ def distinct_runs(anchor, content, windows, units, run, window: int):
     name = np.empty(len(o), np.int64)
     name[o] = np.cumsum(new) - 1
     keep = o[new]
-    flat = units[take_units(starts[keep], size[keep])]
+    flat = taken(units, starts[keep], size[keep])
     return windows[keep], flat, np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int64), name[run], anchor[keep]
 
 
@@ -210,7 +224,7 @@ def send(slices_of: Callable, bits, buckets: int, window: int, gram: int):
                 name = np.empty(len(o), np.int32)
                 name[o] = np.cumsum(new) - 1
                 k = o[new]
-                m_out.append(message((a[k], c[k], n[k].astype(np.int32)), units[take_units(s[k], n[k] + window - 1)], (name, *d, f.astype(np.int32))))
+                m_out.append(message((a[k], c[k], n[k].astype(np.int32)), taken(units, s[k], n[k] + window - 1), (name, *d, f.astype(np.int32))))
                 b_out.append(b)
             return rows(_BLOBS, [b_out, m_out])
 
@@ -222,7 +236,7 @@ def send(slices_of: Callable, bits, buckets: int, window: int, gram: int):
                 continue
             own = np.searchsorted(s["bounds"], at, "right") - 1
             sizes = n + window - 1
-            units = s["units"][take_units(at, sizes)]
+            units = taken(s["units"], at, sizes)
             cut = np.concatenate([[0], np.cumsum(sizes)])
             held.append((units, anchor, contents(units, cut), n, cut[:-1] + size, at - s["bounds"][own], *[c[own] for c in s["who"]]))
             size += int(sizes.sum())
@@ -253,7 +267,10 @@ def cut_documents(docs: DataFrame, spans: DataFrame, buckets: int, who: tuple, f
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         types = (np.int64, np.int64, *who)
-        return finish(left, *(unpack_all(right.column("blob"), *types) if right.num_rows else [np.zeros(0, t) for t in types]))
+        try:
+            return finish(left, *(unpack_all(right.column("blob"), *types) if right.num_rows else [np.zeros(0, t) for t in types]))
+        finally:
+            give_back()
 
     return docs.withColumn("bucket", F.pmod("_key", F.lit(buckets)).cast("int")).groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(meet, schema)
 
