@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from weftlink.llm.shards import _encoder, export_files, feistel, materialise, read_slots
+from weftlink.llm.shards import _encoded, _encoder, _encoder_without_runs, export_files, feistel, materialise, read_slots
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("slot", T.StringType()), T.StructField("part", T.StringType())])
@@ -22,6 +23,23 @@ def test_permutation(n):
         assert feistel(np.arange(n), n, 1).tolist() != feistel(np.arange(n), n, 2).tolist()
 
 
+def test_texts_without_runs_of_space_need_no_look_ahead():
+    rng = random.Random(4)
+    signs = ["a", "Ä", "'s", "'", "12", "%%", "漢", "🙂", "\x1c", "e\u0301", " ", "  ", "\t", "\n", "\x0b", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(20_000)] + [None, "", " ", "\n\n", "x ", "x  y"]
+    encoder, end = _encoder(PATH)
+    want = [np.array([*encoder.encode_ordinary(t), end], "<u2").tobytes() if t else b"" for t in texts]
+    assert list(_encoded(PATH, pa.array(texts))) == want
+    # the quick pattern is there, and would be wrong on runs
+    assert "(?!" not in _encoder_without_runs(PATH)._pat_str and _encoder_without_runs(PATH).encode_ordinary("x  y") != encoder.encode_ordinary("x  y")
+
+
+def test_shards_are_dealt_without_a_pass_for_ranges(spark):
+    df = spark.createDataFrame([(i, "word " * 40, "", "") for i in range(50)], SCHEMA)
+    plan = materialise(df, PATH, key=1, length=4, shard_slots=16)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange") == 1
+
+
 def test_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(1, None), (2, ""), (3, "x"), (4, "été 漢字 🙂"), (4, "été 漢字 🙂"), (5, " ".join(rng.choices(["alpha", "beta", "gamma"], k=20_000)))]

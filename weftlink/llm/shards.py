@@ -5,7 +5,7 @@
    made, so later reads agree whatever is lost.
 2. Counts of the ranges give every sequence its number 0..N-1; a keyed Feistel network over the smallest even
    power of two not under N, walked until it falls below N, permutes numbers into slots.
-3. Slots are dealt by range: one group holds the slots of one shard, and writes them at slot * stride.
+3. Slots are dealt by shard: one group holds the slots of one shard, and writes them at slot * stride.
 
 Shards are rows: (shard, first_slot, n_slots, stride, sha256, doc_ids, seqs, lengths, payload); payload is
 little-endian unsigned 16-bit ids, padded with the end mark. The permutation spreads any hot source evenly.
@@ -20,10 +20,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,20 +69,49 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
+# where the pattern ends so, it looks ahead only for a run of white space before a word, which leaves its last one to the word
+_AHEAD = r"|\s+(?!\S)|\s+"
+_RUN_OF_SPACE = r"[\t-\r\x{85}\p{Z}]{2}"
+
+
+def _encoder_without_runs(path: str):
+    """The encoder for texts in which no two white spaces meet: the same ids without looking ahead, which is slow."""
+    key = path, "without runs"
+    if key not in _ENCODERS:
+        import tiktoken
+
+        encoder, _ = _encoder(path)
+        pattern = encoder._pat_str
+        if pattern.endswith(_AHEAD):
+            encoder = tiktoken.Encoding("byte-bpe", pat_str=pattern.removesuffix(_AHEAD) + r"|\s+", mergeable_ranks=encoder._mergeable_ranks, special_tokens={})
+        _ENCODERS[key] = encoder
+    return _ENCODERS[key]
+
+
+def _encoded(path: str, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text and the end mark, as little-endian unsigned 16-bit integers; nothing for null and empty texts."""
+    (encoder, end), plain = _encoder(path), _encoder_without_runs(path)
+    for text, runs in zip(texts, pc.match_substring_regex(texts, _RUN_OF_SPACE).to_pylist(), strict=True):
+        text = text.as_py()
+        if not text:
+            yield b""
+            continue
+        ids = array("H", (encoder if runs else plain).encode_ordinary(text))
+        ids.append(end)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        yield ids.tobytes()
+
+
 _SEQS = [("part", pa.int32()), ("pos", pa.int64()), ("doc", pa.int64()), ("seq", pa.int32()), ("ids", pa.binary())]
 
 
 def _tokenise(path: str, length: int):
     def run(batches):
-        encoder, end = _encoder(path)
         part, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
             doc, seq, ids = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                if not text:
-                    continue
-                flat = np.array([*encoder.encode_ordinary(text), end], "<u2").tobytes()
+            for d, flat in zip(batch.column(0).to_pylist(), _encoded(path, batch.column(1)), strict=True):
                 cut = range(0, len(flat), 2 * length)
                 ids += [flat[i : i + 2 * length] for i in cut]
                 seq += range(len(cut))
@@ -132,7 +164,8 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, id_col: str = "doc_id
     placed = seqs.mapInArrow(place, "shard long, slot long, doc long, seq int, ids binary")
     shards = max(1, -(-n // shard_slots))
     tasks = max(1, min(shards, spark.sparkContext.defaultParallelism * 4 if shards < 4096 else shards // 64))
-    return placed.repartitionByRange(tasks, "shard").groupBy("shard").applyInArrow(write, _OUT)
+    # shards are of one size, so hashing deals them out; a range would first read and place every sequence for its bounds
+    return placed.repartition(tasks, "shard").groupBy("shard").applyInArrow(write, _OUT)
 
 
 def read_slots(shards: DataFrame, start: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
