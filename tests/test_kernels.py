@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -73,6 +74,38 @@ def test_properties(a, b):
     assert K.ratio(a, a) == 1
 
 
+def test_kernels_where_places_fill_a_word():
+    rng = random.Random(5)
+    sizes = [0, 1, 2, 31, 32, 33, 63, 64, 65, 128, 129]
+    text = lambda n: "".join(rng.choices("ab c1é漢🙂", k=n))
+    pairs = [(text(n), text(m)) for n in sizes for m in sizes for _ in range(3)] + [("a" * n, "a" * m) for n in sizes for m in sizes]
+    a, b = map(list, zip(*pairs, strict=True))
+    for cells in (50, 400_000):
+        assert K.lcs_lengths(a, b, cells).tolist() == [K.lcs_length(x, y) for x, y in pairs]
+        assert K.partial_ratios(a, b, cells).tolist() == [K.partial_ratio(x, y) for x, y in pairs]
+        assert K.jaro_winklers(a, b, cells).tolist() == pytest.approx([jaro_winkler(x, y) for x, y in pairs], abs=1e-12)
+    assert [len(f([], [])) for f in (K.lcs_lengths, K.partial_ratios, K.jaro_winklers)] == [0, 0, 0]
+
+
+def test_names_cost_far_less_than_in_the_general_way():
+    rng = random.Random(6)
+    names = [" ".join("".join(rng.choices("aeionrstl", k=rng.randint(3, 9))) for _ in range(4)) for _ in range(8_000)]
+    a, b = names[:4_000], names[4_000:]
+
+    def general():
+        return sum(K._window_ratios(batch).sum() for _, batch in K._batches(a, b, 400_000))
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: K.partial_ratios(a, b)) < 0.5 * seconds(general)
+
+
 def test_partial_ratios_side_by_side():
     rng = random.Random(2)
     text = lambda: "".join(rng.choices("ab c1", k=rng.randint(0, 20))) + ("é" if rng.random() < 0.05 else "") + "x" * (70 if rng.random() < 0.02 else 0)
