@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from weftlink.functions import kernels as K
 from weftlink.operators import fixtures, linkage
 from weftlink.operators import validate as V
-from weftlink.operators.blocking import BlockingConfig
-from weftlink.operators.features import pair_records
+from weftlink.operators.blocking import BlockingConfig, prepare
+from weftlink.operators.features import pair_features, pair_records, plain_features
 from weftlink.sources import tsv
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +66,19 @@ def test_texts_that_are_not_utf8_fail(spark, tmp_path, capsys):
     assert V.main(argv) == 1 and "not UTF-8 text" in capsys.readouterr().out
     (tmp_path / "m.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\t \t\n")
     assert V.main(argv) == 0 and "1 rows (1 empty, 0 with ids)" in capsys.readouterr().out
+
+
+def test_words_are_split_for_records_not_for_pairs(spark):
+    names = [(f"S-{i}", n, a, "US") for i, (n, a) in enumerate([("Red Box Red Ltd", "12 Oak Road"), ("box red", "12 road oak"), ("", ""), ("Éclat d'or", None), (None, "5 elm")])]
+    one = prepare(spark.createDataFrame(names, "entity_id string, business_name string, business_address string, country string"))
+    pairs = spark.createDataFrame([(a[0], b[0], 1) for a in names for b in names], "s1_id string, tgt_id string, rank int")
+    paired = pair_records(pairs, one, one)
+    made = pair_features(paired)
+    above = made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "name_words" in above and "split(" not in above and "array_sort(" not in above
+    # the same as from whole names and addresses
+    address = lambda f: F.when(F.col("a_is_empty") | F.col("b_is_empty"), 0.0).otherwise(f(F.col("a_address"), F.col("b_address")))
+    plain = {"name_token_sort": K.token_sort_of(F.col("a_name"), F.col("b_name")), "name_token_set": K.token_set_of(F.col("a_name"), F.col("b_name")), "addr_token_sort": address(K.token_sort_of), "addr_token_set": address(K.token_set_of)}
+    plain |= {c: plain_features()[c] for c in ("shared_token_count", "first_token_match")}
+    want = paired.select("s1_id", "tgt_id", *(x.cast("float").alias(c) for c, x in plain.items()))
+    assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 25
