@@ -90,3 +90,31 @@ def test_chi_square():
 
 def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_memory_of_a_search_is_bounded_by_slots_of_leaves():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    points, queries = (projected_knn.unit(rng.standard_normal((n, 16))) for n in (6_000, 2_000))
+    ways = projected_knn.directions(16)
+    tree = projected_knn.Tree(points @ ways)
+    tracemalloc.start()
+    best, _ = projected_knn.search(tree, points, queries, queries @ ways, 3, confidence=1.1)  # never stops early
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.argsort(-(queries @ points.T), axis=1)[:, :3]
+    assert (np.sort(best, 1) == np.sort(exact, 1)).all()
+    assert peak < 120e6
+
+
+def test_visitors_in_parts_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 12)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    find = lambda: sorted(map(tuple, projected_knn.nearest(df, query_modulus=3, cell=100).collect()))
+    whole = find()
+    monkeypatch.setattr(projected_knn, "VISITORS", 7)
+    monkeypatch.setattr(projected_knn, "TOGETHER", 5)
+    monkeypatch.setattr(projected_knn, "SLOTS", 1)
+    assert find() == whole and len(whole) == 200 * 5

@@ -11,7 +11,8 @@ Scale: vectors of one direction are first merged to their k + 1 smallest ids, so
 one point: vectors divided by their largest component are equal exactly where one is a multiple of the other. The upper levels
 of the kd-tree are fitted on a bounded sample (SAMPLE vectors) and cut the space into cells of about CELL points;
 every vector is put in its cell, and each cell builds its own tree. Queries visit their home cell first, then
-just the cells whose box fails the same stopping test.
+just the cells whose box fails the same stopping test. A cell with over VISITORS of them serves them in parts, each in a
+task of its own, and a part is searched TOGETHER queries and SLOTS leaves at a time, so a task's memory doesn't grow with the queries.
 
 Null vectors or ids, vectors with null or non-finite components and zero vectors take no part. Vectors are only
 compared with vectors of the same length. Results: (query_id, rank, vec_id, score), ordered by the score as computed in
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.scratch import Scratch
+from weftlink.llm.sessions import released, released_pair
 
 M = 8
 CONFIDENCE = 0.98
@@ -38,6 +40,9 @@ CELL = 16_384
 SAMPLE = 20_000
 SPARE = 8
 BUCKET_ROWS = 20_000
+VISITORS = 50_000
+TOGETHER = 4096
+SLOTS = 8
 
 
 def chi2_cdf(x: np.ndarray, m: int = M) -> np.ndarray:
@@ -105,21 +110,23 @@ def search(tree: Tree, points: np.ndarray, queries: np.ndarray, projected: np.nd
     live, at, step = np.arange(n), 0, 2
     while len(live) and at < len(tree.bounds):
         take = turn[live, at : at + step]
-        width = LEAF * take.shape[1]
-        cand, cos = np.full((len(live), width), -1), np.full((len(live), width), -np.inf)
-        for s in range(take.shape[1]):
-            by = np.argsort(take[:, s], kind="stable")
-            cut = np.flatnonzero(np.diff(take[by, s])) + 1
-            for rows in np.split(by, cut):
-                a, b = tree.bounds[take[rows[0], s]]
-                own = tree.order[a:b]
-                cand[rows, s * LEAF : s * LEAF + b - a] = own
-                cos[rows, s * LEAF : s * LEAF + b - a] = queries[live[rows]] @ points[own].T
-        cand, cos = np.concatenate([best[live], cand], 1), np.concatenate([sim[live], cos], 1)
-        # ties go to the earlier point
-        key = np.where(cand >= 0, -cos, np.inf)
-        top = _smallest(key, cand, k)
-        best[live], sim[live] = np.take_along_axis(cand, top, 1), np.take_along_axis(cos, top, 1)
+        for slot in range(0, take.shape[1], SLOTS):
+            some = take[:, slot : slot + SLOTS]
+            width = LEAF * some.shape[1]
+            cand, cos = np.full((len(live), width), -1), np.full((len(live), width), -np.inf)
+            for s in range(some.shape[1]):
+                by = np.argsort(some[:, s], kind="stable")
+                cut = np.flatnonzero(np.diff(some[by, s])) + 1
+                for rows in np.split(by, cut):
+                    a, b = tree.bounds[some[rows[0], s]]
+                    own = tree.order[a:b]
+                    cand[rows, s * LEAF : s * LEAF + b - a] = own
+                    cos[rows, s * LEAF : s * LEAF + b - a] = queries[live[rows]] @ points[own].T
+            cand, cos = np.concatenate([best[live], cand], 1), np.concatenate([sim[live], cos], 1)
+            # ties go to the earlier point
+            key = np.where(cand >= 0, -cos, np.inf)
+            top = _smallest(key, cand, k)
+            best[live], sim[live] = np.take_along_axis(cand, top, 1), np.take_along_axis(cos, top, 1)
         at += take.shape[1]
         step = min(64, step * 2)
         if at >= len(tree.bounds):
@@ -179,9 +186,9 @@ def _directions_of(keep: int):
             for i, v in _valid(batch):
                 way = (v / np.abs(v).max() + 0.0).tobytes()
                 _put(held, (len(v), way), [(i, v.tobytes())], keep)
-            if len(held) >= 50_000:
-                yield from _table(held).to_batches()
-                held = {}
+                if len(held) >= 10_000:
+                    yield from _table(held).to_batches()
+                    held = {}
         yield from _table(held).to_batches()
 
     return run
@@ -244,7 +251,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     # copies are merged in each task first, so a bucket grows with the directions in it, of which it gets BUCKET_ROWS or so
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), plain.count() // BUCKET_ROWS)
-    dealt = plain.mapInArrow(_directions_of(keep), _DIRECTION).withColumn("bucket", F.pmod(F.xxhash64("way"), F.lit(buckets)))
+    dealt = plain.mapInArrow(released(_directions_of(keep)), _DIRECTION).withColumn("bucket", F.pmod(F.xxhash64("way"), F.lit(buckets)))
     points = scratch.save(dealt.groupBy("bucket").applyInArrow(_merge(keep), _DIRECTION), "points").select("dim", "vec", "ids", "more")
     counts = {r["dim"]: r["count"] for r in points.groupBy("dim").count().collect()}
     sample = points.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect() if any(n > cell for n in counts.values()) else []
@@ -268,57 +275,75 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     found_schema = "dim int, vec binary, near array<struct<score: double, id: long>>, bound double"
 
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
+
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         """Points of a cell, queries that visit it."""
         if not left.num_rows or not right.num_rows:
-            near, bound = [[] for _ in range(right.num_rows)], [math.inf] * right.num_rows
+            near, bound = pa.array([[]] * right.num_rows, kind), np.full(right.num_rows, math.inf)
         else:
             left = left.take(pa.array(np.argsort([i[0] for i in left.column("ids").to_pylist()], kind="stable")))
-            x, y = _matrix(left.column("vec")), _matrix(right.column("vec"))
-            a, b = unit(x), unit(y)
-            proj = directions(x.shape[1])
-            p = a @ proj
-            given = right.column("bound").combine_chunks().fill_null(math.inf).to_numpy(zero_copy_only=False)
-            # some more than asked for: the products above may differ from the scores in the last place
-            best, sim = search(Tree(p), a, b, b @ proj, keep + SPARE, given, confidence)
-            ids, more = left.column("ids").to_pylist(), left.column("more").to_pylist()
+            x = _matrix(left.column("vec"))
+            a, ways = unit(x), directions(x.shape[1])
+            p = a @ ways
+            tree, ids, more = Tree(p), left.column("ids").to_pylist(), left.column("more").to_pylist()
             near, bound = [], []
-            for i in range(len(y)):
-                found = best[i][best[i] >= 0].tolist()
-                own = [x[found], *(np.frombuffer(v, np.float64)[None] for j in found for v in more[j])]
-                own = sorted(zip((-_cosines(np.concatenate(own), y[i])).tolist(), [ids[j][0] for j in found] + [v for j in found for v in ids[j][1:]], strict=True))[:keep]
-                near.append([{"score": -s, "id": v} for s, v in own])
-                bound.append(2 + 2 * own[-1][0] if len(own) == keep else math.inf)
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
-        return pa.table({"dim": right.column("dim"), "vec": right.column("vec"), "near": pa.array(near, kind), "bound": pa.array(bound, pa.float64())})
+            for at in range(0, right.num_rows, TOGETHER):
+                part = right.slice(at, TOGETHER)
+                y = _matrix(part.column("vec"))
+                b = unit(y)
+                given = part.column("bound").combine_chunks().fill_null(math.inf).to_numpy(zero_copy_only=False)
+                # some more than asked for: the products above may differ from the scores in the last place
+                best, _ = search(tree, a, b, b @ ways, keep + SPARE, given, confidence)
+                lists = []
+                for i in range(len(y)):
+                    found = best[i][best[i] >= 0].tolist()
+                    own = [x[found], *(np.frombuffer(v, np.float64)[None] for j in found for v in more[j])]
+                    own = sorted(zip((-_cosines(np.concatenate(own), y[i])).tolist(), [ids[j][0] for j in found] + [v for j in found for v in ids[j][1:]], strict=True))[:keep]
+                    lists.append([{"score": -s, "id": v} for s, v in own])
+                    bound.append(2 + 2 * own[-1][0] if len(own) == keep else math.inf)
+                near.append(pa.array(lists, kind))
+            near = pa.chunked_array(near)
+        return pa.table({"dim": right.column("dim"), "vec": right.column("vec"), "near": near, "bound": pa.array(bound, pa.float64())})
 
     def visit(asking: DataFrame) -> DataFrame:
-        asking = asking.select("dim", "vec", "cell", "bound")
-        return placed.select("dim", "vec", "ids", "more", "cell").groupBy("dim", "cell").cogroup(asking.groupBy("dim", "cell")).applyInArrow(probe, found_schema)
+        asking, points = asking.select("dim", "vec", "cell", "bound"), placed.select("dim", "vec", "ids", "more", "cell")
+        busy = asking.groupBy("dim", "cell").count().where(F.col("count") > VISITORS).select("dim", "cell", F.ceil(F.col("count") / VISITORS).cast("int").alias("parts")).collect()  # cells at most
+        if busy:
+            parts = F.broadcast(spark.createDataFrame(busy, "dim int, cell long, parts int"))
+            asking, points = (side.join(parts, ["dim", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for side in (asking, points))
+            asking = asking.withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
+            points = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        else:
+            asking, points = (side.withColumn("part", F.lit(0)) for side in (asking, points))
+        asking, points = asking.select("dim", "vec", "bound", "cell", "part"), points.select("dim", "vec", "ids", "more", "cell", "part")
+        return points.groupBy("dim", "cell", "part").cogroup(asking.groupBy("dim", "cell", "part")).applyInArrow(released_pair(probe), found_schema)
 
     first = scratch.save(visit(home), "first")
 
     def others(batches):
         """The cells that a query must still visit."""
-        for batch in batches:
-            out = [[], [], [], []]
-            dims, bound = batch.column(0).to_numpy(), batch.column(3).fill_null(math.inf).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                own = [b for b in boxes.value if b[0] == dim]
-                p = unit(_matrix(batch.column(1).take(pa.array(rows)))) @ directions(dim)
-                r2 = box_distance2(p, np.array([b[2] for b in own]), np.array([b[3] for b in own]))
-                mine = cells.value.cell(dim, p)[:, None] == np.array([b[1] for b in own])
-                d2 = np.maximum(bound[rows], 1e-12)[:, None]
-                go = ~mine & (chi2_cdf(np.where(np.isfinite(d2), r2 / d2, 0)) < confidence)
-                for i, j in zip(*np.nonzero(go), strict=True):
-                    for c, v in zip(out, (dim, batch.column(1)[int(rows[i])].as_py(), own[j][1], float(bound[rows[i]])), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.int64(), pa.float64()), strict=True)], ["dim", "vec", "cell", "bound"])
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                dims, bound = batch.column(0).to_numpy(), batch.column(3).fill_null(math.inf).to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    rows = np.flatnonzero(dims == dim)
+                    own = [b for b in boxes.value if b[0] == dim]
+                    p = unit(_matrix(batch.column(1).take(pa.array(rows)))) @ directions(dim)
+                    r2 = box_distance2(p, np.array([b[2] for b in own]), np.array([b[3] for b in own]))
+                    names = np.array([b[1] for b in own])
+                    d2 = np.maximum(bound[rows], 1e-12)[:, None]
+                    go = (cells.value.cell(dim, p)[:, None] != names) & (chi2_cdf(np.where(np.isfinite(d2), r2 / d2, 0)) < confidence)
+                    i, j = np.nonzero(go)
+                    for k in range(0, len(i), 8192):
+                        some = slice(k, k + 8192)
+                        which = rows[i[some]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), dim), pa.int32()), batch.column(1).take(pa.array(which)), pa.array(names[j[some]], pa.int64()), pa.array(bound[which], pa.float64())], ["dim", "vec", "cell", "bound"])
 
     found = first
     if len(boxed) > 1:
-        found = first.unionByName(visit(first.mapInArrow(others, "dim int, vec binary, cell long, bound double")))
+        found = first.unionByName(visit(first.mapInArrow(released(others), "dim int, vec binary, cell long, bound double")))
     best = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("near")), lambda x: F.struct((-x["score"]).alias("s"), x["id"].alias("id"), x["score"].alias("score")))), 1, keep)
     merged = found.groupBy("dim", "vec").agg(best.alias("near"))  # at most k + 1 entries from each visited cell
     each = queries.join(merged, ["dim", "vec"]).select("q", "vec", F.slice(F.filter("near", lambda x: x["id"] != F.col("q")), 1, k).alias("near"))
